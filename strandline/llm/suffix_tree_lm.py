@@ -36,7 +36,7 @@ from .tools import Shared, checkpointed, parts, text_of
 from .words import END, HashIndex, Words, counts_of, cuts_of, mix, split_words
 
 #: Bytes of text that a task holds as one block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -143,7 +143,7 @@ def _symbols(words: Words, index: HashIndex) -> tuple[np.ndarray, np.ndarray]:
     inner[at] = False
     out[inner] = found
     out[at] = index.find(np.array([END]))[0]
-    return out, np.repeat(np.arange(n), words.per_doc + 1)
+    return out, np.repeat(np.arange(n, dtype=np.int32), words.per_doc + 1)
 
 
 def _keys(sym: np.ndarray, doc: np.ndarray, length: int, base: int) -> tuple[np.ndarray, np.ndarray]:

@@ -96,7 +96,7 @@ def split_words(column: pa.Array) -> Words:
     length = np.flatnonzero(ends) + 1 - start
     edges = np.searchsorted(start, off)
     per_doc = np.diff(edges)
-    return Words(hash_spans(low, start, length), np.repeat(np.arange(n), per_doc), per_doc)
+    return Words(hash_spans(low, start, length), np.repeat(np.arange(n, dtype=np.int32), per_doc), per_doc)
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
