@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tools import Shared, text_of
+from .tools import shared, text_of
 
 #: The published pattern of byte-level BPE (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,9 +139,9 @@ class Vocabulary:
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(shared):
+def _digests(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary = sent.value
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             n, ids, back = [], [], []
@@ -154,18 +155,18 @@ def _digests(shared):
     return run
 
 
-def _encoded(shared):
+def _encoded(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary = sent.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([vocabulary.encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run
 
 
-def _decoded(shared):
+def _decoded(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary = sent.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([vocabulary.decode(i or []) for i in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
@@ -176,9 +177,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
 
 
-def shared_vocabulary(spark: SparkSession, path: str) -> Shared:
+def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary file's content on every executor; its size does not depend on the data."""
-    return Shared(spark, Vocabulary.load(path))
+    return shared(spark, Vocabulary.load(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,28 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_texts
+
+    return pack_texts(_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import learn, score_texts
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_texts(docs, learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import token_digests
 
@@ -33,6 +55,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import conversation_digests, format_turns
 
@@ -44,8 +72,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_licenses": op5_licenses,
     "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_chat": op10_chat,
 }
 
@@ -54,4 +86,14 @@ SQL = {
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256
         from t window w as (partition by text_sha256)""",
+    "op9_embedding_dedup": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
+        u as (select vec_id, label, e from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+        l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+              where list_cosine_similarity(a.e, b.e) >= 0.93),
+        r as (select vec_id as id, vec_id as c from embeddings union select l.b, r.c from r join l on l.a = r.id),
+        m as (select id, min(c) as c from r group by id),
+        d as (select a, count(*) as n from l group by a)
+        select vec_id, coalesce(d.n, 0) as n_links, m.c as component_id, vec_id = m.c as kept
+        from embeddings join m on m.id = vec_id left join d on d.a = vec_id""",
 }

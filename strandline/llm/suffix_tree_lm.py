@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import Shared, checkpointed, parts, text_of
+from .tools import checkpointed, parts, shared, text_of
 from .words import END, HashIndex, Words, counts_of, cuts_of, mix, split_words
 
 #: Bytes of text that a task holds as one block.
@@ -365,15 +365,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if END not in keys:
         keys, counts = np.append(keys, END), np.append(counts, 0)
     index = HashIndex(keys)
-    shared = Shared(spark, index)
+    words = shared(spark, index)
     depth = min(settings.depth, int(63 // np.log2(max(2, len(keys)))) - 1)
-    found = scan.mapInArrow(_count_successions(shared, ranges, depth), _COUNTED_SQL).groupBy("part", "kind").applyInArrow(_sum(least), _SUMMED).select("kind", "keys", "counts").collect()  # at most depth/p_min
+    found = scan.mapInArrow(_count_successions(words, ranges, depth), _COUNTED_SQL).groupBy("part", "kind").applyInArrow(_sum(least), _SUMMED).select("kind", "keys", "counts").collect()  # at most depth/p_min
     successions = {
         k: (np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in found if r["kind"] == k]) * _BACK, np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found if r["kind"] == k]))
         for k in {r["kind"] for r in found}
     }
     tree = grow(counts, successions, total, vocabulary, settings)
-    model = Shared(spark, (index, counts, tree))
+    model = shared(spark, (index, counts, tree))
     asked = rows.mapInArrow(_score(model, ranges, settings.alpha), _SCORED_SQL)
     answered = asked.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_answer(settings.alpha), _SCORED_SQL)
     return answered.groupBy("block").applyInArrow(

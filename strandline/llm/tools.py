@@ -6,6 +6,7 @@ import pickle
 import tempfile
 
 from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +19,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Shared:
-    """An object of bounded size on every executor, pickled with the code of its classes."""
+class _WithCode:
+    """Pickles to an object together with the code of its classes."""
 
-    def __init__(self, spark: SparkSession, value: object):
-        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-        self._value = None
+    def __init__(self, value: object):
+        self.value = value
 
-    def __getstate__(self) -> dict:
-        return {"_sent": self._sent, "_value": None}
+    def __reduce__(self):
+        return pickle.loads, (cloudpickle.dumps(self.value),)
 
-    @property
-    def value(self):
-        if self._value is None:
-            self._value = pickle.loads(self._sent.value)
-        return self._value
+
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """An object of bounded size on every executor; a Python worker reads it once and keeps it from task to task."""
+    return spark.sparkContext.broadcast(_WithCode(value))
 
 
 def parts(spark: SparkSession) -> int:
