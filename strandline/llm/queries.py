@@ -27,6 +27,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_groups
+
+    return jaccard_groups(_table(spark, sf_dir, "documents"), shingle=3, percent=90).drop("class_id")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -73,6 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_packing": op2_packing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
     "op6_bpe": op6_bpe,
@@ -82,6 +89,17 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_jaccard_join": r"""
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 3 then [array_to_string(ws, ' ')]
+                 else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as g from w),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+        r as (select doc_id as id, doc_id as c from documents union select l.b, r.c from r join l on l.a = r.id),
+        m as (select id, min(c) as c from r group by id)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id
+        from documents d join m on m.id = d.doc_id left join n on n.doc_id = d.doc_id""",
     "op8_exact_dedup": r"""
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256
