@@ -318,8 +318,17 @@ def score_texts(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(_tagged(shared(docs.sparkSession, chain), settings.threshold), "doc_id long, score double, predicted int, spans array<struct<start: int, end: int, p: double>>")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def _clean_rows(sent, threshold: float, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = sent.value
+        for batch in batches:
+            keep = [chain.tag(t or "")[0] < threshold for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, all columns kept."""
-    scored = score_texts(docs, learn(docs, labels, settings=settings), settings=settings)
-    bad = scored.where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("__bad"), "left_anti")
+    chain = learn(docs, labels, text_col=text_col, settings=settings)
+    return docs.mapInArrow(_clean_rows(shared(docs.sparkSession, chain), settings.threshold, text_col), docs.schema)
