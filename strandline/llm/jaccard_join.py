@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,38 +177,51 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, last = r[-1], k[-1]
 
 
-def _sets(shingle: int, seed: int):
+def _texts(shingle: int, seed: int):
+    """Key and compressed text of each distinct set of a batch; a text is smaller than its shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for batch in _slices(whole):
                 g, off = shingle_sets(batch.column("text"), shingle)
                 key = set_keys(g, off, seed)[0].view(np.int64)
-                good = np.flatnonzero(key == batch.column("key").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array([g[off[i] : off[i + 1]].tobytes() for i in good], pa.binary())], ["key", "shingles"])
+                first = np.sort(np.unique(key, return_index=True)[1])
+                first = first[np.diff(off)[first] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([small.compress(batch.column("text")[i].as_py().encode()) for i in first.tolist()], pa.binary())], ["key", "packed"])
 
     return run
 
 
-def _compare(percent: int):
+def _unpacked(packed: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of compressed texts, as of shingle_sets."""
+    large = zstandard.ZstdDecompressor()
+    return shingle_sets(pa.array([large.decompress(x.as_py()).decode() for x in packed], pa.large_string()), shingle)
+
+
+def _compare(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both, any_ = [], []
-            for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = int((np.diff(np.sort(np.concatenate([a, b]))) == 0).sum())
-                both.append(common)
-                any_.append(len(a) + len(b) - common)
-            i, u = np.array(both, np.int64), np.array(any_, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1.0 - i / np.maximum(u, 1)), pa.array(100 * i >= percent * u)], ["a", "b", "distance", "linked"])
+        for whole in batches:
+            for batch in _slices(whole, 500):
+                gx, ox = _unpacked(batch.column("x"), shingle)
+                gy, oy = _unpacked(batch.column("y"), shingle)
+                # equal shingles of a pair stand side by side once both sets are sorted together
+                row = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(ox)), np.repeat(np.arange(batch.num_rows), np.diff(oy))])
+                g = np.concatenate([gx, gy])
+                order = np.lexsort((g, row))
+                g, row = g[order], row[order]
+                i = np.bincount(row[1:][(g[1:] == g[:-1]) & (row[1:] == row[:-1])], minlength=batch.num_rows)
+                u = np.diff(ox) + np.diff(oy) - i
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1.0 - i / np.maximum(u, 1)), pa.array(100 * i >= percent * u)], ["a", "b", "distance", "linked"])
 
     return run
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _distances(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """a, b, distance, linked of the distinct pairs (a, b)."""
-    x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return checkpointed(pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long, distance double, linked boolean"))
+    x = texts.select(F.col("key").alias("a"), F.col("packed").alias("x"))
+    y = texts.select(F.col("key").alias("b"), F.col("packed").alias("y"))
+    return checkpointed(pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(shingle, percent), "a long, b long, distance double, linked boolean"))
 
 
 class Ring:
@@ -280,12 +294,13 @@ class Ring:
             self.join(ids[row])
 
 
-def _join_ring(percent: int):
+def _join_ring(shingle: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("key")
         key = rows.column("key").to_numpy()
         keep = np.concatenate([[True], key[1:] != key[:-1]])
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x, k in zip(rows.column("shingles"), keep, strict=True) if k]
+        g, off = _unpacked(rows.column("packed").filter(pa.array(keep)), shingle)
+        sets = [g[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         key = key[keep]
         ring = Ring(sets, np.unique(rows.column("component").to_numpy()[keep], return_inverse=True)[1], percent)
         ring.join(np.arange(len(key)))
@@ -316,17 +331,17 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col:
     dealt = rows.where("doc_id is not null").select("text").mapInArrow(_regions(shingle, percent, seed), "region long, key long")
     members = dealt.repartition(parts(spark), "region").sortWithinPartitions("region", "key").mapInArrow(_members, "region long, key long")
     members = checkpointed(members)
-    wanted = members.select("key").distinct().join(reps.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
-    sets = checkpointed(rows.join(wanted, "doc_id").select("text", "key").mapInArrow(_sets(shingle, seed), "key long, shingles binary").dropDuplicates(["key"]))
+    texts = rows.where("doc_id is not null").select("text").mapInArrow(_texts(shingle, seed), "key long, packed binary")
+    texts = checkpointed(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
     # first round: everyone against the pivot of its region
     often = members.groupBy("key").agg(F.count(F.lit(1)).alias("regions"))
     pivot = members.join(often, "key").groupBy("region").agg(F.max(F.struct("regions", "key"))["key"].alias("pivot"))
     pointed = checkpointed(members.join(pivot, "region"))
-    found = _distances(pointed.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")), sets, percent)
+    found = _distances(pointed.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")), texts, shingle, percent)
     links = found.where("linked").select("a", "b")
     # a member in the pivot's component needs no more links within it; the others are open
     grouped = connected_components(links).select(F.col("id").alias("key"), F.col("component_id").alias("component"))
-    grouped = checkpointed(sets.select("key").join(grouped, "key", "left").select("key", F.coalesce("component", "key").alias("component")))
+    grouped = checkpointed(texts.select("key").join(grouped, "key", "left").select("key", F.coalesce("component", "key").alias("component")))
     of_pivot = grouped.select(F.col("key").alias("pivot"), F.col("component").alias("main"))
     told = pointed.join(grouped, "key").join(of_pivot, "pivot").join(found.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "distance"), ["key", "pivot"], "left")
     told = told.select("region", "key", "component", (F.col("component") != F.col("main")).alias("open"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
@@ -340,8 +355,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col:
     work = rings.join(sizes, ["region", "ring"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # block i meets every block j: a member of block i goes to (i, j) and (j, i), the smaller first
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("region", "ring", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "component").join(sets, "key")
-    rest = work.groupBy("region", "ring", "i", "j").applyInArrow(_join_ring(percent), "a long, b long")
+    work = work.select("region", "ring", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "component").join(texts, "key")
+    rest = work.groupBy("region", "ring", "i", "j").applyInArrow(_join_ring(shingle, percent), "a long, b long")
     links = links.unionByName(checkpointed(rest))
     a, b = (reps.select(F.col("key").alias(s), F.col("rep").alias(f"rep_{s}")) for s in "ab")
     ends = links.distinct().join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
