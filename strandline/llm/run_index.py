@@ -25,24 +25,28 @@ of copies lands in one task: within a block a context is sent once.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.ipc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .tools import checkpointed, parts, text_of
-from .words import mix, text_bytes
+from .words import hash_spans, mix, text_bytes
 
 #: Bytes of a match.
 SPAN = 50
 #: Bytes of an anchor; a window holds WIDTH of them.
 GRAM = 24
 WIDTH = SPAN - GRAM + 1
-#: Rows of a block.
+#: Most rows of a block, and bytes of text after which it is closed.
 BLOCK_ROWS = 1000
+BLOCK_BYTES = 8 << 20
 _SEP = 0xFF  # never a byte of UTF-8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,8 +81,8 @@ def window_least(h: np.ndarray, width: int) -> np.ndarray:
 class Block:
     """Documents of a block in a fixed order, with the anchors of their windows."""
 
-    def __init__(self, table: pa.Table):
-        self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    def __init__(self, payload: bytes):
+        self.table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
         self.ids = self.table.column("doc_id").to_numpy()
         self.raw, self.off = text_bytes(self.table.column("text"))
         found = [self._anchors(a, min(len(self.ids), a + 200)) for a in range(0, len(self.ids), 200)]
@@ -120,36 +124,51 @@ class Block:
         part = part[order]
         return order, low[order].astype(np.uint32), part, np.searchsorted(part, np.arange(ranges + 1))
 
-    def contexts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For chosen anchors: digest of each context, its bytes in one array, and their offsets."""
+    def digests(self, chosen: np.ndarray) -> np.ndarray:
+        """Digest of the context of each chosen anchor."""
+        return hash_spans(self.raw, self.first[chosen], self.count[chosen] + SPAN - 1)
+
+    def bytes_of(self, chosen: np.ndarray) -> np.ndarray:
+        """The contexts of chosen anchors, one after the other."""
         length = self.count[chosen] + SPAN - 1
-        off = np.concatenate([[0], np.cumsum(length)])
-        at = np.arange(off[-1]) - np.repeat(off[:-1], length) + np.repeat(self.first[chosen], length)
-        data = self.raw[at]
-        power = _powers(SPAN + WIDTH)
-        place = np.arange(off[-1]) - np.repeat(off[:-1], length)
-        value = (data.astype(np.uint64) + np.uint64(1)) * power[place]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-        return mix((total[off[1:]] - total[off[:-1]]) ^ mix(length.astype(np.uint64))), data, off
+        return self.raw[_runs(self.first[chosen], length)]
+
+
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... length[0] of them, then those of start[1] and so on."""
+    return np.arange(length.sum()) + np.repeat(start - (np.cumsum(length) - length), length)
 
 
-def _powers(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the scan as compressed blocks, each of at most BLOCK_ROWS rows and about BLOCK_BYTES of text."""
+    small = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        off = text_bytes(batch.column("text"))[1]
+        a = 0
+        while a < batch.num_rows:
+            b = min(batch.num_rows, a + BLOCK_ROWS, max(a + 1, int(np.searchsorted(off, off[a] + BLOCK_BYTES))))
+            part = batch.slice(a, b - a)
+            sink = pa.BufferOutputStream()
+            kept = part.drop_columns(["rid"])
+            with pa.ipc.new_stream(sink, kept.schema) as out:
+                out.write_batch(kept)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("rid")[0].as_py()], pa.int64()), pa.array([small.compress(sink.getvalue().to_pybytes())], pa.binary())], ["block", "payload"])
+            a = b
 
 
 def _send_anchors(ranges: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = Block(table)
-        number = table.column("block")[0].as_py()
-        order, low, part, cut = block.by_range(ranges)
-        doc = block.doc[order]
-        if not len(low):
-            return pa.Table.from_pylist([], schema=_ASKED)
-        new = np.concatenate([[True], (low[1:] != low[:-1]) | (part[1:] != part[:-1])])
-        at = np.flatnonzero(new)
-        several = np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at)
-        keys, cut = low[at], np.searchsorted(part[at], np.arange(ranges + 1))
-        return pa.Table.from_pylist([{"part": p, "block": number, "keys": keys[a:b].tobytes(), "bits": np.packbits(several[a:b]).tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a], schema=_ASKED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                block = Block(payload)
+                order, low, part, _ = block.by_range(ranges)
+                doc = block.ids[block.doc[order]]
+                if not len(low):
+                    continue
+                at = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (part[1:] != part[:-1])]))
+                several = np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at)
+                keys, cut = low[at], np.searchsorted(part[at], np.arange(ranges + 1))
+                yield pa.RecordBatch.from_pylist([{"part": p, "block": number, "keys": keys[a:b].tobytes(), "bits": np.packbits(several[a:b]).tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a], schema=_ASKED)
 
     return run
 
@@ -173,46 +192,59 @@ def _shared_bits(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("bits", pa.binary())]))
 
 
-def _chosen(block: Block, bits: pa.Table, ranges: int, shards: int) -> tuple[np.ndarray, ...]:
-    """Shared anchors in the order of their shard and context, their digests, data and cuts, and the first of each equal run."""
+def _chosen(block: Block, bits: pa.Table, ranges: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shared anchors in order of shard, anchor, context and identifier; their shards; and the first of each equal run."""
     order, low, part, cut = block.by_range(ranges)
     shared = np.zeros(len(order), bool)
-    for r in bits.to_pylist():
-        a, b = cut[r["part"]], cut[r["part"] + 1]
-        run = np.cumsum(np.concatenate([[0], low[a + 1 : b] != low[a : b - 1]])) if b > a else np.zeros(0, int)
-        shared[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(run[-1]) + 1).astype(bool)[run] if b > a else False
-    chosen = np.sort(order[shared])
-    digest, data, off = block.contexts(chosen)
-    shard = ((mix(block.hash[chosen] + _ODD) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    again = np.lexsort((block.doc[chosen], digest, block.hash[chosen], shard))
-    digest, shard, own = digest[again], shard[again], block.hash[chosen][again]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (part[1:] != part[:-1])]) if len(low) else np.zeros(0, bool)
+    run = np.cumsum(new) - 1
+    for place, flags in zip(bits.column("part").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+        a, b = cut[place], cut[place + 1]
+        mine = run[a:b] - run[a]
+        shared[a:b] = np.unpackbits(np.frombuffer(flags, np.uint8), count=int(mine[-1]) + 1).astype(bool)[mine]
+    chosen = order[shared]
+    digest, own, ids = block.digests(chosen), block.hash[chosen], block.ids[block.doc[chosen]]
+    shard = ((mix(own + _ODD) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    again = np.lexsort((ids, digest, own, shard))
+    digest, own = digest[again], own[again]
     first = np.concatenate([[True], (digest[1:] != digest[:-1]) | (own[1:] != own[:-1])]) if len(again) else np.zeros(0, bool)
-    return chosen[again], again, shard, digest, data, off, first
+    return chosen[again], shard[again], first
 
 
-_CONTEXTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary()), ("docs", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
+_CONTEXTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("least", pa.int64()), ("payload", pa.binary())])
 
 
 def _send_contexts(ranges: int, shards: int):
+    """Per shard: 32 bits of each context's anchor, its identifier above the block's least, its length and bytes, compressed."""
+
     def run(table: pa.Table, bits: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.Table.from_pylist([], schema=_CONTEXTS)
-        block = Block(table)
-        number = table.column("block")[0].as_py()
-        chosen, again, shard, _, data, off, first = _chosen(block, bits, ranges, shards)
-        at = np.flatnonzero(first)
+        small = zstandard.ZstdCompressor(level=3)
         out = []
-        cut = np.searchsorted(shard[at], np.arange(shards + 1))
-        for p in np.flatnonzero(np.diff(cut)).tolist():
-            mine = at[cut[p] : cut[p + 1]]
-            who, src = chosen[mine], again[mine]
-            blob = b"".join(data[off[i] : off[i + 1]].tobytes() for i in src)
-            out.append({"shard": p, "block": number, "anchors": block.hash[who].tobytes(), "docs": block.ids[block.doc[who]].tobytes(), "lengths": np.diff(off)[src].astype(np.uint8).tobytes(), "data": blob})
+        for number, payload in zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            block = Block(payload)
+            chosen, shard, first = _chosen(block, bits, ranges, shards)
+            at = np.flatnonzero(first)
+            who = chosen[at]
+            anchor, length = block.hash[who].astype(np.uint32), (block.count[who] + SPAN - 1).astype(np.uint8)
+            least = int(block.ids.min()) if len(block.ids) else 0
+            doc = (block.ids[block.doc[who]].view(np.uint64) - np.array(least).view(np.uint64)).astype(np.uint64)
+            cut = np.searchsorted(shard[at], np.arange(shards + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                a, b = cut[p], cut[p + 1]
+                data = anchor[a:b].tobytes() + doc[a:b].tobytes() + length[a:b].tobytes() + block.bytes_of(who[a:b]).tobytes()
+                out.append({"shard": p, "block": number, "n": b - a, "least": least, "payload": small.compress(data)})
         return pa.Table.from_pylist(out, schema=_CONTEXTS)
 
     return run
 
 
+def _read_contexts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data, n = zstandard.ZstdDecompressor().decompress(row["payload"]), row["n"]
+    anchor = np.frombuffer(data, np.uint32, n)
+    doc = np.frombuffer(data, np.uint64, n, 4 * n) + np.array(row["least"]).view(np.uint64)
+    return anchor, doc.view(np.int64), np.frombuffer(data, np.uint8, n, 12 * n), np.frombuffer(data, np.uint8, -1, 13 * n)
+
+
 class RunIndex:
     """Burrows-Wheeler transform in runs of a collection of short texts, each ended by a mark of its own.
 
@@ -304,12 +336,10 @@ def earlier_matches(data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> np.n
 
 def _match_shard(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
-    anchors = [np.frombuffer(r["anchors"], np.uint64) for r in rows]
-    docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-    length = np.concatenate([np.frombuffer(r["lengths"], np.uint8) for r in rows]).astype(np.int64)
-    data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
-    sizes = [len(a) for a in anchors]
-    anchor = np.concatenate(anchors)
+    sent = [_read_contexts(r) for r in rows]
+    sizes = [r["n"] for r in rows]
+    anchor, docs, length, data = (np.concatenate(x) for x in zip(*sent, strict=True))
+    length = length.astype(np.int64)
     off = np.concatenate([[0], np.cumsum(length)])
     blob = data.tobytes()
     # equal contexts fold into the one with the smallest identifier
@@ -334,8 +364,7 @@ def _match_shard(table: pa.Table) -> pa.Table:
             mine = wanted[a:b]
             size = length[mine]
             cut = np.concatenate([[0], np.cumsum(size)])
-            at = np.arange(cut[-1]) - np.repeat(cut[:-1], size) + np.repeat(off[mine], size)
-            bits[mine] = earlier_matches(data[at], cut, docs[mine])
+            bits[mine] = earlier_matches(data[_runs(off[mine], size)], cut, docs[mine])
             a = b
     cut = np.concatenate([[0], np.cumsum(sizes)])
     return pa.Table.from_pylist([{"shard": r["shard"], "block": r["block"], "marks": bits[a:b].tobytes()} for r, a, b in zip(rows, cut[:-1], cut[1:], strict=True)], schema=pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("marks", pa.binary())]))
@@ -343,7 +372,7 @@ def _match_shard(table: pa.Table) -> pa.Table:
 
 def _removed(block: Block, bits: pa.Table, marks: pa.Table, ranges: int, shards: int) -> np.ndarray:
     """Which bytes of the block go."""
-    chosen, _, shard, _, _, _, first = _chosen(block, bits, ranges, shards)
+    chosen, shard, first = _chosen(block, bits, ranges, shards)
     edge = np.zeros(len(block.raw) + 1, np.int32)
     if len(chosen):
         at = np.flatnonzero(first)
@@ -366,7 +395,7 @@ def _finish(ranges: int, shards: int, schema: pa.Schema):
     def run(table: pa.Table, sent: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
-        block = Block(table)
+        block = Block(table.column("payload")[0].as_py())
         is_bits = pa.compute.equal(sent.column("kind"), 0)
         bits = sent.filter(is_bits).select(["place", "payload"]).rename_columns(["part", "bits"])
         marks = sent.filter(pa.compute.invert(is_bits)).select(["place", "payload"]).rename_columns(["shard", "marks"])
@@ -397,19 +426,18 @@ _NO_ID = np.iinfo(np.int64).max
 
 def _passes(docs: DataFrame, id_col: str, text_col: str, fields: list[str], rest: list[str]) -> DataFrame:
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), *([F.struct(*(docs[c] for c in rest)).alias("rest")] if rest else []))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), F.monotonically_increasing_id().alias("rid"), *([F.struct(*(docs[c] for c in rest)).alias("rest")] if rest else []))
     ways = parts(spark)
-    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    ranges = shards = max(ways, min(blocks, 8 * ways))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long")).repartition(ways, "block")
-    plain = dealt.select("doc_id", "text", "block")
-    asked = plain.groupBy("block").applyInArrow(_send_anchors(ranges), "part int, block long, keys binary, bits binary")
+    blocks = checkpointed(rows.mapInArrow(_pack_blocks, "block long, payload binary"))
+    ranges = shards = max(ways, min(blocks.count(), 8 * ways))
+    asked = blocks.mapInArrow(_send_anchors(ranges), "part int, block long, keys binary, bits binary")
     bits = checkpointed(asked.groupBy("part").applyInArrow(_shared_bits, "part int, block long, bits binary"))
-    contexts = plain.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_contexts(ranges, shards), "shard int, block long, anchors binary, docs binary, lengths binary, data binary")
-    marks = checkpointed(contexts.groupBy("shard").applyInArrow(_match_shard, "shard int, block long, marks binary"))
+    dealt = blocks.repartition(ways, "block")
+    contexts = dealt.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_contexts(ranges, shards), "shard int, block long, n int, least long, payload binary")
+    marks = contexts.groupBy("shard").applyInArrow(_match_shard, "shard int, block long, marks binary")
     sent = bits.select("block", F.lit(0).alias("kind"), F.col("part").alias("place"), F.col("bits").alias("payload")).unionByName(marks.select("block", F.lit(1).alias("kind"), F.col("shard").alias("place"), F.col("marks").alias("payload")))
     types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-    out = StructType([f for f in StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string") if f.name in fields] + [f for f in dealt.schema if f.name == "rest"])
+    out = StructType([f for f in StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string") if f.name in fields] + [f for f in rows.schema if f.name == "rest"])
     schema = pa.schema([(c, types[c]) for c in types if c in fields] + ([("rest", pa.null())] if rest else []))
     return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_finish(ranges, shards, schema), out)
 
