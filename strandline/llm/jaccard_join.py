@@ -82,15 +82,16 @@ class Division:
         most = (100 - self.percent) * 2 * (self.edges[shell + 1] - 1) // (100 + self.percent)
         return most, most + 3 + most // 8
 
-    def signatures(self, g: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the set, region) for every region that a set belongs to."""
+    def signatures(self, g: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the set, region, least) for every region that a set belongs to.  least holds the shell (above 20
+        bits) and how many of its regions in the shell the set shares at least with each of its links."""
         n = np.diff(off)
         some = np.flatnonzero(n)
         own = np.searchsorted(self.edges, n[some], side="right") - 1
         up = n[some] * 100 // self.percent >= self.edges[own + 1]
         place = np.concatenate([some, some[up]])
         shell = np.concatenate([own, own[up] + 1])
-        out_place, out_region = [], []
+        out_place, out_region, out_least = [], [], []
         h = _seeded(g, 77 + seed)
         word = mix(h + _ODD)
         step = 4096
@@ -112,9 +113,11 @@ class Division:
             region = mix(content + mix((s[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) + _ODD))
             out_place.append(p[owner[give]])
             out_region.append(region[give])
+            least = np.where(occupied > most, occupied, many) - most
+            out_least.append(((s.astype(np.int32) << 20) | np.minimum(least, (1 << 20) - 1).astype(np.int32))[owner[give]])
         if not out_place:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate(out_place), np.concatenate(out_region)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.concatenate(out_place), np.concatenate(out_region), np.concatenate(out_least)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -144,10 +147,10 @@ def _regions(shingle: int, percent: int, seed: int):
             for batch in _slices(whole):
                 g, off = shingle_sets(batch.column("text"), shingle)
                 key = set_keys(g, off, seed)[0]
-                place, region = division.signatures(g, off, 0)
+                place, region, least = division.signatures(g, off, 0)
                 first = np.unique(key, return_index=True)[1]  # copies within the batch are one point
                 keep = np.isin(place, first)
-                yield pa.RecordBatch.from_arrays([_long(region[keep]), _long(key[place[keep]])], ["region", "key"])
+                yield pa.RecordBatch.from_arrays([_long(region[keep]), _long(key[place[keep]]), pa.array(least[keep])], ["region", "key", "least"])
 
     return run
 
@@ -157,13 +160,15 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A region streams through, whatever its size.
     """
-    region, last, told = None, None, False
+    region, last, least, told = None, None, 0, False
     for batch in batches:
         r, k = batch.column("region").to_numpy(), batch.column("key").to_numpy()
+        m = batch.column("least").to_numpy()
         if not len(r):
             continue
         if region is None:
-            region, last, told = r[0], k[0], False
+            region, last, least, told = r[0], k[0], m[0], False
+        m = np.concatenate([[least], m]).astype(np.int32)
         r, k = np.concatenate([[region], r]), np.concatenate([[last], k])  # the row before, once more
         change = (r[1:] == r[:-1]) & (k[1:] != k[:-1])  # another member than the row before
         give = np.concatenate([[False], change])
@@ -172,9 +177,9 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.add.reduceat(give, new) > 0
         many[0] &= not told
         give[new] |= many
-        yield pa.RecordBatch.from_arrays([pa.array(r[give]), pa.array(k[give])], ["region", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(r[give]), pa.array(k[give]), pa.array(m[give])], ["region", "key", "least"])
         told = bool(np.flatnonzero(give[new[-1] :]).size) or (len(new) == 1 and told)
-        region, last = r[-1], k[-1]
+        region, last, least = r[-1], k[-1], m[-1]
 
 
 def _texts(shingle: int, seed: int):
@@ -328,9 +333,14 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col:
         if reps.where("c0 <> c1").isEmpty():  # else two sets share a digest: take another
             break
         seed += 1
-    dealt = rows.where("doc_id is not null").select("text").mapInArrow(_regions(shingle, percent, seed), "region long, key long")
-    members = dealt.repartition(parts(spark), "region").sortWithinPartitions("region", "key").mapInArrow(_members, "region long, key long")
+    dealt = rows.where("doc_id is not null").select("text").mapInArrow(_regions(shingle, percent, seed), "region long, key long, least int")
+    members = dealt.repartition(parts(spark), "region").sortWithinPartitions("region", "key").mapInArrow(_members, "region long, key long, least int")
     members = checkpointed(members)
+    for _ in range(2):  # a set that shares fewer regions than a link would has none; then regions may be left with one member
+        enough = members.groupBy("key", "least").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("least").bitwiseAND((1 << 20) - 1))
+        members = members.join(enough.select("key", "least"), ["key", "least"], "left_semi")
+        members = checkpointed(members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"), "region", "left_semi"))
+    members = members.select("region", "key")
     texts = rows.where("doc_id is not null").select("text").mapInArrow(_texts(shingle, seed), "key long, packed binary")
     texts = checkpointed(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
     # first round: everyone against the pivot of its region

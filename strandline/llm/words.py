@@ -135,7 +135,11 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes text after text, and the offsets of each text's set."""
     g, doc = shingles(split_words(column), n)
-    order = np.lexsort((g, doc))
+    order = np.argsort(g)
+    if len(column) <= 1 << 16:  # a radix sort by text
+        order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
+    else:
+        order = order[np.argsort(doc[order], kind="stable")]
     g, doc = g[order], doc[order]
     if len(g):
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])
