@@ -13,7 +13,7 @@ point.  Points are dealt into regions such that any two within the radius share
 In a region the pivot is the member that lies in most regions; the distance of every member
 to it is computed.  Members within the radius are linked to the pivot and never
 compared with each other: they are one component already.  The others stay open.
-A region with open members is cut into rings of one radius around its pivot; a member
+Regions with the same pivot are joined as one.  Where one has open members it is cut into rings of one radius around its pivot; a member
 is replicated to the next ring, as two linked members differ by at most a
 radius in their distance to the pivot.  Each ring is joined recursively:
 farthest-first pivots make Voronoi regions, a member is replicated to every
@@ -353,8 +353,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col:
     grouped = connected_components(links).select(F.col("id").alias("key"), F.col("component_id").alias("component"))
     grouped = checkpointed(texts.select("key").join(grouped, "key", "left").select("key", F.coalesce("component", "key").alias("component")))
     of_pivot = grouped.select(F.col("key").alias("pivot"), F.col("component").alias("main"))
-    told = pointed.join(grouped, "key").join(of_pivot, "pivot").join(found.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "distance"), ["key", "pivot"], "left")
-    told = told.select("region", "key", "component", (F.col("component") != F.col("main")).alias("open"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    # regions with the same pivot go on as one, so that a member is sent once for a pivot and not once for a region
+    told = pointed.select("key", "pivot").distinct().join(grouped, "key").join(of_pivot, "pivot").join(found.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "distance"), ["key", "pivot"], "left")
+    told = told.select(F.col("pivot").alias("region"), "key", "component", (F.col("component") != F.col("main")).alias("open"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
     live = told.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open")).where("n_open > 0 and n > 2").select("region")
     radius = 1.0 - percent / 100.0
     ring = F.floor(F.col("distance") / radius).cast("long")
