@@ -1,14 +1,318 @@
-"""Named plans over the driver tables, and the SQL they are held against."""
+"""Named plans over the driver tables, and the SQL they are held against.
+
+The site matrix: site = l_partkey, sample = l_linenumber, beta = mean discount
+scaled into (0, 1); groups A = samples 1-4 and B = 5-7 (cases); chromosome =
+p_partkey div 50, position = 100 p_partkey + p_size.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions.stats import correlation, correlation_p, m_value
+from strandline.operators import connect, intervals, motifs, ordering, regions
+
+GROUPS = {"A": [0, 1, 2, 3], "B": [4, 5, 6]}
+TEST = {"strong": connect.Test(0.9, "strong", 140, 0.25), "weak": connect.Test(0.5, "weak", 140, 0.25)}
+WIDTH = 2000
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def plan(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        PLANS[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PLANS["seed_runs"](spark, sf_dir)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("site"), F.col("l_linenumber").cast("long").alias("sample")).agg((F.avg("l_discount") * 9.8 + 0.01).alias("beta"))
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("site"), F.floor(F.col("p_partkey") / 50).cast("long").alias("chr"), (F.col("p_partkey") * 100 + F.col("p_size")).alias("pos"))
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connect.pack(cells(spark, sf_dir), sites(spark, sf_dir), list(range(1, 8)))
+
+
+def the_edges(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return connect.edges(packed(spark, sf_dir), GROUPS, "B", "A", TEST[mode])
+
+
+def windows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 50).cast("long").alias("chr"), (F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size") * 4).alias("end"))
+
+
+def genes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    start = F.col("s_suppkey") * 1900
+    return s.select(F.col("s_suppkey").alias("id"), F.floor(start / 5000).cast("long").alias("chr"), start.alias("start"), (start + 700 + F.col("s_nationkey") * 20).alias("end"))
+
+
+_CELL = "cell as (select l_partkey as site, l_linenumber as smp, avg(l_discount) * 9.8 + 0.01 as b from lineitem group by 1, 2)"
+_SITE = "st as (select p_partkey as site, cast(floor(p_partkey / 50) as bigint) as chr, p_partkey * 100 + p_size as pos from part)"
+_M = f"{_CELL}, {_SITE}, m as (select st.site, st.chr, st.pos, s.smp, case when s.smp <= 4 then 'A' else 'B' end as g, b, coalesce(log2(b / (1 - b + 1e-6) + 1e-6), 0) as mv from st cross join range(1, 8) s(smp) left join cell on cell.site = st.site and cell.smp = s.smp)"
+_PAIR = f"""{_M}, nx as (select site, chr, pos, lead(site) over (partition by chr order by pos) as nsite, lead(pos) over (partition by chr order by pos) as npos from st),
+ pr as (select nx.site, x.g, count(*) as n, covar_pop(x.mv, y.mv) / (case when stddev_pop(x.mv) > 1e-9 and stddev_pop(y.mv) > 1e-9 then stddev_pop(x.mv) * stddev_pop(y.mv) end) as r
+        from nx join m x on x.site = nx.site join m y on y.site = nx.nsite and y.smp = x.smp group by 1, 2),
+ pp as (select site, g, r, case when n = 4 then 1 - least(1.0, abs(r)) else 1 - 2 / pi() * asin(least(1.0, abs(r))) end as p from pr),
+ dl as (select site, avg(case when g = 'B' then b end) - avg(case when g = 'A' then b end) as d from m group by 1)"""
+
+
+def _edge_sql(mode: str) -> str:
+    t = TEST[mode]
+    limit = t.max_pval / 2 if mode == "strong" else t.max_pval
+    passed = "fa = '' and fb = ''" if mode == "strong" else "fa = '' or fb = ''"
+    failing = "case when fa <> '' then 'A' else 'B' end" if mode == "strong" else "concat_ws(';', case when fa <> '' then 'A' end, case when fb <> '' then 'B' end)"
+    return f"""{_PAIR}, w as (select nx.*, a.p as pa, b.p as pb, dl.d,
+   case when a.r is null then 'na r' when a.p > {limit} then 'pval>max_pval' else '' end as fa,
+   case when b.r is null then 'na r' when b.p > {limit} then 'pval>max_pval' else '' end as fb,
+   nsite is null as is_last, coalesce(npos - pos > {t.max_distance}, false) as far, coalesce(abs(dl.d) >= {t.rescue_delta}, false) as resc
+   from nx left join pp a on a.site = nx.site and a.g = 'A' left join pp b on b.site = nx.site and b.g = 'B' left join dl on dl.site = nx.nsite),
+ e as (select site, chr, pos, nsite as next_site, not is_last and not far and (resc or ({passed})) as connected,
+   case when not is_last and not far and not resc then greatest(pa, pb) end as pval,
+   case when is_last then 'end-of-input' when far then 'exceeded max distance' when resc then 'abs(delta_beta)>=force_connect_delta_beta' when {passed} then '' when fa <> '' then fa else fb end as reason,
+   case when not is_last and not far and not resc and not ({passed}) then {failing} end as failing, d as delta from w)"""
+
+
+def _edge_plan(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = the_edges(spark, sf_dir, mode)
+        return e.select("site", "chr", "pos", "next_site", "connected", F.round("pval", 7).alias("pval"), "reason", "failing", F.round("delta", 7).alias("delta"))
+
+    return run
+
+
+for _mode in ("strong", "weak"):
+    PLANS[f"edges_{_mode}"] = _edge_plan(_mode)
+    ORACLES[f"edges_{_mode}"] = f"with {_edge_sql(_mode)} select site, chr, pos, next_site, connected, round(pval, 7) as pval, reason, failing, round(delta, 7) as delta from e"
+
+_RUNS = f"""{_edge_sql("weak")}, i as (select *, coalesce(sum(case when connected then 0 else 1 end) over (partition by chr order by pos rows between unbounded preceding and 1 preceding), 0) as run from e),
+ r as (select chr, cast(run as bigint) as run, min(site) as start_seed, max(site) as end_seed, min(pos) as start, max(pos) as "end", count(*) as seeds_num, avg(case when connected then pval end) as p from i group by 1, 2 having count(*) >= 2)"""
+
+
+@plan(f"with {_CELL} select site, cast(smp as bigint) as sample, round(b, 9) as beta from cell")
+def beta_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).select("site", "sample", F.round("beta", 9).alias("beta"))
+
+
+@plan(f"with {_CELL} select site, cast(smp as bigint) as sample, round(log2(b / (1 - b + 1e-6) + 1e-6), 7) as m from cell")
+def mvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).select("site", "sample", F.round(m_value(F.col("beta")), 7).alias("m"))
+
+
+@plan(f"with {_PAIR} select site, g as grp, round(r, 7) as r, round(p, 7) as p from pp")
+def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = connect.adjacent(packed(spark, sf_dir)).where("next_site is not null")
+    rows = F.array(*(F.struct(F.lit(g).alias("grp"), correlation(connect.group_values(F.col("beta"), k), connect.group_values(F.col("next_beta"), k)).alias("r"), F.lit(len(k)).alias("n")) for g, k in GROUPS.items()))
+    x = pairs.select("site", F.explode(rows).alias("x")).select("site", "x.*")
+    p = F.when(F.col("n") == 4, correlation_p(F.col("r"), 2)).otherwise(correlation_p(F.col("r"), 1))
+    return x.select("site", "grp", F.round("r", 7).alias("r"), F.round(p, 7).alias("p"))
+
+
+@plan(f'with {_RUNS} select chr, run, start_seed, end_seed, start, "end", seeds_num, round(p, 6) as pval from r')
+def seed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.runs(the_edges(spark, sf_dir, "weak")).select("chr", "run", "start_seed", "end_seed", "start", "end", "seeds_num", F.round("connection_corr_pval", 6).alias("pval"))
+
+
+@plan("""with x as (select cast(floor(p_partkey / 50) as bigint) as chr, p_partkey * 100 as s, p_partkey * 100 + p_size * 4 as e from part),
+ y as (select *, max(e) over (partition by chr order by s, e rows between unbounded preceding and 1 preceding) as reach from x),
+ z as (select *, sum(case when reach is null or s > reach + 1 then 1 else 0 end) over (partition by chr order by s, e rows unbounded preceding) as i from y)
+ select chr, min(s) as start, max(e) as "end", count(*) as merged from z group by chr, i""")
+def merge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.merge_intervals(windows_of(spark, sf_dir))
+
+
+_BOUND = f"""{_edge_sql("weak")}, n as (select *, row_number() over (partition by chr order by pos) as site_idx from e),
+ bd as (select *, max(case when not connected then site_idx end) over (partition by chr order by pos rows unbounded preceding) as prev_failed,
+        min(case when not connected then site_idx end) over (partition by chr order by pos rows between current row and unbounded following) as next_failed from n)"""
+
+
+@plan(f"with {_BOUND} select site, chr, site_idx, prev_failed, next_failed from bd")
+def boundary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.boundaries(the_edges(spark, sf_dir, "weak")).select("site", "chr", "site_idx", "prev_failed", "next_failed")
+
+
+@plan(f"""with {_BOUND}, sd as (select chr, site, site_idx, prev_failed, next_failed from bd where site % 5 = 0),
+ x as (select sd.chr, sd.site as seed, coalesce(p.prev_failed, 0) + 1 as start_idx, sd.next_failed as end_idx from sd left join bd p on p.chr = sd.chr and p.site_idx = sd.site_idx - 1)
+ select x.chr, x.seed, start_idx, end_idx, a.pos as start_pos, b.pos as end_pos, end_idx - start_idx + 1 as sites_num
+ from x join bd a on a.chr = x.chr and a.site_idx = start_idx join bd b on b.chr = x.chr and b.site_idx = end_idx""")
+def expand_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = the_edges(spark, sf_dir, "weak")
+    seeds = sites(spark, sf_dir).where("site % 5 = 0").select("chr", F.col("site").alias("start_seed"), F.col("site").alias("end_seed"))
+    return regions.expand(seeds, e).select("chr", F.col("start_seed").alias("seed"), "start_idx", "end_idx", "start_pos", "end_pos", "sites_num")
+
+
+_STATS = f"""{_CELL}, ss as (select site, avg(case when smp > 4 then b end) as cb, avg(case when smp <= 4 then b end) as kb, stddev_samp(case when smp > 4 then b end) as cs, stddev_samp(case when smp <= 4 then b end) as ks,
+ count(case when smp > 4 then b end) as cn, count(case when smp <= 4 then b end) as kn from cell group by 1)"""
+
+
+@plan(f"with {_STATS} select site, round(cb, 7) as cases_beta, round(kb, 7) as controls_beta, round(cs, 7) as cases_sd, round(ks, 7) as controls_sd, cn as cases_num, kn as controls_num, round(cb - kb, 7) as delta_beta from ss")
+def site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = regions.site_stats(cells(spark, sf_dir).withColumn("is_case", F.col("sample") > 4))
+    return s.select("site", *(F.round(c, 7).alias(c) for c in ("cases_beta", "controls_beta", "cases_sd", "controls_sd")), "cases_num", "controls_num", F.round("delta_beta", 7).alias("delta_beta"))
+
+
+@plan(f"""with {_STATS} select cast(floor(p_partkey / 20) as bigint) as region, round(case when count(cb - kb) = count(*) then median(abs(cb - kb)) * sign(sum(sign(cb - kb))) end, 6) as delta_beta,
+ count(*) as sites_num, round(min(cb - kb), 6) as min_delta, round(max(cb - kb), 6) as max_delta from part left join ss on ss.site = p_partkey group by 1""")
+def region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = regions.site_stats(cells(spark, sf_dir).withColumn("is_case", F.col("sample") > 4))
+    m = sites(spark, sf_dir).join(s, "site", "left").withColumn("region", F.floor(F.col("site") / 20).cast("long"))
+    return regions.region_stats(m).select("region", F.round("delta_beta", 6).alias("delta_beta"), "sites_num", F.round("min_delta", 6).alias("min_delta"), F.round("max_delta", 6).alias("max_delta"))
+
+
+_IV = """a as (select p_partkey as id, cast(floor(p_partkey / 50) as bigint) as chr, p_partkey * 100 as s, p_partkey * 100 + p_size * 4 as e from part),
+ b as (select s_suppkey as id, cast(floor(s_suppkey * 1900 / 5000) as bigint) as chr, s_suppkey * 1900 as s, s_suppkey * 1900 + 700 + s_nationkey * 20 as e from supplier)"""
+
+
+@plan(f"""with {_IV} select a.id as a_id, b.id as b_id, a.chr, greatest(a.s, b.s) as start, least(a.e, b.e) as "end" from a join b on a.chr = b.chr and a.s <= b.e and b.s <= a.e""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlaps(windows_of(spark, sf_dir), genes_of(spark, sf_dir), WIDTH)
+
+
+@plan(f"""with {_IV} select a.id, string_agg(distinct cast(b.id as varchar), ',' order by cast(b.id as varchar)) as genes from a left join b on a.chr = b.chr and a.s <= b.e and b.s <= a.e group by 1""")
+def gene_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.annotate(windows_of(spark, sf_dir), genes_of(spark, sf_dir).withColumnRenamed("id", "symbol"), WIDTH)
+
+
+@plan(f"""with {_IV} select b.id, greatest(count(a.id), 1) as background from b left join a on a.chr = b.chr and a.s between b.s and b.e group by 1""")
+def overlap_count_min1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.background_counts(genes_of(spark, sf_dir), windows_of(spark, sf_dir).withColumn("end", F.col("start")), WIDTH)
+
+
+@plan(f"""with {_IV}, x as (select a.id, b.id as span, row_number() over (partition by a.id order by (floor((a.s + a.e) / 2) between b.s and b.e) desc, least(a.e, b.e) - greatest(a.s, b.s) desc, b.id) as k
+ from a join b on a.chr = b.chr and a.s <= b.e and b.s <= a.e) select id, span from x where k = 1""")
+def span_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.assign_spans(windows_of(spark, sf_dir), genes_of(spark, sf_dir), WIDTH)
+
+
+def _union_sql(x: str) -> str:
+    return f"""(select chr, min(s) as s, max(e) as e from (select *, sum(case when reach is null or s > reach + 1 then 1 else 0 end) over (partition by chr order by s, e rows unbounded preceding) as i
+ from (select *, max(e) over (partition by chr order by s, e rows between unbounded preceding and 1 preceding) as reach from {x})) group by chr, i)"""
+
+
+@plan(f"""with {_IV}, u as {_union_sql("a")}, v as {_union_sql("b")}, h as (select a.id as x, b.id as y from a join b on a.chr = b.chr and a.s <= b.e and b.s <= a.e),
+ q as (select (select count(distinct x) from h) as tp, (select count(*) from a) as na, (select count(distinct y) from h) as ht, (select count(*) from b) as nb,
+ (select sum(least(u.e, v.e) - greatest(u.s, v.s) + 1) from u join v on u.chr = v.chr and u.s <= v.e and v.s <= u.e) as both_bp, (select sum(e - s + 1) from u) as bu, (select sum(e - s + 1) from v) as bv)
+ select tp, round(tp / na, 9) as prec, round(ht / nb, 9) as recall, round(both_bp / bu, 9) as bp_prec, round(both_bp / bv, 9) as bp_recall, round(both_bp / (bu + bv - both_bp), 9) as bp_jaccard from q""")
+def overlap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = intervals.overlap_metrics(windows_of(spark, sf_dir), genes_of(spark, sf_dir), WIDTH)
+    return m.select("tp", *(F.round(c, 9).alias(c) for c in m.columns if c != "tp"))
+
+
+@plan(f"""with {_PAIR}, x as (select nx.chr, pp.site, p from pp join nx on nx.site = pp.site where g = 'A' and p is not null),
+ y as (select *, p * count(*) over (partition by chr) / row_number() over (partition by chr order by p, site) as q from x)
+ select chr, site, round(p, 6) as p, round(least(1.0, min(q) over (partition by chr order by p desc, site desc rows unbounded preceding)), 6) as fdr from y""")
+def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = connect.adjacent(packed(spark, sf_dir)).where("next_site is not null")
+    p = correlation_p(correlation(connect.group_values(F.col("beta"), GROUPS["A"]), connect.group_values(F.col("next_beta"), GROUPS["A"])), 2)
+    x = pairs.select("chr", "site", p.alias("p")).where("p is not null")
+    return ordering.benjamini_hochberg(x, "chr", "p", "site").select("chr", "site", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"))
+
+
+_EV = "ev as (select user_id, epoch_us(ts) as t from events)"
+
+
+@plan(f"with {_EV}, x as (select user_id, t, event_gap > 21600000000 as new from (select *, t - lag(t) over (partition by user_id order by t) as event_gap from ev)) select user_id, t, cast(sum(case when new then 1 else 0 end) over (partition by user_id order by t rows unbounded preceding) as bigint) as cluster from x")
+def cluster_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return ordering.clusters_by_gap(e, "user_id", "t", 21600000000)
+
+
+@plan(f"""with {_EV}, g as (select user_id, (t - lag(t) over (partition by user_id order by t)) / 1e6 as gap from ev), s as (select user_id, list_sort(list(gap)) as v from g where gap is not null group by 1),
+ h as (select user_id, v, len(v) as n, (len(v) + 1/3) * 0.95 + 1/3 as h from s)
+ select user_id, round(greatest(2500.0, least(500000.0, 1.5 * (v[greatest(1, least(n, floor(h)))::int] + (h - floor(h)) * (v[greatest(1, least(n, floor(h) + 1))::int] - v[greatest(1, least(n, floor(h)))::int])))), 5) as threshold from h""")
+def gap_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    g = e.withColumn("gap", (F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("t"))) / 1e6).where("gap is not null")
+    return ordering.gap_threshold(g, "user_id", "gap", high=500000.0).select("user_id", F.round("threshold", 5).alias("threshold"))
+
+
+@plan("select user_id, round(1.4826 * mad(value), 6) as mad from events group by 1")
+def mad_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    mid = e.groupBy("user_id").agg(F.median("value").alias("mid"))
+    return e.join(mid, "user_id").groupBy("user_id").agg(F.round(F.median(F.abs(F.col("value") - F.col("mid"))) * 1.4826, 6).alias("mad"))
+
+
+@plan("select p_partkey, p_brand, rk from (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rk from part) where rk <= 10")
+def topk_per_chr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.top_k(table(spark, sf_dir, "part"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 10).select("p_partkey", "p_brand", F.col("rk").cast("long").alias("rk"))
+
+
+@plan("select c_custkey, cast((row_number() over (partition by c_mktsegment order by c_custkey) - 1) % 5 as bigint) as fold from customer")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.stratified_folds(table(spark, sf_dir, "customer"), "c_mktsegment", [F.col("c_custkey")], 5).select("c_custkey", "fold")
+
+
+@plan("select l_partkey, l_linenumber, cast(sum(l_quantity) as double) as total, count(*) as collapsed from lineitem group by 1, 2")
+def collapse_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linenumber").agg(F.sum("l_quantity").cast("double").alias("total"), F.count(F.lit(1)).alias("collapsed"))
+
+
+@plan("""with n as (select case when n_nationkey < 20 then 'chr' || (n_nationkey + 1) else ['chrX', 'chrY', 'chrM', 'chrMT', 'chrUn'][n_nationkey - 19] end as chr from nation)
+ select chr, row_number() over (order by try_cast(replace(chr, 'chr', '') as int) is null, coalesce(try_cast(replace(chr, 'chr', '') as int), 0), case chr when 'chrX' then 1 when 'chrY' then 2 when 'chrM' then 3 when 'chrMT' then 4 else 9 end, chr) as place from n""")
+def natural_chr_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = F.col("n_nationkey")
+    chrom = F.when(n < 20, F.concat(F.lit("chr"), (n + 1).cast("string"))).otherwise(F.element_at(F.array(*map(F.lit, ("chrX", "chrY", "chrM", "chrMT", "chrUn"))), F.greatest(n - 19, F.lit(1))))
+    x = table(spark, sf_dir, "nation").select(chrom.alias("chr"))
+    return x.select("chr", F.row_number().over(Window.orderBy(ordering.natural_key(F.col("chr")))).cast("long").alias("place"))
+
+
+@plan("select p_partkey, 'chr' || (p_size % 22) as chr, cast(p_partkey * 1000 as bigint) as start, cast(p_partkey * 1000000 as bigint) as \"end\" from part")
+def parse_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("chr"), (F.col("p_size") % 22).cast("string"), F.lit(":"), F.col("p_partkey").cast("string"), F.lit("kb-"), F.col("p_partkey").cast("string"), F.lit("Mb"))
+    return table(spark, sf_dir, "part").select("p_partkey", ordering.parse_region(text).alias("r")).select("p_partkey", "r.*")
+
+
+_SEQ = "q as (select doc_id, lang, translate(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 12), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents)"
+
+
+@plan(f"""with {_SEQ}, s as (select * from q where length(seq) = 12), o as (select doc_id, case when substr(seq, 6, 1) = 'G' then translate(seq, 'ACGT', 'TGCA') else seq end as one from s)
+ select doc_id, case when substr(one, 6, 1) <> 'C' and substr(one, 7, 1) = 'G' then reverse(translate(one, 'ACGT', 'TGCA')) else one end as oriented from o""")
+def motif_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(spark, sf_dir).select("doc_id", motifs.oriented(F.col("seq"), 5).alias("oriented"))
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    seq = F.translate(F.substring(letters, 1, 12), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", seq.alias("seq")).where(F.length("seq") == 12)
+
+
+@plan(f"""with {_SEQ}, s as (select lang, k as place, substr(seq, k, 1) as b from q cross join range(1, 13) t(k) where length(seq) = 12),
+ c as (select lang, place, count(*) as n, sum((b = 'A')::int) / count(*) as a, sum((b = 'C')::int) / count(*) as c, sum((b = 'G')::int) / count(*) as g, sum((b = 'T')::int) / count(*) as t from s group by 1, 2)
+ select lang, place, round(a, 9) as f_a, round(c, 9) as f_c, round(g, 9) as f_g, round(t, 9) as f_t, case when a = greatest(a, c, g, t) then 'A' when c = greatest(a, c, g, t) then 'C' when g = greatest(a, c, g, t) then 'G' else 'T' end as base from c""")
+def pwm_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = motifs.pwm(_sequences(spark, sf_dir), "lang", "seq", 12)
+    return p.select("lang", "place", *(F.round(c, 9).alias(c) for c in ("f_a", "f_c", "f_g", "f_t")), "base")
+
+
+@plan(f"with {_CELL} select l.site, l.smp as sample, round(l.b - (r.i + r.s * l.smp), 6) as residual from (select site, cast(smp as bigint) as smp, b from cell) l join (select site, regr_intercept(b, smp) as i, regr_slope(b, smp) as s, count(*) as n from cell group by 1) r using (site) where n > 2")
+def ols_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir)
+    fit = c.groupBy("site").agg(F.regr_intercept("beta", "sample").alias("i"), F.regr_slope("beta", "sample").alias("s"), F.count(F.lit(1)).alias("n")).where("n > 2")
+    return c.join(fit, "site").select("site", "sample", F.round(F.col("beta") - (F.col("i") + F.col("s") * F.col("sample")), 6).alias("residual"))
