@@ -28,7 +28,7 @@ from .tools import shared, text_of
 #: The published pattern of byte-level BPE (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 128
-CACHE = 200_000
+CACHE = 150_000
 _FAR = 1 << 60
 
 

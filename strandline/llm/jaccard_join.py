@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import checkpointed, connected_components, parts, text_of
+from .tools import checkpointed, connected_components, parts, text_of, tidy
 from .words import mix, shingle_sets
 
 #: Ratio of the sizes at the ends of a shell.
@@ -130,6 +130,7 @@ def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]
 
 
 def _sizes(shingle: int, seed: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole):
@@ -141,6 +142,7 @@ def _sizes(shingle: int, seed: int):
 
 
 def _regions(shingle: int, percent: int, seed: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         division = Division(percent)
         for whole in batches:
@@ -185,6 +187,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(shingle: int, seed: int):
     """Key and compressed text of each distinct set of a batch; a text is smaller than its shingles."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
         for whole in batches:
@@ -205,6 +208,7 @@ def _unpacked(packed: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(shingle: int, percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, 500):
@@ -300,6 +304,7 @@ class Ring:
 
 
 def _join_ring(shingle: int, percent: int):
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("key")
         key = rows.column("key").to_numpy()

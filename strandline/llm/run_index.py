@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .tools import checkpointed, parts, text_of
+from .tools import checkpointed, parts, text_of, tidy
 from .words import hash_spans, mix, text_bytes
 
 #: Bytes of a match.
@@ -139,6 +139,7 @@ def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(length.sum()) + np.repeat(start - (np.cumsum(length) - length), length)
 
 
+@tidy
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the scan as compressed blocks, each of at most BLOCK_ROWS rows and about BLOCK_BYTES of text."""
     small = zstandard.ZstdCompressor(level=1)
@@ -157,6 +158,7 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _send_anchors(ranges: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
@@ -176,6 +178,7 @@ def _send_anchors(ranges: int):
 _ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("bits", pa.binary())])
 
 
+@tidy
 def _shared_bits(table: pa.Table) -> pa.Table:
     """For the keys of every block of a range: one bit, set if two documents have it."""
     rows = table.to_pylist()
@@ -217,6 +220,7 @@ _CONTEXTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.in
 def _send_contexts(ranges: int, shards: int):
     """Per shard: 32 bits of each context's anchor, its identifier above the block's least, its length and bytes, compressed."""
 
+    @tidy
     def run(table: pa.Table, bits: pa.Table) -> pa.Table:
         small = zstandard.ZstdCompressor(level=3)
         out = []
@@ -334,6 +338,7 @@ def earlier_matches(data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> np.n
     return bits
 
 
+@tidy
 def _match_shard(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     sent = [_read_contexts(r) for r in rows]
@@ -392,6 +397,7 @@ def _removed(block: Block, bits: pa.Table, marks: pa.Table, ranges: int, shards:
 
 
 def _finish(ranges: int, shards: int, schema: pa.Schema):
+    @tidy
     def run(table: pa.Table, sent: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import checkpointed, parts, shared, text_of
+from .tools import checkpointed, parts, shared, text_of, tidy
 from .words import END, HashIndex, Words, counts_of, cuts_of, mix, split_words
 
 #: Bytes of text that a task holds as one block.
@@ -91,6 +91,7 @@ def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> lis
 
 
 def _count_words(ranges: int):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches):
             words = split_words(table.column("text"))
@@ -110,6 +111,7 @@ _SUMMED = "part int, kind int, keys binary, counts binary, total long, distinct_
 def _sum(least: float):
     """Sums of the packed counts of a range; keys below `least` are left out."""
 
+    @tidy
     def total(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
         counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
@@ -163,6 +165,7 @@ def _keys(sym: np.ndarray, doc: np.ndarray, length: int, base: int) -> tuple[np.
 
 
 def _count_successions(index, ranges: int, depth: int):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = index.value
         base = len(table_of.keys)
@@ -267,6 +270,7 @@ _SCORED_SQL = "part int, block long, rid binary, doc_id binary, held_out binary,
 def _score(model, ranges: int, alpha: float):
     """A row of sums per block, and a row per hash range with the words whose counts are still wanted."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, counts, tree = model.value
         for table in blocks(batches):
@@ -298,6 +302,7 @@ def _score(model, ranges: int, alpha: float):
 def _answer(alpha: float):
     """Replaces wanted words by sums per row of the block."""
 
+    @tidy
     def run(asked: pa.Table, totals: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
         found = totals.to_pylist()
@@ -321,6 +326,7 @@ def _gather(total: int, vocabulary: int, alpha: float):
     """Rows of a block from its sums."""
     each = np.log10(total + alpha * (vocabulary + 1))
 
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         head = next(r for r in rows if r["rid"] is not None)

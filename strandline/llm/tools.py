@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import pickle
 import tempfile
+import types
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +38,36 @@ def shared(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(_WithCode(value))
 
 
+def _release() -> None:
+    """Gives freed memory back to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function of batches (a generator) or of one group, releasing memory after each."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        got = run(*args)
+        if isinstance(got, types.GeneratorType):
+            return _released(got)
+        _release()
+        return got
+
+    return wrapped
+
+
+def _released(batches):
+    for batch in batches:
+        yield batch
+        _release()
+    _release()
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

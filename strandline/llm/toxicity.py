@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import shared, text_of
+from .tools import shared, text_of, tidy
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Prefix lengths that are features beside the whole word.
 PREFIXES = (3, 4, 5, 6)
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 @dataclass(frozen=True)
@@ -297,6 +297,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", p
 
 
 def _tagged(sent, threshold: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = sent.value
         for batch in batches:
@@ -319,6 +320,7 @@ def score_texts(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
 
 
 def _clean_rows(sent, threshold: float, text_col: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = sent.value
         for batch in batches:
