@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandline.plans.catalog import ORACLES, PLANS
@@ -12,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 
 def plain(x):
     """Nulls and numbers of either engine in one form."""
-    if x is None or x != x:
+    if pd.isna(x):
         return ""
     if isinstance(x, (bool, str)):
         return str(x)
