@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import functools
 import pickle
 import tempfile
 import types
@@ -50,15 +49,15 @@ def _release() -> None:
 def tidy(run):
     """A function of batches (a generator) or of one group, releasing memory after each."""
 
-    @functools.wraps(run)
-    def wrapped(*args):
-        got = run(*args)
+    def done(got):
         if isinstance(got, types.GeneratorType):
             return _released(got)
         _release()
         return got
 
-    return wrapped
+    if run.__code__.co_argcount == 1:  # the engine looks at the number of arguments
+        return lambda data: done(run(data))
+    return lambda left, right: done(run(left, right))
 
 
 def _released(batches):
