@@ -21,14 +21,26 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def unit(x: Column) -> Column:
+    """An array without nulls, centred and scaled to length 1, so that a correlation is a dot product; null where it is constant."""
+    n = F.size(x).cast("double")
+    centred = let(total(x) / n, lambda m: F.transform(x, lambda a: a - m))
+    scaled = lambda c: let(F.sqrt(total(F.transform(c, lambda a: a * a)) / n), lambda sd: F.when(sd > LEAST_SD, F.transform(c, lambda a: a / (sd * F.sqrt(n)))))
+    return let(centred, scaled)
+
+
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation of two equally long arrays without nulls; null where one is constant."""
-    n = F.size(x).cast("double")
-    mx, my = total(x) / n, total(y) / n
-    sxy = total(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
-    sx = F.sqrt(total(F.transform(x, lambda a: (a - mx) * (a - mx))) / n)
-    sy = F.sqrt(total(F.transform(y, lambda b: (b - my) * (b - my))) / n)
-    return F.when((sx > LEAST_SD) & (sy > LEAST_SD), sxy / n / (sx * sy))
+    return dot(unit(x), unit(y))
 
 
 def correlation_p(r: Column, df: int) -> Column:

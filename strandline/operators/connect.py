@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.stats import correlation, correlation_p, m_value
+from strandline.functions.stats import correlation_p, dot, m_value, unit
 
 
 @dataclass(frozen=True)
@@ -42,26 +42,32 @@ def delta_beta(packed: Column, case: list[int], control: list[int]) -> Column:
     return mean(case) - mean(control)
 
 
+def units(packed: DataFrame, groups: dict[str, list[int]]) -> DataFrame:
+    """Adds unit_<group>: the group's M values as a unit vector, worked out once per site rather than per pair."""
+    return packed.select("*", *(unit(group_values(F.col("beta"), places)).alias(f"unit_{g}") for g, places in groups.items()))
+
+
 def adjacent(packed: DataFrame) -> DataFrame:
-    """Each site with the next one of its chromosome: one window over packed rows, no self join."""
+    """Each site with the next one of its chromosome (next_<column>): one window over packed rows, no self join."""
     w = Window.partitionBy("chr").orderBy("pos")
-    return packed.withColumn("next_site", F.lead("site").over(w)).withColumn("next_pos", F.lead("pos").over(w)).withColumn("next_beta", F.lead("beta").over(w))
+    return packed.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in packed.columns if c != "chr"))
 
 
 def edges(packed: DataFrame, groups: dict[str, list[int]], case: str, control: str, test: Test) -> DataFrame:
     """site, chr, pos, next_site, connected, pval, reason, failing, delta of every edge; a chromosome's last site ends it."""
-    pairs = adjacent(packed)
+    x = units(packed, groups).withColumn("delta_beta", delta_beta(F.col("beta"), groups[case], groups[control])).drop("beta")
+    pairs = adjacent(x).withColumnRenamed("next_delta_beta", "delta")
     limit = test.max_pval / len(groups) if test.mode == "strong" else test.max_pval
     reasons, pvals = [], []
     for name, places in groups.items():
-        r = correlation(group_values(F.col("beta"), places), group_values(F.col("next_beta"), places))
+        r = dot(F.col(f"unit_{name}"), F.col(f"next_unit_{name}"))
         p = correlation_p(r, len(places) - 2)
         pairs = pairs.withColumn(f"r_{name}", r).withColumn(f"p_{name}", F.when(F.col(f"r_{name}").isNotNull(), p))
         p = F.col(f"p_{name}")
         why = F.when(F.lit(len(places) < 3), "").when(F.col(f"r_{name}").isNull(), "na r").when(p > limit, "pval>max_pval").otherwise("")
         reasons.append(F.struct(F.lit(name).alias("name"), why.alias("why")))
         pvals.append(p)
-    pairs = pairs.withColumn("failed", F.filter(F.array(*reasons), lambda x: x["why"] != "")).withColumn("delta", delta_beta(F.col("next_beta"), groups[case], groups[control]))
+    pairs = pairs.withColumn("failed", F.filter(F.array(*reasons), lambda x: x["why"] != ""))
     passed = F.size("failed") == 0 if test.mode == "strong" else F.size("failed") < len(groups)
     rescue = F.abs(F.col("delta")) >= test.rescue_delta if test.rescue_delta is not None else F.lit(False)
     last, far = F.col("next_site").isNull(), F.col("next_pos") - F.col("pos") > test.max_distance

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.stats import correlation, correlation_p, m_value
+from strandline.functions.stats import correlation_p, dot, m_value
 from strandline.operators import connect, intervals, motifs, ordering, regions
 
 GROUPS = {"A": [0, 1, 2, 3], "B": [4, 5, 6]}
@@ -122,8 +122,8 @@ def mvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"with {_PAIR} select site, g as grp, round(r, 7) as r, round(p, 7) as p from pp")
 def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = connect.adjacent(packed(spark, sf_dir)).where("next_site is not null")
-    rows = F.array(*(F.struct(F.lit(g).alias("grp"), correlation(connect.group_values(F.col("beta"), k), connect.group_values(F.col("next_beta"), k)).alias("r"), F.lit(len(k)).alias("n")) for g, k in GROUPS.items()))
+    pairs = connect.adjacent(connect.units(packed(spark, sf_dir), GROUPS).drop("beta")).where("next_site is not null")
+    rows = F.array(*(F.struct(F.lit(g).alias("grp"), dot(F.col(f"unit_{g}"), F.col(f"next_unit_{g}")).alias("r"), F.lit(len(k)).alias("n")) for g, k in GROUPS.items()))
     x = pairs.select("site", F.explode(rows).alias("x")).select("site", "x.*")
     p = F.when(F.col("n") == 4, correlation_p(F.col("r"), 2)).otherwise(correlation_p(F.col("r"), 1))
     return x.select("site", "grp", F.round("r", 7).alias("r"), F.round(p, 7).alias("p"))
@@ -223,8 +223,8 @@ def overlap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
  y as (select *, p * count(*) over (partition by chr) / row_number() over (partition by chr order by p, site) as q from x)
  select chr, site, round(p, 6) as p, round(least(1.0, min(q) over (partition by chr order by p desc, site desc rows unbounded preceding)), 6) as fdr from y""")
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = connect.adjacent(packed(spark, sf_dir)).where("next_site is not null")
-    p = correlation_p(correlation(connect.group_values(F.col("beta"), GROUPS["A"]), connect.group_values(F.col("next_beta"), GROUPS["A"])), 2)
+    pairs = connect.adjacent(connect.units(packed(spark, sf_dir), {"A": GROUPS["A"]}).drop("beta")).where("next_site is not null")
+    p = correlation_p(dot(F.col("unit_A"), F.col("next_unit_A")), 2)
     x = pairs.select("chr", "site", p.alias("p")).where("p is not null")
     return ordering.benjamini_hochberg(x, "chr", "p", "site").select("chr", "site", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"))
 
