@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.stats import correlation_p, dot, m_value, unit
+from strandline.functions.stats import correlation_p, dot, let, m_value, unit
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,17 @@ def delta_beta(packed: Column, case: list[int], control: list[int]) -> Column:
     return mean(case) - mean(control)
 
 
-def units(packed: DataFrame, groups: dict[str, list[int]]) -> DataFrame:
-    """Adds unit_<group>: the group's M values as a unit vector, worked out once per site rather than per pair."""
-    return packed.select("*", *(unit(group_values(F.col("beta"), places)).alias(f"unit_{g}") for g, places in groups.items()))
+def units(packed: DataFrame, groups: dict[str, list[int]], basis: list[list[float]] | None = None) -> DataFrame:
+    """Adds unit_<group>: the group's M values as a unit vector, worked out once per site rather than per pair.
+
+    With the basis of a design (see `design_basis`) its effect is taken out of the M
+    values first; a site with a missing value then counts as 0 throughout.
+    """
+    if not basis:
+        return packed.select("*", *(unit(group_values(F.col("beta"), places)).alias(f"unit_{g}") for g, places in groups.items()))
+    x = packed.withColumn("left_", residual(F.transform("beta", m_value), basis))
+    values = {g: F.array(*(F.coalesce(F.get("left_", F.lit(i)), F.lit(0.0)) for i in places)) for g, places in groups.items()}
+    return x.select(*packed.columns, *(unit(v).alias(f"unit_{g}") for g, v in values.items()))
 
 
 def adjacent(packed: DataFrame) -> DataFrame:
@@ -53,9 +62,36 @@ def adjacent(packed: DataFrame) -> DataFrame:
     return packed.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in packed.columns if c != "chr"))
 
 
-def edges(packed: DataFrame, groups: dict[str, list[int]], case: str, control: str, test: Test) -> DataFrame:
+def design_basis(rows: list[dict], covariates: list[str]) -> list[list[float]]:
+    """Orthonormal columns that span 1 and the covariates of the samples (one dict each); texts count as the rank of their value. Empty if singular."""
+    columns = [np.ones(len(rows))]
+    for c in covariates:
+        v = [r[c] for r in rows]
+        try:
+            columns.append(np.array([float(a) for a in v]))
+        except (TypeError, ValueError):
+            known = sorted({str(a) for a in v})
+            columns.append(np.array([known.index(str(a)) for a in v], float))
+    x = np.column_stack(columns)
+    return np.linalg.qr(x)[0].T.tolist() if np.linalg.matrix_rank(x) == x.shape[1] else []
+
+
+def residual(values: Column, basis: list[list[float]]) -> Column:
+    """values less their projection on the basis; null if one is missing."""
+
+    def without(left: Column, column: Column) -> Column:
+        return let(left, lambda y: let(dot(y, column), lambda c: F.zip_with(y, column, lambda a, b: a - b * c)))
+
+    left = values
+    for q in basis:  # orthonormal, so one after the other is the same as all at once
+        left = without(left, F.array(*map(F.lit, q)))
+    return F.when(F.forall(values, lambda v: v.isNotNull()), left)
+
+
+def edges(packed: DataFrame, groups: dict[str, list[int]], case: str | list[int], control: str | list[int], test: Test, basis: list[list[float]] | None = None) -> DataFrame:
     """site, chr, pos, next_site, connected, pval, reason, failing, delta of every edge; a chromosome's last site ends it."""
-    x = units(packed, groups).withColumn("delta_beta", delta_beta(F.col("beta"), groups[case], groups[control])).drop("beta")
+    sides = [groups[s] if isinstance(s, str) else s for s in (case, control)]
+    x = units(packed, groups, basis).withColumn("delta_beta", delta_beta(F.col("beta"), *sides)).drop("beta")
     pairs = adjacent(x).withColumnRenamed("next_delta_beta", "delta")
     limit = test.max_pval / len(groups) if test.mode == "strong" else test.max_pval
     reasons, pvals = [], []

@@ -15,7 +15,7 @@ def islands(edge: DataFrame) -> DataFrame:
 def runs(edge: DataFrame, min_seeds: int = 2) -> DataFrame:
     """chr, run, first and last site and position, seeds_num and mean p of connected edges of each run."""
     found = islands(edge).groupBy("chr", "run").agg(
-        F.min("site").alias("start_seed"), F.max("site").alias("end_seed"), F.min("pos").alias("start"), F.max("pos").alias("end"),
+        F.min_by("site", "pos").alias("start_seed"), F.max_by("site", "pos").alias("end_seed"), F.min("pos").alias("start"), F.max("pos").alias("end"),
         F.count(F.lit(1)).alias("seeds_num"), F.avg(F.when(F.col("connected"), F.col("pval"))).alias("connection_corr_pval"),
     )
     return found.where(F.col("seeds_num") >= min_seeds)
