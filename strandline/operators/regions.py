@@ -43,14 +43,18 @@ def boundaries(edge: DataFrame) -> DataFrame:
 
 
 def expand(run: DataFrame, site_edges: DataFrame) -> DataFrame:
-    """Runs grown over all neighbouring connected sites: start_idx, end_idx and positions after expansion."""
-    b = boundaries(site_edges).select("chr", "site", "pos", "site_idx", "prev_failed", "next_failed")
-    first = b.select(F.col("chr"), F.col("site").alias("start_seed"), (F.coalesce(F.lag("prev_failed").over(Window.partitionBy("chr").orderBy("pos")), F.lit(0)) + 1).alias("start_idx"))
-    last = b.select(F.col("chr"), F.col("site").alias("end_seed"), F.col("next_failed").alias("end_idx"))
-    grown = run.join(first, ["chr", "start_seed"]).join(last, ["chr", "end_seed"])
-    at_start = b.select("chr", F.col("site_idx").alias("start_idx"), F.col("pos").alias("start_pos"))
-    at_end = b.select("chr", F.col("site_idx").alias("end_idx"), F.col("pos").alias("end_pos"))
-    return grown.join(at_start, ["chr", "start_idx"]).join(at_end, ["chr", "end_idx"]).withColumn("sites_num", F.col("end_idx") - F.col("start_idx") + 1)
+    """Runs grown over all neighbouring connected sites: start_idx, end_idx and positions after expansion.
+
+    Windows give every site the ends of its own stretch, so a run needs just the rows of its first and last seed.
+    """
+    w = Window.partitionBy("chr").orderBy("pos")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    x = site_edges.select("chr", "site", "pos", "connected", F.row_number().over(w).cast("long").alias("idx"), F.lag("connected").over(w).alias("joined"))
+    here = F.struct(F.col("idx"), F.col("pos"))
+    x = x.select("chr", "site", F.last(F.when(~F.coalesce("joined", F.lit(False)), here), True).over(back).alias("a"), F.first(F.when(~F.col("connected"), here), True).over(ahead).alias("b"))
+    first = x.select("chr", F.col("site").alias("start_seed"), F.col("a.idx").alias("start_idx"), F.col("a.pos").alias("start_pos"))
+    last = x.select("chr", F.col("site").alias("end_seed"), F.col("b.idx").alias("end_idx"), F.col("b.pos").alias("end_pos"))
+    return run.join(first, ["chr", "start_seed"]).join(last, ["chr", "end_seed"]).withColumn("sites_num", F.col("end_idx") - F.col("start_idx") + 1)
 
 
 def site_stats(cells: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.stats import correlation_p, dot, m_value
-from strandline.operators import connect, intervals, motifs, ordering, regions
+from strandline.operators import connect, graph, intervals, motifs, ordering, regions, resampling, scoring, simulate
+from strandline.plans import finder
 
 GROUPS = {"A": [0, 1, 2, 3], "B": [4, 5, 6]}
 TEST = {"strong": connect.Test(0.9, "strong", 140, 0.25), "weak": connect.Test(0.5, "weak", 140, 0.25)}
@@ -316,3 +317,151 @@ def ols_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
     fit = c.groupBy("site").agg(F.regr_intercept("beta", "sample").alias("i"), F.regr_slope("beta", "sample").alias("s"), F.count(F.lit(1)).alias("n")).where("n > 2")
     return c.join(fit, "site").select("site", "sample", F.round(F.col("beta") - (F.col("i") + F.col("s") * F.col("sample")), 6).alias("residual"))
+
+
+_VEC = """v as (select vec_id as id, list_transform(list_slice(embedding, 1, 40), lambda x: cast(x as double)) as e from embeddings),
+ u as (select id, flatten(list_transform(range(0, 10), lambda k: list_transform(list_slice(e, 4 * k + 1, 4 * k + 4), lambda z: z / sqrt(list_sum(list_transform(list_slice(e, 4 * k + 1, 4 * k + 4), lambda q: q * q)))))) as vec from v),
+ pr as (select a.id as id1, b.id as id2, list_sum(list_transform(range(1, 41), lambda i: a.vec[i] * b.vec[i])) / 10 as sim from u a join u b on a.id < b.id),
+ hit as (select * from pr where sim >= 0.6)"""
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten unit vectors of four from each embedding, in place of a matrix's places."""
+    place = lambda k: F.transform(F.slice("embedding", 4 * k + 1, 4), lambda z: z.cast("double"))
+    unit = lambda p: F.transform(F.array(F.sqrt(F.aggregate(p, F.lit(0.0), lambda s, z: s + z * z))), lambda n: F.transform(p, lambda z: z / n))[0]
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(*(unit(place(k)) for k in range(10))).alias("vec"))
+
+
+@plan(f"with {_VEC} select id1, id2, round(sim, 6) as sim from hit")
+def motif_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.similar_pairs(vectors(spark, sf_dir), 0.6).select("id1", "id2", F.round("sim", 6).alias("sim"))
+
+
+@plan(f"""with {_VEC}, s as (select vec_id as id, label as score from embeddings)
+ select case when a.score >= b.score then id1 else id2 end as index1, case when a.score >= b.score then id2 else id1 end as index2, round(sim, 6) as sim from hit join s a on a.id = id1 join s b on b.id = id2
+ union all select id2, id1, round(sim, 6) from hit join s a on a.id = id1 join s b on b.id = id2 where a.score = b.score""")
+def oriented_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("score"))
+    return graph.oriented(graph.similar_pairs(vectors(spark, sf_dir), 0.6), scores).select("index1", "index2", F.round("sim", 6).alias("sim"))
+
+
+@plan("""with recursive e as (select distinct l_orderkey * 2 as a, l_partkey * 2 + 1 as b from lineitem where l_quantity >= 49 and l_linenumber = 1), g as (select a, b from e union all select b, a from e),
+ r(id, root) as (select a, a from g union select g.b, r.root from r join g on g.a = r.id), m as (select id, min(root) as root from r group by 1)
+ select id, root from m""")
+def motif_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_linenumber = 1")
+    return graph.components(x.select((F.col("l_orderkey") * 2).alias("id1"), (F.col("l_partkey") * 2 + 1).alias("id2"))).select("id", "root")
+
+
+@plan(f"""with {_IV}, n as (select b.id, greatest(count(a.id), 1) as background, b.e - b.s as size from b left join a on a.chr = b.chr and a.s between b.s and b.e group by 1, 3)
+ select id, background, cast(ceil(size / 100.0 / background * 3) as bigint) as seeds_num_adj from n""")
+def adjusted_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genes = genes_of(spark, sf_dir)
+    n = intervals.background_counts(genes, windows_of(spark, sf_dir).withColumn("end", F.col("start")), WIDTH).join(genes, "id")
+    return n.select("id", "background", F.ceil((F.col("end") - F.col("start")) / 100.0 / F.col("background") * 3).cast("long").alias("seeds_num_adj"))
+
+
+@plan("select user_id, round((value - min(value) over ()) / greatest(max(value) over () - min(value) over (), 1e-10), 7) as scaled, event_id from events")
+def min_max_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    span = e.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
+    return e.crossJoin(F.broadcast(span)).select("user_id", F.round((F.col("value") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-10)), 7).alias("scaled"), "event_id")
+
+
+@plan("""with p as (select l_orderkey, l_linenumber, (l_discount * 100 + 0.5) / (l_quantity + 1) as p from lineitem) select l_orderkey, l_linenumber, round(p, 7) as share, round(ln(least(1 - 1e-6, greatest(1e-6, p)) / (1 - least(1 - 1e-6, greatest(1e-6, p)))), 6) as logit from p""")
+def smoothed_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = simulate.share(F.col("l_discount") * 100, F.col("l_quantity"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(p, 7).alias("share"), F.round(simulate.logit(p), 6).alias("logit"))
+
+
+@plan("""with x as (select p_partkey, p_brand, p_retailprice as pos, min(p_retailprice) over (partition by p_brand) as f, max(p_retailprice) over (partition by p_brand) as l from part),
+ y as (select *, greatest(l - f, 1) as w from x), z as (select *, greatest(l + 0.2 * w - (f - 0.2 * w), 1.0) / 2 as half, f - 0.2 * w as a from y)
+ select p_partkey, round(case when f = l then 1 else pow(1 - pow(least(1.0, abs(pos - (a + half)) / half), 4), 4) end, 6) as effect from z""")
+def effect_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w, pos = Window.partitionBy("p_brand"), F.col("p_retailprice")
+    x = table(spark, sf_dir, "part").withColumn("f", F.min(pos).over(w)).withColumn("l", F.max(pos).over(w))
+    return x.select("p_partkey", F.round(simulate.profile(pos, F.col("f"), F.col("l")), 6).alias("effect"))
+
+
+@plan("""with k as (select *, row_number() over (partition by p_brand order by p_size desc, p_partkey) as place from part), c as (select p_brand, max(p_retailprice) as best from part group by 1),
+ o as (select p_brand, row_number() over (order by best desc, p_brand) as rank from c) select k.p_brand, p_partkey, rank from k join o on o.p_brand = k.p_brand where rank <= 5 and place <= 3""")
+def topk_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    p = table(spark, sf_dir, "part")
+    best = p.groupBy("p_brand").agg(F.max("p_retailprice").alias("best"))  # a row per component
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("best"), "p_brand")).cast("long")).where("rank <= 5")
+    return ordering.top_k(p, "p_brand", [F.desc("p_size"), F.col("p_partkey")], 3).join(best, "p_brand").select("p_brand", "p_partkey", "rank")
+
+
+_CNT = "select l_partkey // 50 as chr, l_partkey * 100 as pos, l_linenumber as sample, sum(cast(round(l_discount * l_quantity) as bigint)) as m, sum(cast(l_quantity as bigint)) as cov from lineitem group by 1, 2, 3"
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem")
+    return x.groupBy(F.floor(F.col("l_partkey") / 50).cast("long").alias("chr"), (F.col("l_partkey") * 100).alias("pos"), F.col("l_linenumber").alias("sample")).agg(
+        F.sum(F.round(F.col("l_discount") * F.col("l_quantity")).cast("long")).alias("m"), F.sum(F.col("l_quantity").cast("long")).alias("cov"))
+
+
+@plan(f"""with c as ({_CNT}), d as (select distinct chr, pos from c), x as (select chr, pos, case when coalesce(pos - lag(pos) over (partition by chr order by pos) > 100, true) then pos end as f from d)
+ select chr, pos, concat_ws(':', chr, max(f) over (partition by chr order by pos)) as cluster from x""")
+def simulation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.loci(counts(spark, sf_dir), 100)
+
+
+def _sheet(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, "A" if s <= 4 else "B", s > 4) for s in range(1, 8)], "sample long, grp string, is_case boolean")
+
+
+@plan()
+def find_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = finder.Options(max_pval=0.5, mode="weak", rescue_delta=0.25, max_distance=140, bridge_seeds=0, bridge_sites=0, min_sites=2, statistic="mean")
+    st = sites(spark, sf_dir)
+    return finder.find_regions(cells(spark, sf_dir), st, st.where("site % 2 = 0 or site % 5 = 1").select("site"), _sheet(spark), o, width=WIDTH)
+
+
+@plan(f"""with {_M}, t as (select site, chr, count(b) as n, covar_pop(mv, (g = 'B')::int) filter (b is not null) / nullif(stddev_pop(mv) filter (b is not null) * stddev_pop((g = 'B')::int) filter (b is not null), 0) as r,
+ avg(case when g = 'B' then b end) - avg(case when g = 'A' then b end) as d from m group by 1, 2) select site, chr, round(d, 6) as delta_beta, round(abs(r), 6) as r from t where n = 7 and r is not null and d is not null""")
+def marker_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("sample") > 4, 1.0).otherwise(0.0)
+    c = cells(spark, sf_dir).withColumn("m", m_value(F.col("beta")))
+    spread = F.stddev_pop("m") * F.stddev_pop(side)
+    fit = c.groupBy("site").agg(F.count("beta").alias("n"), (F.covar_pop("m", side) / F.when(spread > 1e-12, spread)).alias("r"), (F.avg(F.when(F.col("sample") > 4, F.col("beta"))) - F.avg(F.when(F.col("sample") <= 4, F.col("beta")))).alias("d"))
+    return fit.where("n = 7 and r is not null and d is not null").join(sites(spark, sf_dir), "site").select("site", "chr", F.round("d", 6).alias("delta_beta"), F.round(F.abs("r"), 6).alias("r"))
+
+
+@plan()
+def marker_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finder.marker_test(cells(spark, sf_dir), sites(spark, sf_dir), _sheet(spark), fdr=None)
+
+
+@plan()
+def score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("chr"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("start"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("end"), F.col("value").alias("score"))
+    return scoring.blocks(e, scoring.Gap(low=2_500, high=500_000))
+
+
+@plan()
+def svm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir).withColumn("region", F.floor(F.col("site") / 20).cast("long"))
+    dealt = ordering.stratified_folds(_sheet(spark), "is_case", [F.col("sample")], 3)
+    return scoring.score_regions(c.join(F.broadcast(dealt), "sample").select("region", "site", "sample", m_value(F.col("beta")).alias("value"), "is_case", "fold"))
+
+
+@plan()
+def perm_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = packed(spark, sf_dir).select("site", "chr", "pos", connect.group_values(F.col("beta"), GROUPS["A"]).alias("x"))
+    pairs = connect.adjacent(x).where("next_site is not null").select("chr", "site", F.lit("A").alias("grp"), "x", F.col("next_x").alias("y"))
+    return resampling.empirical_pvalues(pairs, resampling.Empirical()).select("chr", "site", "grp", "pval")
+
+
+@plan()
+def simulate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.simulate(counts(spark, sf_dir), [5, 6, 7], simulate.Simulation(regions=20, max_gap=100))[1]
+
+
+@plan()
+def augment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.augmented(counts(spark, sf_dir), ["new_1", "new_2"])

@@ -72,8 +72,8 @@ def find_regions(cells: DataFrame, sites: DataFrame, seeds: DataFrame, sheet: Da
         F.count(F.lit(1)).alias("seeds_num"), F.avg(F.when(F.col("connected"), F.col("pval"))).alias("connection_corr_pval"), F.max_by("reason", "pos").alias("stop_connection_reason"),
     ).where(F.col("seeds_num") >= o.min_seeds)
     grown = regions.expand(run, edge(packed, o.bridge_sites))
-    w = Window.partitionBy("chr").orderBy("start_idx", "end_idx")
-    new = F.when(F.coalesce(F.max("end_idx").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1 < F.col("start_idx"), F.lit(True)), 1).otherwise(0)
+    w = Window.partitionBy("chr").orderBy("start_pos", "end_pos")  # overlapping or touching positions merge
+    new = F.when(F.coalesce(F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1 < F.col("start_pos"), F.lit(True)), 1).otherwise(0)
     island = grown.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     p = F.median("connection_corr_pval") if o.statistic == "median" else F.avg("connection_corr_pval")
     merged = island.groupBy("chr", "island").agg(
