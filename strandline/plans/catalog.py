@@ -69,6 +69,11 @@ def genes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("id"), F.floor(start / 5000).cast("long").alias("chr"), start.alias("start"), (start + 700 + F.col("s_nationkey") * 20).alias("end"))
 
 
+def _near(e: str, n: int) -> str:
+    """SQL that rounds as the plans do: no negative zero."""
+    return f"case when round({e}, {n}) = 0 then 0.0::double else round({e}, {n}) end"
+
+
 _CELL = "cell as (select l_partkey as site, l_linenumber as smp, avg(l_discount) * 9.8 + 0.01 as b from lineitem group by 1, 2)"
 _SITE = "st as (select p_partkey as site, cast(floor(p_partkey / 50) as bigint) as chr, p_partkey * 100 + p_size as pos from part)"
 _M = f"{_CELL}, {_SITE}, m as (select st.site, st.chr, st.pos, s.smp, case when s.smp <= 4 then 'A' else 'B' end as g, b, coalesce(log2(b / (1 - b + 1e-6) + 1e-6), 0) as mv from st cross join range(1, 8) s(smp) left join cell on cell.site = st.site and cell.smp = s.smp)"
@@ -105,7 +110,7 @@ def _edge_plan(mode: str):
 
 for _mode in ("strong", "weak"):
     PLANS[f"edges_{_mode}"] = _edge_plan(_mode)
-    ORACLES[f"edges_{_mode}"] = f"with {_edge_sql(_mode)} select site, chr, pos, next_site, connected, round(pval, 7) as pval, reason, failing, round(delta, 7) as delta from e"
+    ORACLES[f"edges_{_mode}"] = f"with {_edge_sql(_mode)} select site, chr, pos, next_site, connected, {_near("pval", 7)} as pval, reason, failing, {_near("delta", 7)} as delta from e"
 
 _RUNS = f"""{_edge_sql("weak")}, i as (select *, coalesce(sum(case when connected then 0 else 1 end) over (partition by chr order by pos rows between unbounded preceding and 1 preceding), 0) as run from e),
  r as (select chr, cast(run as bigint) as run, min(site) as start_seed, max(site) as end_seed, min(pos) as start, max(pos) as "end", count(*) as seeds_num, avg(case when connected then pval end) as p from i group by 1, 2 having count(*) >= 2)"""
@@ -116,12 +121,12 @@ def beta_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("site", "sample", F.round("beta", 9).alias("beta"))
 
 
-@plan(f"with {_CELL} select site, cast(smp as bigint) as sample, round(log2(b / (1 - b + 1e-6) + 1e-6), 7) as m from cell")
+@plan(f"with {_CELL} select site, cast(smp as bigint) as sample, {_near("log2(b / (1 - b + 1e-6) + 1e-6)", 7)} as m from cell")
 def mvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("site", "sample", F.round(m_value(F.col("beta")), 7).alias("m"))
 
 
-@plan(f"with {_PAIR} select site, g as grp, round(r, 7) as r, round(p, 7) as p from pp")
+@plan(f"with {_PAIR} select site, g as grp, {_near("r", 7)} as r, {_near("p", 7)} as p from pp")
 def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = connect.adjacent(connect.units(packed(spark, sf_dir), GROUPS).drop("beta")).where("next_site is not null")
     rows = F.array(*(F.struct(F.lit(g).alias("grp"), dot(F.col(f"unit_{g}"), F.col(f"next_unit_{g}")).alias("r"), F.lit(len(k)).alias("n")) for g, k in GROUPS.items()))
@@ -130,7 +135,7 @@ def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("site", "grp", F.round("r", 7).alias("r"), F.round(p, 7).alias("p"))
 
 
-@plan(f'with {_RUNS} select chr, run, start_seed, end_seed, start, "end", seeds_num, round(p, 6) as pval from r')
+@plan(f'with {_RUNS} select chr, run, start_seed, end_seed, start, "end", seeds_num, {_near("p", 6)} as pval from r')
 def seed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.runs(the_edges(spark, sf_dir, "weak")).select("chr", "run", "start_seed", "end_seed", "start", "end", "seeds_num", F.round("connection_corr_pval", 6).alias("pval"))
 
@@ -167,14 +172,14 @@ _STATS = f"""{_CELL}, ss as (select site, avg(case when smp > 4 then b end) as c
  count(case when smp > 4 then b end) as cn, count(case when smp <= 4 then b end) as kn from cell group by 1)"""
 
 
-@plan(f"with {_STATS} select site, round(cb, 7) as cases_beta, round(kb, 7) as controls_beta, round(cs, 7) as cases_sd, round(ks, 7) as controls_sd, cn as cases_num, kn as controls_num, round(cb - kb, 7) as delta_beta from ss")
+@plan(f"with {_STATS} select site, round(cb, 7) as cases_beta, round(kb, 7) as controls_beta, round(cs, 7) as cases_sd, round(ks, 7) as controls_sd, cn as cases_num, kn as controls_num, {_near("cb - kb", 7)} as delta_beta from ss")
 def site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = regions.site_stats(cells(spark, sf_dir).withColumn("is_case", F.col("sample") > 4))
     return s.select("site", *(F.round(c, 7).alias(c) for c in ("cases_beta", "controls_beta", "cases_sd", "controls_sd")), "cases_num", "controls_num", F.round("delta_beta", 7).alias("delta_beta"))
 
 
 @plan(f"""with {_STATS} select cast(floor(p_partkey / 20) as bigint) as region, round(case when count(cb - kb) = count(*) then median(abs(cb - kb)) * sign(sum(sign(cb - kb))) end, 6) as delta_beta,
- count(*) as sites_num, round(min(cb - kb), 6) as min_delta, round(max(cb - kb), 6) as max_delta from part left join ss on ss.site = p_partkey group by 1""")
+ count(*) as sites_num, {_near("min(cb - kb)", 6)} as min_delta, {_near("max(cb - kb)", 6)} as max_delta from part left join ss on ss.site = p_partkey group by 1""")
 def region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = regions.site_stats(cells(spark, sf_dir).withColumn("is_case", F.col("sample") > 4))
     m = sites(spark, sf_dir).join(s, "site", "left").withColumn("region", F.floor(F.col("site") / 20).cast("long"))
@@ -222,7 +227,7 @@ def overlap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"""with {_PAIR}, x as (select nx.chr, pp.site, p from pp join nx on nx.site = pp.site where g = 'A' and p is not null),
  y as (select *, p * count(*) over (partition by chr) / row_number() over (partition by chr order by p, site) as q from x)
- select chr, site, round(p, 6) as p, round(least(1.0, min(q) over (partition by chr order by p desc, site desc rows unbounded preceding)), 6) as fdr from y""")
+ select chr, site, {_near("p", 6)} as p, round(least(1.0, min(q) over (partition by chr order by p desc, site desc rows unbounded preceding)), 6) as fdr from y""")
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = connect.adjacent(connect.units(packed(spark, sf_dir), {"A": GROUPS["A"]}).drop("beta")).where("next_site is not null")
     p = correlation_p(dot(F.col("unit_A"), F.col("next_unit_A")), 2)
@@ -312,7 +317,7 @@ def pwm_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("lang", "place", *(F.round(c, 9).alias(c) for c in ("f_a", "f_c", "f_g", "f_t")), "base")
 
 
-@plan(f"with {_CELL} select l.site, l.smp as sample, round(l.b - (r.i + r.s * l.smp), 6) as residual from (select site, cast(smp as bigint) as smp, b from cell) l join (select site, regr_intercept(b, smp) as i, regr_slope(b, smp) as s, count(*) as n from cell group by 1) r using (site) where n > 2")
+@plan(f"with {_CELL} select l.site, l.smp as sample, {_near("l.b - (r.i + r.s * l.smp)", 6)} as residual from (select site, cast(smp as bigint) as smp, b from cell) l join (select site, regr_intercept(b, smp) as i, regr_slope(b, smp) as s, count(*) as n from cell group by 1) r using (site) where n > 2")
 def ols_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
     fit = c.groupBy("site").agg(F.regr_intercept("beta", "sample").alias("i"), F.regr_slope("beta", "sample").alias("s"), F.count(F.lit(1)).alias("n")).where("n > 2")
@@ -423,7 +428,7 @@ def find_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan(f"""with {_M}, t as (select site, chr, count(b) as n, covar_pop(mv, (g = 'B')::int) filter (b is not null) / nullif(stddev_pop(mv) filter (b is not null) * stddev_pop((g = 'B')::int) filter (b is not null), 0) as r,
- avg(case when g = 'B' then b end) - avg(case when g = 'A' then b end) as d from m group by 1, 2) select site, chr, round(d, 6) as delta_beta, round(abs(r), 6) as r from t where n = 7 and r is not null and d is not null""")
+ avg(case when g = 'B' then b end) - avg(case when g = 'A' then b end) as d from m group by 1, 2) select site, chr, {_near("d", 6)} as delta_beta, round(abs(r), 6) as r from t where n = 7 and r is not null and d is not null""")
 def marker_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("sample") > 4, 1.0).otherwise(0.0)
     c = cells(spark, sf_dir).withColumn("m", m_value(F.col("beta")))
