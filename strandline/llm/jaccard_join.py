@@ -113,7 +113,7 @@ class Division:
             region = mix(content + mix((s[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) + _ODD))
             out_place.append(p[owner[give]])
             out_region.append(region[give])
-            least = np.where(occupied > most, occupied, many) - most
+            least = np.where(occupied > most, occupied - most, 1)  # a partner with enough occupied parts gives no empty one
             out_least.append(((s.astype(np.int32) << 20) | np.minimum(least, (1 << 20) - 1).astype(np.int32))[owner[give]])
         if not out_place:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)

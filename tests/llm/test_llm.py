@@ -142,6 +142,20 @@ def test_jaccard(spark, corpus, n, percent):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_groups(corpus, n, percent)
 
 
+def test_links_share_as_many_regions_as_least_says():
+    r = np.random.default_rng(11)
+    division = jaccard_join.Division(80)
+    for _ in range(4000):
+        n = int(r.integers(4, 17))
+        more = int(r.integers(0, n // 4 + 1))
+        g = r.integers(0, 1 << 63, n + more, dtype=np.uint64)
+        assert 100 * n >= 80 * (n + more)
+        place, region, least = division.signatures(np.concatenate([g[:n], g]), np.array([0, n, 2 * n + more]), 0)
+        small, large = ({(x >> 20, k): x & ((1 << 20) - 1) for k, x in zip(region[place == i].tolist(), least[place == i].tolist(), strict=True)} for i in (0, 1))
+        both = Counter(shell for shell, _ in small.keys() & large.keys())
+        assert any(n >= max(min(m for (s, _), m in x.items() if s == shell) for x in (small, large)) for shell, n in both.items())
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_groups(frame(spark, []).limit(0)).count() == 0
 
