@@ -1,9 +1,9 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 The root predicts a word x with (c(x) + a) / (N + a (V + 1)).  A context of one
-or more words is a node if it makes up at least `p_min` of the training tokens
-and the likelihood-ratio divergence of its next-word distribution from that of
-its longest retained suffix exceeds a penalty for the children it stores.  A
+or more words is a node if the likelihood-ratio divergence of its next-word
+distribution from that of its longest retained suffix exceeds a penalty for the
+children it stores, the next words seen at least `least` times there.  A
 node's distribution is interpolated with its parent's,
 
     P(x | s) = (n(s, x) + (r(s) + mu) P(x | parent(s))) / (n(s) + mu),
@@ -12,14 +12,17 @@ where r(s) is the mass of the next words that are too rare to be stored; it
 sums to one.  A text is scored from its longest suffix states: each token is
 predicted by the longest retained context that ends before it.
 
-Three scans of the corpus, no text is shuffled:
+Scans of the corpus, no text is shuffled:
 
 1. words are counted exactly over all training rows (packed per block and hash range);
-2. successions of frequent words are counted, each frequent meaning p_min of
-   all tokens.  So at most 1/p_min words and 1/p_min successions of each length
-   are left, whatever the size of the corpus; this bound is what is broadcast;
-3. rows are scored.  Words outside the bounded table ask the exact counts by
-   hash range, and only sums per row come back.
+2. all successions are counted, a scan for each length, packed by hash range of their context, so that a range sees all of a
+   context.  The tree grows a length at a time: each range asks the ranges of the suffixes for P(x | parent);
+3. rows are scored.  log P(x | s) / P(x | root) is a sum of one value per context and per stored succession, so a
+   block asks their hash ranges, and only sums per row come back.
+
+The tree and the counts stay distributed.  What is broadcast is bounded and changes no result: the words that make up
+at least `p_min` of the tokens (at most 1/p_min), whose counts need not be asked for, and a bitmap of 2^MARKS bits
+that tells which successions are surely not in the tree.
 """
 
 from __future__ import annotations
@@ -32,22 +35,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import checkpointed, parts, shared, text_of, tidy
+from .tools import checkpointed, parts, settle, shared, text_of, tidy
 from .words import END, HashIndex, Words, counts_of, cuts_of, mix, split_words
 
 #: Bytes of text that a task holds as one block.
 BLOCK_BYTES = 10 << 20
+#: Bits (a power of two) of the map of the keys in the tree.
+MARKS = 27
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @dataclass(frozen=True)
 class Settings:
-    """alpha: added to every count at the root.  p_min: least share of tokens of a stored word, context or
-    succession.  mu: weight of the parent's distribution.  kl_min: least divergence, in nats per occurrence of the
+    """alpha: added to every count at the root.  least: occurrences of a stored succession.  p_min: least share of
+    tokens of a word whose count every task keeps.  mu: weight of the parent's distribution.  kl_min: least divergence, in nats per occurrence of the
     context.  depth: words in the longest context."""
 
     alpha: float = 0.1
+    least: int = 2
     p_min: float = 5e-7
     mu: float = 2.0
     kl_min: float = 0.02
@@ -108,8 +113,8 @@ def _count_words(ranges: int):
 _SUMMED = "part int, kind int, keys binary, counts binary, total long, distinct_keys long"
 
 
-def _sum(least: float):
-    """Sums of the packed counts of a range; keys below `least` are left out."""
+def _sum():
+    """Sums of the packed counts of a range."""
 
     @tidy
     def total(table: pa.Table) -> pa.Table:
@@ -117,8 +122,6 @@ def _sum(least: float):
         counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
         keys, counts = counts_of(keys, counts)
         row = {"part": table.column("part")[0].as_py(), "kind": table.column("kind")[0].as_py(), "total": int(counts.sum()), "distinct_keys": len(keys)}
-        if least:
-            keys, counts = keys[counts >= least], counts[counts >= least]
         return pa.Table.from_pylist([row | {"keys": keys.tobytes(), "counts": counts.tobytes()}], schema=pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct_keys", pa.int64())]))
 
     return total
@@ -135,55 +138,240 @@ def _frequent(least: float):
     return keep
 
 
-def _symbols(words: Words, index: HashIndex) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all tokens in the frequent table (-1: not there), ends included, and the text of each."""
+def _sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, ends included, and the text of each."""
     n = len(words.per_doc)
-    found = index.find(words.h).astype(np.int64)
-    at = words.first[1:] + np.arange(n)
-    out = np.empty(len(found) + n, np.int64)
+    out = np.full(len(words.h) + n, END)
     inner = np.ones(len(out), bool)
-    inner[at] = False
-    out[inner] = found
-    out[at] = index.find(np.array([END]))[0]
+    inner[words.first[1:] + np.arange(n)] = False
+    out[inner] = words.h
     return out, np.repeat(np.arange(n, dtype=np.int32), words.per_doc + 1)
 
 
-def _keys(sym: np.ndarray, doc: np.ndarray, length: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """For tokens with length - 1 frequent words before them in their text, and frequent themselves: key and place."""
-    n = len(sym) - length + 1
+def _chained(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of runs of words, given the hashes of each place; a word is its own key."""
+    key = words[0]
+    for h in words[1:]:
+        key = mix(key * _MULT + h)
+    return key
+
+
+def _runs(h: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and first places of all runs of so many tokens of one text."""
+    n = len(h) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    good = (doc[: n] == doc[length - 1 :]) & (sym[length - 1 :] >= 0)
-    key = np.zeros(n, np.uint64)
-    for k in range(length):
-        part = sym[k : n + k]
-        if k < length - 1:
-            good &= part >= 0
-        key = key * np.uint64(base) + part.astype(np.uint64)
-    at = np.flatnonzero(good)
-    return key[at], at + length - 1
-
-
-def _count_successions(index, ranges: int, depth: int):
+    at = np.flatnonzero(doc[:n] == doc[length - 1 :])
+    return _chained([h[k : n + k] for k in range(length)])[at], at
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins among sorted keys."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+_RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("rare", pa.binary()), ("counts", pa.binary())])
+_RUNS_SQL = "part int, kind int, ids binary, rare binary, counts binary"
+
+
+def _count_successions(index, ranges: int, length: int):
+    """Distinct runs of a block by range of their context; words as places in the index, or -1 - place among the rare ones."""
+
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of = index.value
-        base = len(table_of.keys)
         for table in blocks(batches):
             keep = np.flatnonzero(~_held(table))
             if not keep.size:
                 continue
-            sym, doc = _symbols(split_words(table.column("text").take(pa.array(keep))), table_of)
-            for length in range(2, depth + 2):
-                keys, counts = counts_of(_keys(sym, doc, length, base)[0] * _MULT)
-                yield pa.RecordBatch.from_pylist(_packed(length, keys, counts, ranges), schema=_COUNTED)
+            h, doc = _sequence(split_words(table.column("text").take(pa.array(keep))))
+            ids = index.value.find(h)
+            key, at = _runs(h, doc, length)
+            order = np.argsort(key)
+            first = _heads(key[order])
+            times = np.diff(np.append(first, len(key))).astype(np.uint32)
+            at = at[order[first]]
+            context = _chained([h[at + k] for k in range(length - 1)])
+            order = np.argsort(context)
+            at, times = at[order], times[order]
+            cut = cuts_of(context[order], ranges)
+            rows = []
+            for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if b > a:
+                    place = at[a:b] + np.arange(length)[:, None]
+                    told = ids[place]
+                    rare, inverse = np.unique(h[place[told < 0]], return_inverse=True)
+                    told[told < 0] = -1 - inverse
+                    rows.append({"part": p, "kind": length, "ids": told.tobytes(), "rare": rare.tobytes(), "counts": times[a:b].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=_RUNS)
 
     return count
 
 
+_HELD = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("context", "tail", "sizes", "whole", "rest", "word", "n"))])
+_HELD_SQL = "part int, kind int, context binary, tail binary, sizes binary, whole binary, rest binary, word binary, n binary"
+
+
+def _hold(index, least: int):
+    """Of a range: contexts with a succession seen `least` times, how often they and their other next words occur, and those successions."""
+
+    @tidy
+    def run(table: pa.Table) -> pa.Table:
+        known = index.value.keys
+        part, length = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
+        runs, counts = [], []
+        for ids, rare, times in zip(table.column("ids"), table.column("rare"), table.column("counts"), strict=True):
+            ids, rare = np.frombuffer(ids.as_py(), np.int32).reshape(length, -1), np.frombuffer(rare.as_py(), np.uint64)
+            h = known[np.maximum(ids, 0)]
+            h[ids < 0] = rare[-1 - ids[ids < 0]]
+            runs.append(h)
+            counts.append(np.frombuffer(times.as_py(), np.uint32))
+        h, counts = np.concatenate(runs, axis=1), np.concatenate(counts).astype(np.int64)
+        del runs
+        context = _chained(list(h[:-1]))
+        order = np.lexsort((h[-1], context))
+        context, h, counts = context[order], h[:, order], counts[order]
+        at = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (h[-1, 1:] != h[-1, :-1])]))
+        context, h, n = context[at], h[:, at], np.add.reduceat(counts, at)
+        head = _heads(context)
+        many = n >= least
+        sizes, whole = np.add.reduceat(many.astype(np.int64), head), np.add.reduceat(n, head)
+        rest = whole - np.add.reduceat(n * many, head)
+        some = sizes > 0
+        tail = _chained(list(h[1:-1, head])) if length > 2 else np.zeros(len(head), np.uint64)
+        row = {"context": context[head][some], "tail": tail[some], "sizes": sizes[some], "whole": whole[some], "rest": rest[some], "word": h[-1, many], "n": n[many]}
+        return pa.Table.from_pylist([{"part": part, "kind": length} | {c: np.ascontiguousarray(x).tobytes() for c, x in row.items()}], schema=_HELD)
+
+    return run
+
+
+def _arrays(row: dict) -> dict[str, np.ndarray]:
+    """Arrays of a row of _hold, with the suffix and context of every succession."""
+    x = {c: np.frombuffer(row[c], np.uint64 if c in ("context", "tail", "word") else np.int64) for c in ("context", "tail", "sizes", "whole", "rest", "word", "n")}
+    x["own"] = np.repeat(np.arange(len(x["sizes"])), x["sizes"])
+    x["suffix"] = x["word"] if row["kind"] == 2 else _chained([x["tail"][x["own"]], x["word"]])
+    return x
+
+
+_ASKED = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("keys", pa.binary())])
+_TOLD = pa.schema([("source", pa.int32()), ("part", pa.int32()), ("told", pa.binary())])
+_KEYED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())])
+_KEYED_SQL = "part int, kind int, keys binary, data binary"
+#: Kinds of keyed rows: counts of words, log P(x | longest suffix state) of successions, values of the tree.
+_COUNTS, _NOW, _VALUES = 0, 1, 2
+
+
+def _keyed(kind: int, keys: np.ndarray, data: np.ndarray, ranges: int) -> list[dict]:
+    order = np.argsort(keys)
+    keys, data = keys[order], data[order]
+    cut = cuts_of(keys, ranges)
+    return [{"part": p, "kind": kind, "keys": keys[a:b].tobytes(), "data": data[a:b].tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+
+
+def _joined(rows: list[dict], kind: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the rows of a kind and the sums of their data."""
+    rows = [r for r in rows if r["kind"] == kind]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in rows)])
+    return counts_of(keys, np.concatenate([np.zeros(0, dtype), *(np.frombuffer(r["data"], dtype) for r in rows)]))
+
+
+def _looked_up(keys: np.ndarray, data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Data of the wanted keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), data.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, data[at], 0)
+
+
+def _ask_parents(ranges: int):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = np.unique(_arrays(row)["suffix"])
+                cut = cuts_of(keys, ranges)
+                yield pa.RecordBatch.from_pylist([{"part": p, "source": row["part"], "keys": keys[a:b].tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a], schema=_ASKED)
+
+    return run
+
+
+def _tell_parents(asked: pa.Table, now: pa.Table) -> pa.Table:
+    keys, data = _joined(now.to_pylist(), _NOW, np.float64)
+    return pa.Table.from_pylist([{"source": r["source"], "part": r["part"], "told": _looked_up(keys, data, np.frombuffer(r["keys"], np.uint64)).tobytes()} for r in asked.to_pylist()], schema=_TOLD)
+
+
+def _roots(total: int, vocabulary: int, alpha: float):
+    """log P(x | root) of all words."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([{"part": r["part"], "kind": _NOW, "keys": r["keys"], "data": np.log((np.frombuffer(r["counts"], np.int64) + alpha) / (total + alpha * (vocabulary + 1))).tobytes()} for r in batch.to_pylist()], schema=_KEYED)
+
+    return run
+
+
+def _grow_range(total: int, ranges: int, last: bool, s: Settings):
+    """The values of a range's contexts that pass the divergence test (see grow), and what the next length asks for.
+
+    The value of a context is the log10 of what an unstored word keeps of its parent's probability; that of a
+    succession is what its own probability adds to this.
+    """
+
+    @tidy
+    def run(held: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        for row in held.to_pylist():
+            x = _arrays(row)
+            own, n, whole, rest = x["own"], x["n"], x["whole"], x["rest"]
+            if not len(n):
+                continue
+            parent = np.concatenate([np.frombuffer(r["told"], np.float64) for r in sorted(told.to_pylist(), key=lambda r: r["part"])])
+            parent = parent[np.unique(x["suffix"], return_inverse=True)[1]]
+            escape = np.log((rest + s.mu) / (whole + s.mu))
+            logp = np.log((n + (rest + s.mu)[own] * np.exp(parent)) / (whole + s.mu)[own])
+            gained = np.add.reduceat(n * (logp - parent), np.cumsum(x["sizes"]) - x["sizes"]) + rest * escape
+            keep = (gained > 0.5 * x["sizes"] * np.log(max(total, 2))) & (gained > s.kl_min * whole)
+            stay = keep[own]
+            key = _chained([x["context"][own], x["word"]])
+            out += _keyed(_VALUES, np.concatenate([key[stay], x["context"][keep]]), np.concatenate([(logp - parent - escape[own])[stay], escape[keep]]) / np.log(10), ranges)
+            if not last:
+                out += _keyed(_NOW, key, np.where(stay, logp, parent), ranges)
+        return pa.Table.from_pylist(out, schema=_KEYED)
+
+    return run
+
+
+def _mark(table: pa.Table) -> pa.Table:
+    """The piece of the bitmap that a range's keys lie in."""
+    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
+    bits = (keys >> np.uint64(64 - MARKS)).astype(np.int64)
+    first = int(bits.min()) >> 3
+    piece = np.zeros(((int(bits.max()) >> 3) - first + 1) << 3, bool)
+    piece[bits - (first << 3)] = True
+    return pa.table({"first": pa.array([first], pa.int64()), "bits": pa.array([np.packbits(piece, bitorder="little").tobytes()], pa.binary())})
+
+
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bits = (keys >> np.uint64(64 - MARKS)).astype(np.int64)
+    return (marks[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 > 0
+
+
+def _of_index(index):
+    """Values of the words in the index, each with its place there."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = index.value.find(np.frombuffer(row["keys"], np.uint64))
+                yield pa.RecordBatch.from_pylist([{"at": at[at >= 0].tobytes(), "data": np.frombuffer(row["data"], np.float64)[at >= 0].tobytes()}], schema=pa.schema([("at", pa.binary()), ("data", pa.binary())]))
+
+    return run
+
+
 @dataclass
 class SuffixTree:
-    """Retained contexts by length: their keys and log10 of what an unstored word keeps of its parent's
+    """The tree in one place, which the distributed one is tested against.  Retained contexts by length: their keys and log10 of what an unstored word keeps of its parent's
     probability; stored successions: keys and log10 P(x | s) / P(x | root)."""
 
     base: int
@@ -263,29 +451,39 @@ def grow(counts: np.ndarray, successions: dict[int, tuple[np.ndarray, np.ndarray
     return tree
 
 
-_SCORED = pa.schema([(c, t) for c, t in (("part", pa.int32()), ("block", pa.int64()), ("rid", pa.binary()), ("doc_id", pa.binary()), ("held_out", pa.binary()), ("n_tokens", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("gain", pa.binary()), ("words", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()))])
-_SCORED_SQL = "part int, block long, rid binary, doc_id binary, held_out binary, n_tokens binary, known binary, base binary, gain binary, words binary, docs binary, times binary"
+_SCORED = pa.schema([(c, t) for c, t in (("part", pa.int32()), ("block", pa.int64()), ("rid", pa.binary()), ("doc_id", pa.binary()), ("held_out", pa.binary()), ("n_tokens", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("gain", pa.binary()), ("words", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()))])
+_SCORED_SQL = "part int, block long, rid binary, doc_id binary, held_out binary, n_tokens binary, known binary, base binary, gain binary, words binary, sizes binary, docs binary, times binary"
 
 
-def _score(model, ranges: int, alpha: float):
-    """A row of sums per block, and a row per hash range with the words whose counts are still wanted."""
+def _score(model, ranges: int, depth: int, alpha: float):
+    """A row of sums per block, and rows per hash range with the words whose counts and the successions whose values
+    are still wanted."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts, tree = model.value
+        index, counts, values, marks = model.value
         for table in blocks(batches):
             n = table.num_rows
             words = split_words(table.column("text"))
-            sym, doc = _symbols(words, index)
+            h, doc = _sequence(words)
+            sym = index.find(h)
             rid = table.column("rid").to_numpy()
             block = int(rid[0])
             hit = np.flatnonzero(sym >= 0)
             known = np.bincount(doc[hit], weights=(counts[sym[hit]] > 0), minlength=n).astype(np.int64)
             base = np.bincount(doc[hit], weights=np.log10(counts[sym[hit]] + alpha), minlength=n)
-            gain = np.bincount(doc, weights=tree.corrections(sym, doc), minlength=n)
+            gain = np.bincount(doc[hit], weights=values[sym[hit]], minlength=n)
             rows = [{"part": int(mix(np.array([block], np.uint64))[0] % np.uint64(ranges)), "block": block, "rid": rid.tobytes(), "doc_id": table.column("doc_id").to_numpy().astype(np.int64).tobytes(), "held_out": _held(table).tobytes(), "n_tokens": (words.per_doc + 1).tobytes(), "known": known.tobytes(), "base": base.tobytes(), "gain": gain.tobytes()}]
-            rare = np.flatnonzero(index.find(words.h) < 0)
-            h, d = words.h[rare], words.doc[rare]
+            asked = [(key[ok], doc[at[ok] + length - 1]) for length in range(2, depth + 2) for key, at in [_runs(h, doc, length)] for ok in [_marked(marks, key)]]
+            key, d = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int32)), *asked, strict=True))
+            order = np.argsort(key)
+            key, d = key[order], d[order]
+            first = _heads(key)
+            sizes, ends = np.diff(np.append(first, len(key))).astype(np.uint32), np.append(first, len(key))
+            cut = cuts_of(key[first], ranges)
+            rows += [{"part": p, "block": block, "words": key[first[a:b]].tobytes(), "sizes": sizes[a:b].tobytes(), "docs": d[ends[a] : ends[b]].tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            rare = np.flatnonzero(sym < 0)
+            h, d = h[rare], doc[rare]
             order = np.argsort(h, kind="stable")  # texts ascend within a word
             h, d = h[order], d[order]
             if len(h):
@@ -300,22 +498,28 @@ def _score(model, ranges: int, alpha: float):
 
 
 def _answer(alpha: float):
-    """Replaces wanted words by sums per row of the block."""
+    """Replaces wanted words and successions by sums per row of the block."""
 
     @tidy
-    def run(asked: pa.Table, totals: pa.Table) -> pa.Table:
-        rows = asked.to_pylist()
-        found = totals.to_pylist()
-        keys = np.frombuffer(found[0]["keys"], np.uint64) if found else np.zeros(0, np.uint64)
-        counts = np.frombuffer(found[0]["counts"], np.int64) if found else np.zeros(0, np.int64)
+    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
+        found = table.to_pylist()
+        keys, counts = _joined(found, _COUNTS, np.int64)
+        inner, values = _joined(found, _VALUES, np.float64)
         out = []
-        for row in rows:
+        for row in asked.to_pylist():
             if row["words"] is not None:
-                h, d, times = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["docs"], np.int32), np.frombuffer(row["times"], np.uint32)
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                c = np.where(keys[at] == h, counts[at], 0) if len(keys) else np.zeros(len(h), np.int64)
+                h, d = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["docs"], np.int32)
                 docs, inverse = np.unique(d, return_inverse=True)
-                row |= {"words": None, "times": None, "docs": docs.astype(np.int32).tobytes(), "known": np.bincount(inverse, weights=times * (c > 0)).astype(np.int64).tobytes(), "base": np.bincount(inverse, weights=times * np.log10(c + alpha)).tobytes()}
+                value = _looked_up(inner, values, h)
+                if row["times"] is None:
+                    gain = np.bincount(inverse, weights=np.repeat(value, np.frombuffer(row["sizes"], np.uint32)))
+                    known, base = np.zeros(len(docs), np.int64), np.zeros(len(docs))
+                else:
+                    times = np.frombuffer(row["times"], np.uint32)
+                    c = _looked_up(keys, counts, h)
+                    gain = np.bincount(inverse, weights=times * value)
+                    known, base = np.bincount(inverse, weights=times * (c > 0)).astype(np.int64), np.bincount(inverse, weights=times * np.log10(c + alpha))
+                row |= {"words": None, "sizes": None, "times": None, "docs": docs.astype(np.int32).tobytes(), "known": known.tobytes(), "base": base.tobytes(), "gain": gain.tobytes()}
             out.append(row)
         return pa.Table.from_pylist(out, schema=_SCORED)
 
@@ -330,16 +534,17 @@ def _gather(total: int, vocabulary: int, alpha: float):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         head = next(r for r in rows if r["rid"] is not None)
-        known, base = np.frombuffer(head["known"], np.int64).copy(), np.frombuffer(head["base"], float).copy()
+        known, base, gain = np.frombuffer(head["known"], np.int64).copy(), np.frombuffer(head["base"], float).copy(), np.frombuffer(head["gain"], float).copy()
         for row in rows:
             if row["rid"] is None:
                 docs = np.frombuffer(row["docs"], np.int32)
                 known[docs] += np.frombuffer(row["known"], np.int64)
                 base[docs] += np.frombuffer(row["base"], float)
+                gain[docs] += np.frombuffer(row["gain"], float)
         n = np.frombuffer(head["n_tokens"], np.int64)
         base -= n * each
         doc_id = np.frombuffer(head["doc_id"], np.int64)
-        return pa.table({"doc_id": pa.array(doc_id, mask=doc_id == _NO_ID), "held_out": np.frombuffer(head["held_out"], bool), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total, np.int64), "base_score": base, "score": base + np.frombuffer(head["gain"], float)})
+        return pa.table({"doc_id": pa.array(doc_id, mask=doc_id == _NO_ID), "held_out": np.frombuffer(head["held_out"], bool), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total, np.int64), "base_score": base, "score": base + gain})
 
     return run
 
@@ -362,26 +567,36 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held_out = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit(""))) % 10 == 0
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), held_out.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
     scan = rows.select("text", "held_out")
-    totals = checkpointed(scan.mapInArrow(_count_words(ranges), _COUNTED_SQL).groupBy("part", "kind").applyInArrow(_sum(0), _SUMMED))
+    totals = checkpointed(scan.mapInArrow(_count_words(ranges), _COUNTED_SQL).groupBy("part", "kind").applyInArrow(_sum(), _SUMMED))
     total, vocabulary = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct_keys"), F.lit(0))).first()
-    least = max(2.0, settings.p_min * total)
-    kept = totals.mapInArrow(_frequent(least), "keys binary, counts binary").collect()  # at most 1/p_min + 1 words
+    kept = totals.mapInArrow(_frequent(max(2.0, settings.p_min * total)), "keys binary, counts binary").collect()  # at most 1/p_min + 1 words
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in kept)])
     counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in kept)])
     if END not in keys:
         keys, counts = np.append(keys, END), np.append(counts, 0)
     index = HashIndex(keys)
     words = shared(spark, index)
-    depth = min(settings.depth, int(63 // np.log2(max(2, len(keys)))) - 1)
-    found = scan.mapInArrow(_count_successions(words, ranges, depth), _COUNTED_SQL).groupBy("part", "kind").applyInArrow(_sum(least), _SUMMED).select("kind", "keys", "counts").collect()  # at most depth/p_min
-    successions = {
-        k: (np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in found if r["kind"] == k]) * _BACK, np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found if r["kind"] == k]))
-        for k in {r["kind"] for r in found}
-    }
-    tree = grow(counts, successions, total, vocabulary, settings)
-    model = shared(spark, (index, counts, tree))
-    asked = rows.mapInArrow(_score(model, ranges, settings.alpha), _SCORED_SQL)
-    answered = asked.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_answer(settings.alpha), _SCORED_SQL)
+    now = totals.mapInArrow(_roots(total, vocabulary, settings.alpha), _KEYED_SQL)
+    tree = spark.createDataFrame([], _KEYED_SQL)
+    for length in range(2, settings.depth + 2):
+        mine = checkpointed(scan.mapInArrow(_count_successions(words, ranges, length), _RUNS_SQL).groupBy("part", "kind").applyInArrow(_hold(words, settings.least), _HELD_SQL))
+        settle(spark)
+        asked = mine.mapInArrow(_ask_parents(ranges), "part int, source int, keys binary")
+        told = asked.groupBy("part").cogroup(now.groupBy("part")).applyInArrow(_tell_parents, "source int, part int, told binary")
+        grown = checkpointed(mine.groupBy("part").cogroup(told.groupBy("source")).applyInArrow(_grow_range(total, ranges, length == settings.depth + 1, settings), _KEYED_SQL))
+        now = grown.where(F.col("kind") == _NOW)
+        tree = tree.unionByName(grown.where(F.col("kind") == _VALUES))
+        del mine, asked, told
+        settle(spark)
+    marks, values = np.zeros(1 << (MARKS - 3), np.uint8), np.zeros(len(keys))
+    for row in tree.groupBy("part").applyInArrow(_mark, "first long, bits binary").collect():  # 2^MARKS bits
+        marks[row["first"] : row["first"] + len(row["bits"])] |= np.frombuffer(row["bits"], np.uint8)
+    for row in tree.mapInArrow(_of_index(words), "at binary, data binary").collect():  # at most 1/p_min + 1 words
+        values[np.frombuffer(row["at"], np.int32)] += np.frombuffer(row["data"], np.float64)
+    model = shared(spark, (index, counts, values, marks))
+    asked = rows.mapInArrow(_score(model, ranges, settings.depth, settings.alpha), _SCORED_SQL)
+    known = tree.unionByName(totals.select("part", F.lit(_COUNTS).alias("kind"), "keys", F.col("counts").alias("data")))
+    answered = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answer(settings.alpha), _SCORED_SQL)
     return answered.groupBy("block").applyInArrow(
         _gather(total, vocabulary, settings.alpha),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

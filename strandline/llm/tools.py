@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import tempfile
 import types
@@ -22,6 +23,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that are checkpointed and no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class _WithCode:
     """Pickles to an object together with the code of its classes."""
 

@@ -78,6 +78,27 @@ def test_lm(spark, corpus):
     assert suffix_tree_lm.score_texts(frame(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("p_min", "depth"), [(5e-7, 2), (0.02, 2), (0.02, 3)])
+def test_lm_keeps_every_context_whatever_the_size(spark, corpus, p_min, depth):
+    s = suffix_tree_lm.Settings(p_min=p_min, depth=depth)
+    rows = [(i, t) for i, t in corpus if i < 60]
+    got = by_id(suffix_tree_lm.score_texts(frame(spark, rows), settings=s))
+    tok = {i: [*tokens(t), None] for i, t in rows}
+    train = [x for i, x in tok.items() if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for x in train for w in x)
+    place = {w: k for k, w in enumerate(w for w in c if c[w] >= 2)}
+    base, found = len(place), {}
+    for length in range(2, depth + 2):
+        n = Counter(tuple(x[k : k + length]) for x in train for k in range(len(x) - length + 1))
+        n = {sum(place[w] * base ** (length - 1 - j) for j, w in enumerate(g)): k for g, k in n.items() if k >= 2}
+        found[length] = np.array(list(n), np.uint64), np.array(list(n.values()))
+    tree = suffix_tree_lm.grow(np.array([c[w] for w in place]), found, sum(c.values()), len(c), s)
+    assert all(len(x.keys) for x in tree.contexts)
+    for i, x in tok.items():
+        gain = tree.corrections(np.array([place.get(w, -1) for w in x]), np.zeros(len(x), int)).sum()
+        assert math.isclose(got[i]["score"] - got[i]["base_score"], gain, abs_tol=1e-8)
+
+
 def test_suffix_tree_sums_to_one():
     s = suffix_tree_lm.Settings(kl_min=0.0)
     counts = np.array([50, 30, 20, 10])
