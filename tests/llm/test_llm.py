@@ -226,6 +226,20 @@ def test_licenses(spark):
     assert all(s.classify(t)[0] == n for n, t in licenses.TEMPLATES.items() if re.search(licenses.CANDIDATE, t))
 
 
+def test_licenses_over_lines_and_several_in_one(spark):
+    grant = licenses.TEXTS["MIT"].split(" ")
+    rows = [
+        (1, "Licensed under the Apache License,\nVersion 2.0."),
+        (2, "Released under the MIT License. Some words between. Licensed under CC BY-SA 4.0. And then: Released under the MIT License."),
+        (3, "word " * 900 + "\n".join(" ".join(grant[k : k + 9]) for k in range(0, len(grant), 9)) + " word" * 900),
+        (4, "word " * 500 + "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ]
+    got = sorted((r["doc_id"], r["start"], r["license"], r["differences"]) for r in licenses.scan_licenses(frame(spark, rows)).collect())
+    assert [(i, n, d) for i, _, n, d in got] == [(1, "Apache-2.0", 0), (2, "MIT", 0), (2, "CC-BY-SA-4.0", 0), (2, "MIT", 0), (3, "MIT", 0), (4, "LGPL-3.0", 0)]
+    own = licenses.scan_licenses(frame(spark, [(1, "one frobs the widget freely\nhere"), (2, "none")]), templates={"Own": "One frobs the widget freely here."}).collect()
+    assert [(r["doc_id"], r["license"], r["start"], r["end"]) for r in own] == [(1, "Own", 0, 32)]
+
+
 def vocabulary():
     P = pytest.importorskip("public_tokenizers")
     return P.path("byte_bpe_50k.json")
