@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root predicts a word x with (c(x) + a) / (N + a (V + 1)).  A context of one
-or more words is a node if the likelihood-ratio divergence of its next-word
+The root predicts a word x with (c(x) + a) / (N + a (V + 1)).  A context s of one to `depth`
+words is a node if the likelihood-ratio divergence of its next-word
 distribution from that of its longest retained suffix exceeds a penalty for the
 children it stores, the next words seen at least `least` times there.  A
 node's distribution is interpolated with its parent's,
@@ -12,17 +12,21 @@ where r(s) is the mass of the next words that are too rare to be stored; it
 sums to one.  A text is scored from its longest suffix states: each token is
 predicted by the longest retained context that ends before it.
 
-Scans of the corpus, no text is shuffled:
+Texts are packed once into blocks.  The tree grows a length at a time, in messages between
+blocks and hash ranges of contexts:
 
-1. words are counted exactly over all training rows (packed per block and hash range);
-2. all successions are counted, a scan for each length, packed by hash range of their context, so that a range sees all of a
-   context.  The tree grows a length at a time: each range asks the ranges of the suffixes for P(x | parent);
-3. rows are scored.  log P(x | s) / P(x | root) is a sum of one value per context and per stored succession, so a
-   block asks their hash ranges, and only sums per row come back.
+1. a block asks each range about its distinct contexts: the next words with their counts in training rows and
+   log P(x | parent).  Held-out rows ask too, with counts of zero;
+2. a range merges what the blocks sent, FAN_IN rows at a time, so that it holds a context once however many
+   blocks have it, and tests every context;
+3. a block gets its answers in the order that it asked in: n(s), r(s), n(s, x), whether s is retained and
+   whether a longer context can be.
 
-The tree and the counts stay distributed.  What is broadcast is bounded and changes no result: the words that make up
-at least `p_min` of the tokens (at most 1/p_min), whose counts need not be asked for, and a bitmap of 2^MARKS bits
-that tells which successions are surely not in the tree.
+Two rules leave out contexts that can't be retained, without changing the tree.  A context seen less than `least` times
+stores no child.  And a context's gain is at most the sum of n(s, x) (-log P(x | suffix)) over its children, so if no
+child of the suffix reaches the penalty of one child, no longer context passes the test.
+
+Nothing is broadcast and nothing but totals reaches the driver.  Words and contexts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,110 +36,70 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import checkpointed, parts, settle, shared, text_of, tidy
-from .words import END, HashIndex, Words, counts_of, cuts_of, mix, split_words
+from .tools import byte_slices, checkpointed, parts, text_of, tidy
+from .words import END, Words, cuts_of, mix, split_words
 
-#: Bytes of text that a task holds as one block.
-BLOCK_BYTES = 10 << 20
-#: Bits (a power of two) of the map of the keys in the tree.
-MARKS = 27
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
+#: Blocks whose messages to a range are merged, or answered, at once.
+FAN_IN = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_KEPT, _OPEN = 1, 2
+_NO_ID = np.iinfo(np.int64).min
 
 
 @dataclass(frozen=True)
 class Settings:
-    """alpha: added to every count at the root.  least: occurrences of a stored succession.  p_min: least share of
-    tokens of a word whose count every task keeps.  mu: weight of the parent's distribution.  kl_min: least divergence, in nats per occurrence of the
-    context.  depth: words in the longest context."""
+    """alpha: added to every count at the root.  least: occurrences of a stored succession.  mu: weight of the parent's
+    distribution.  kl_min: least divergence, in nats per occurrence of the context.  depth: words in the longest context."""
 
     alpha: float = 0.1
     least: int = 2
-    p_min: float = 5e-7
     mu: float = 2.0
     kl_min: float = 0.02
-    depth: int = 2
-
-
-def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Batches joined, and cut, to about `most` bytes of text; a longer text is a block of its own."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        column = batch.column("text").cast(pa.large_string())
-        off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + most - size, side="right")) - 1)
-            to = min(to, batch.num_rows)
-            held.append(batch.slice(at, to - at))
-            size += int(off[to] - off[at])
-            at = to
-            if size >= most or at < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _held(table: pa.Table) -> np.ndarray:
-    return table.column("held_out").to_numpy().astype(bool)
+    depth: int = 4
 
 
-_COUNTED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_COUNTED_SQL = "part int, kind int, keys binary, counts binary"
-
-
-def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> list[dict]:
-    """Rows of sorted keys and their counts by range."""
-    cut = cuts_of(keys, ranges)
-    counts = counts.astype(np.uint32)
-    return [{"part": p, "kind": kind, "keys": keys[a:b].tobytes(), "counts": counts[a:b].tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-
-
-def _count_words(ranges: int):
-    @tidy
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches):
-            words = split_words(table.column("text"))
-            keys, counts = counts_of(words.h[~_held(table)[words.doc]])
-            ends = int((~_held(table)).sum())
-            rows = _packed(0, keys, counts, ranges)
-            if ends:
-                rows += _packed(0, np.array([END]), np.array([ends]), ranges)
-            yield pa.RecordBatch.from_pylist(rows, schema=_COUNTED)
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed byte planes."""
+    head = np.array([len(a) for a in arrays], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays))
 
-    return count
 
+def _expanded(data: bytes, *types: type) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    out, at = [], 8 * len(types)
+    for n, t in zip(np.frombuffer(raw, np.int64, len(types)).tolist(), types, strict=True):
+        size = np.dtype(t).itemsize
+        out.append(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(t).ravel() if n else np.zeros(0, t))
+        at += n * size
+    return out
 
-_SUMMED = "part int, kind int, keys binary, counts binary, total long, distinct_keys long"
 
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins among sorted keys."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
-def _sum():
-    """Sums of the packed counts of a range."""
-
-    @tidy
-    def total(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
-        keys, counts = counts_of(keys, counts)
-        row = {"part": table.column("part")[0].as_py(), "kind": table.column("kind")[0].as_py(), "total": int(counts.sum()), "distinct_keys": len(keys)}
-        return pa.Table.from_pylist([row | {"keys": keys.tobytes(), "counts": counts.tobytes()}], schema=pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct_keys", pa.int64())]))
-
-    return total
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place among them of each key."""
+    order = np.argsort(keys)
+    s = keys[order]
+    head = _heads(s)
+    step = np.zeros(len(s), np.int64)
+    step[head] = 1
+    rank = np.empty(len(s), np.int64)
+    rank[order] = np.cumsum(step) - 1
+    return s[head], rank
 
-def _frequent(least: float):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
-                many = (counts >= least) | (keys == END)
-                yield pa.RecordBatch.from_pylist([{"keys": keys[many].tobytes(), "counts": counts[many].tobytes()}], schema=pa.schema([("keys", pa.binary()), ("counts", pa.binary())]))
 
-    return keep
+def _sums(rank: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(rank, weights=weights, minlength=n).astype(np.uint32)
 
 
 def _sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -148,456 +112,258 @@ def _sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n, dtype=np.int32), words.per_doc + 1)
 
 
-def _chained(words: list[np.ndarray]) -> np.ndarray:
-    """Keys of runs of words, given the hashes of each place; a word is its own key."""
-    key = words[0]
-    for h in words[1:]:
-        key = mix(key * _MULT + h)
-    return key
-
-
-def _runs(h: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and first places of all runs of so many tokens of one text."""
-    n = len(h) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(doc[:n] == doc[length - 1 :])
-    return _chained([h[k : n + k] for k in range(length)])[at], at
-
+@tidy
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as compressed blocks, named by the first row's number."""
+    small = zstandard.ZstdCompressor(level=3)
+    for batch in byte_slices(batches, BLOCK_BYTES):
+        sink = pa.BufferOutputStream()
+        kept = batch.select(["doc_id", "text", "held_out"])
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_batch(kept)
+        yield pa.RecordBatch.from_arrays([batch.column("rid").slice(0, 1), pa.array([small.compress(sink.getvalue().to_pybytes())], pa.binary())], ["block", "payload"])
 
-def _heads(keys: np.ndarray) -> np.ndarray:
-    """Where a new key begins among sorted keys."""
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-
-
-_RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("rare", pa.binary()), ("counts", pa.binary())])
-_RUNS_SQL = "part int, kind int, ids binary, rare binary, counts binary"
-
-
-def _count_successions(index, ranges: int, length: int):
-    """Distinct runs of a block by range of their context; words as places in the index, or -1 - place among the rare ones."""
-
-    @tidy
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches):
-            keep = np.flatnonzero(~_held(table))
-            if not keep.size:
-                continue
-            h, doc = _sequence(split_words(table.column("text").take(pa.array(keep))))
-            ids = index.value.find(h)
-            key, at = _runs(h, doc, length)
-            order = np.argsort(key)
-            first = _heads(key[order])
-            times = np.diff(np.append(first, len(key))).astype(np.uint32)
-            at = at[order[first]]
-            context = _chained([h[at + k] for k in range(length - 1)])
-            order = np.argsort(context)
-            at, times = at[order], times[order]
-            cut = cuts_of(context[order], ranges)
-            rows = []
-            for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                if b > a:
-                    place = at[a:b] + np.arange(length)[:, None]
-                    told = ids[place]
-                    rare, inverse = np.unique(h[place[told < 0]], return_inverse=True)
-                    told[told < 0] = -1 - inverse
-                    rows.append({"part": p, "kind": length, "ids": told.tobytes(), "rare": rare.tobytes(), "counts": times[a:b].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, schema=_RUNS)
-
-    return count
-
-
-_HELD = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("context", "tail", "sizes", "whole", "rest", "word", "n"))])
-_HELD_SQL = "part int, kind int, context binary, tail binary, sizes binary, whole binary, rest binary, word binary, n binary"
-
-
-def _hold(index, least: int):
-    """Of a range: contexts with a succession seen `least` times, how often they and their other next words occur, and those successions."""
-
-    @tidy
-    def run(table: pa.Table) -> pa.Table:
-        known = index.value.keys
-        part, length = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
-        runs, counts = [], []
-        for ids, rare, times in zip(table.column("ids"), table.column("rare"), table.column("counts"), strict=True):
-            ids, rare = np.frombuffer(ids.as_py(), np.int32).reshape(length, -1), np.frombuffer(rare.as_py(), np.uint64)
-            h = known[np.maximum(ids, 0)]
-            h[ids < 0] = rare[-1 - ids[ids < 0]]
-            runs.append(h)
-            counts.append(np.frombuffer(times.as_py(), np.uint32))
-        h, counts = np.concatenate(runs, axis=1), np.concatenate(counts).astype(np.int64)
-        del runs
-        context = _chained(list(h[:-1]))
-        order = np.lexsort((h[-1], context))
-        context, h, counts = context[order], h[:, order], counts[order]
-        at = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (h[-1, 1:] != h[-1, :-1])]))
-        context, h, n = context[at], h[:, at], np.add.reduceat(counts, at)
-        head = _heads(context)
-        many = n >= least
-        sizes, whole = np.add.reduceat(many.astype(np.int64), head), np.add.reduceat(n, head)
-        rest = whole - np.add.reduceat(n * many, head)
-        some = sizes > 0
-        tail = _chained(list(h[1:-1, head])) if length > 2 else np.zeros(len(head), np.uint64)
-        row = {"context": context[head][some], "tail": tail[some], "sizes": sizes[some], "whole": whole[some], "rest": rest[some], "word": h[-1, many], "n": n[many]}
-        return pa.Table.from_pylist([{"part": part, "kind": length} | {c: np.ascontiguousarray(x).tobytes() for c, x in row.items()}], schema=_HELD)
-
-    return run
-
-
-def _arrays(row: dict) -> dict[str, np.ndarray]:
-    """Arrays of a row of _hold, with the suffix and context of every succession."""
-    x = {c: np.frombuffer(row[c], np.uint64 if c in ("context", "tail", "word") else np.int64) for c in ("context", "tail", "sizes", "whole", "rest", "word", "n")}
-    x["own"] = np.repeat(np.arange(len(x["sizes"])), x["sizes"])
-    x["suffix"] = x["word"] if row["kind"] == 2 else _chained([x["tail"][x["own"]], x["word"]])
-    return x
-
-
-_ASKED = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("keys", pa.binary())])
-_TOLD = pa.schema([("source", pa.int32()), ("part", pa.int32()), ("told", pa.binary())])
-_KEYED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())])
-_KEYED_SQL = "part int, kind int, keys binary, data binary"
-#: Kinds of keyed rows: counts of words, log P(x | longest suffix state) of successions, values of the tree.
-_COUNTS, _NOW, _VALUES = 0, 1, 2
-
-
-def _keyed(kind: int, keys: np.ndarray, data: np.ndarray, ranges: int) -> list[dict]:
-    order = np.argsort(keys)
-    keys, data = keys[order], data[order]
-    cut = cuts_of(keys, ranges)
-    return [{"part": p, "kind": kind, "keys": keys[a:b].tobytes(), "data": data[a:b].tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
+class Block:
+    """Tokens of a block, and what the lengths so far say about them.
 
-def _joined(rows: list[dict], kind: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of the rows of a kind and the sums of their data."""
-    rows = [r for r in rows if r["kind"] == kind]
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in rows)])
-    return counts_of(keys, np.concatenate([np.zeros(0, dtype), *(np.frombuffer(r["data"], dtype) for r in rows)]))
-
-
-def _looked_up(keys: np.ndarray, data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Data of the wanted keys, 0 where there is none."""
-    if not len(keys):
-        return np.zeros(len(wanted), data.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, data[at], 0)
-
-
-def _ask_parents(ranges: int):
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.unique(_arrays(row)["suffix"])
-                cut = cuts_of(keys, ranges)
-                yield pa.RecordBatch.from_pylist([{"part": p, "source": row["part"], "keys": keys[a:b].tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a], schema=_ASKED)
-
-    return run
-
-
-def _tell_parents(asked: pa.Table, now: pa.Table) -> pa.Table:
-    keys, data = _joined(now.to_pylist(), _NOW, np.float64)
-    return pa.Table.from_pylist([{"source": r["source"], "part": r["part"], "told": _looked_up(keys, data, np.frombuffer(r["keys"], np.uint64)).tobytes()} for r in asked.to_pylist()], schema=_TOLD)
-
-
-def _roots(total: int, vocabulary: int, alpha: float):
-    """log P(x | root) of all words."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"part": r["part"], "kind": _NOW, "keys": r["keys"], "data": np.log((np.frombuffer(r["counts"], np.int64) + alpha) / (total + alpha * (vocabulary + 1))).tobytes()} for r in batch.to_pylist()], schema=_KEYED)
-
-    return run
-
-
-def _grow_range(total: int, ranges: int, last: bool, s: Settings):
-    """The values of a range's contexts that pass the divergence test (see grow), and what the next length asks for.
-
-    The value of a context is the log10 of what an unstored word keeps of its parent's probability; that of a
-    succession is what its own probability adds to this.
+    p: P(token | longest retained context so far).  rare: whether the run of the last length that begins here is known to
+    have less than `least` occurrences; open: whether contexts that end in the one of the last length here can be retained.
     """
 
+    def __init__(self, payload: bytes, total: int, vocabulary: int, settings: Settings):
+        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+        self.ids, held = table.column("doc_id").to_numpy(), table.column("held_out").to_numpy().astype(bool)
+        self.held, self.s, self.total, self.vocabulary = held, settings, total, vocabulary
+        words = split_words(table.column("text"))
+        self.n_tokens = words.per_doc + 1
+        h, self.doc = _sequence(words)
+        self.train = ~held[self.doc]
+        self.context, self.word = _ranked(h)
+        self.rest = _sums(self.word, self.train, len(self.context))
+        self.sizes, self.child, self.x, self.n, self.logp = np.zeros(len(self.context), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.float32)
+        self.length = 0
+
+    def rows(self, name: int, ranges: int, chunks: int) -> list[dict]:
+        """What is asked of each range about the runs of the present length."""
+        cut, child = cuts_of(self.context, ranges), np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        chunk = int(mix(np.array([name], np.int64).view(np.uint64))[0] % np.uint64(chunks))
+        return [
+            {"part": p, "chunk": chunk, "block": name, "payload": _squeezed(_steps(self.context[a:b]), self.sizes[a:b], self.rest[a:b], *(v[child[a] : child[b]] for v in (self.x, self.n, self.logp)))}
+            for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))
+            if b > a
+        ]
+
+    def take(self, answers: list[dict]) -> None:
+        """Answers about the present length, by range; then the runs of the next length are made."""
+        told = [_expanded(r["payload"], np.uint64, np.uint64, np.uint8, np.uint32) for r in sorted(answers, key=lambda r: r["part"])]
+        whole, rest, flags, n = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8, np.uint32))
+        size = len(self.doc)
+        if not self.length:
+            self.count, self.id = whole[self.word].astype(np.int64), rest[self.word]
+            self.p = (self.count + self.s.alpha) / (self.total + self.s.alpha * (self.vocabulary + 1))
+            self.rare, self.open = self.count < self.s.least, np.ones(size, bool)
+            self.chain = mix(self.id * _MULT)
+        else:
+            whole, rest, flags = whole.astype(float), rest.astype(float), flags[self.own]
+            n = np.append(n, 0)[self.own_child].astype(np.int64)  # the last one stands for no child
+            stored = n >= self.s.least
+            kept = (flags & _KEPT) > 0
+            to, own = (self.at + self.length)[kept], self.own[kept]
+            self.p[to] = (np.where(stored, n, 0)[kept] + (rest[own] + self.s.mu) * self.p[to]) / (whole[own] + self.s.mu)
+            self.rare[:-1] |= self.rare[1:]
+            self.rare[self.at[~stored]] = True
+            self.open = np.zeros(size, bool)
+            self.open[self.at[(flags & _OPEN) > 0]] = True
+            self.chain[: size - self.length] = mix(self.chain[: size - self.length] * _MULT + self.id[self.length :])
+        self.length += 1
+        self._runs()
+
+    def _runs(self) -> None:
+        k = self.length
+        m = max(0, len(self.doc) - k)
+        live = ~self.rare[:m] & (self.doc[:m] == self.doc[k : k + m])
+        if k > 1:
+            live &= self.open[1 : m + 1]
+        self.at = np.flatnonzero(live)
+        self.context, self.own = _ranked(self.chain[self.at])
+        to = self.at + k
+        stored = ~self.rare[self.at + 1]  # a next word seen less than `least` times even after the suffix is no child
+        pair, rank = _ranked((self.own.astype(np.uint64) << np.uint64(32)) | np.where(stored, self.word[to] + 1, 0).astype(np.uint64))
+        real = (pair & np.uint64(0xFFFFFFFF)) > 0
+        context = (pair >> np.uint64(32)).astype(np.int64)
+        counts = _sums(rank, self.train[self.at], len(pair))
+        self.rest = _sums(context[~real], counts[~real], len(self.context))
+        self.sizes = np.bincount(context[real], minlength=len(self.context)).astype(np.uint32)
+        some = np.zeros(len(pair), np.int64)
+        some[rank] = to  # a token of each pair
+        some = some[real]
+        self.x, self.n, self.logp = self.id[some], counts[real], np.log(self.p[some]).astype(np.float32)
+        place = np.full(len(pair), int(real.sum()), np.int64)
+        place[real] = np.arange(int(real.sum()))
+        self.own_child = place[rank]
+
+    def scores(self) -> dict[str, np.ndarray]:
+        n = len(self.ids)
+        each = np.log10(self.total + self.s.alpha * (self.vocabulary + 1))
+        known = np.bincount(self.doc, weights=self.count > 0, minlength=n).astype(np.int64)
+        base = np.bincount(self.doc, weights=np.log10(self.count + self.s.alpha), minlength=n) - self.n_tokens * each
+        return {"doc_id": pa.array(self.ids, mask=self.ids == _NO_ID), "held_out": self.held, "n_tokens": self.n_tokens, "n_known": known, "train_tokens": np.full(n, self.total, np.int64), "base_score": base, "score": np.bincount(self.doc, weights=np.log10(self.p), minlength=n)}
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+_ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+_ASKED_SQL = "part int, chunk int, block long, payload binary"
+_TOLD = pa.schema([("block", pa.int64()), ("length", pa.int32()), ("part", pa.int32()), ("total", pa.int64()), ("kinds", pa.int64()), ("payload", pa.binary())])
+_TOLD_SQL = "block long, length int, part int, total long, kinds long, payload binary"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _blocks_with_answers(blocks: pa.Table, told: pa.Table, total: int, vocabulary: int, settings: Settings) -> Iterator[tuple[int, Block]]:
+    answers = told.to_pylist()
+    last = max((r["length"] for r in answers), default=-1)
+    for row in blocks.to_pylist():
+        block = Block(row["payload"], total, vocabulary, settings)
+        for length in range(last + 1):
+            block.take([r for r in answers if r["length"] == length and r["block"] == row["block"]])
+        yield row["block"], block
+
+
+def _ask(length: int, ranges: int, chunks: int, total: int, vocabulary: int, settings: Settings):
     @tidy
-    def run(held: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
-        for row in held.to_pylist():
-            x = _arrays(row)
-            own, n, whole, rest = x["own"], x["n"], x["whole"], x["rest"]
-            if not len(n):
-                continue
-            parent = np.concatenate([np.frombuffer(r["told"], np.float64) for r in sorted(told.to_pylist(), key=lambda r: r["part"])])
-            parent = parent[np.unique(x["suffix"], return_inverse=True)[1]]
-            escape = np.log((rest + s.mu) / (whole + s.mu))
-            logp = np.log((n + (rest + s.mu)[own] * np.exp(parent)) / (whole + s.mu)[own])
-            gained = np.add.reduceat(n * (logp - parent), np.cumsum(x["sizes"]) - x["sizes"]) + rest * escape
-            keep = (gained > 0.5 * x["sizes"] * np.log(max(total, 2))) & (gained > s.kl_min * whole)
-            stay = keep[own]
-            key = _chained([x["context"][own], x["word"]])
-            out += _keyed(_VALUES, np.concatenate([key[stay], x["context"][keep]]), np.concatenate([(logp - parent - escape[own])[stay], escape[keep]]) / np.log(10), ranges)
-            if not last:
-                out += _keyed(_NOW, key, np.where(stay, logp, parent), ranges)
-        return pa.Table.from_pylist(out, schema=_KEYED)
-
-    return run
-
-
-def _mark(table: pa.Table) -> pa.Table:
-    """The piece of the bitmap that a range's keys lie in."""
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-    bits = (keys >> np.uint64(64 - MARKS)).astype(np.int64)
-    first = int(bits.min()) >> 3
-    piece = np.zeros(((int(bits.max()) >> 3) - first + 1) << 3, bool)
-    piece[bits - (first << 3)] = True
-    return pa.table({"first": pa.array([first], pa.int64()), "bits": pa.array([np.packbits(piece, bitorder="little").tobytes()], pa.binary())})
-
-
-def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bits = (keys >> np.uint64(64 - MARKS)).astype(np.int64)
-    return (marks[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 > 0
-
-
-def _of_index(index):
-    """Values of the words in the index, each with its place there."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                at = index.value.find(np.frombuffer(row["keys"], np.uint64))
-                yield pa.RecordBatch.from_pylist([{"at": at[at >= 0].tobytes(), "data": np.frombuffer(row["data"], np.float64)[at >= 0].tobytes()}], schema=pa.schema([("at", pa.binary()), ("data", pa.binary())]))
-
-    return run
-
-
-@dataclass
-class SuffixTree:
-    """The tree in one place, which the distributed one is tested against.  Retained contexts by length: their keys and log10 of what an unstored word keeps of its parent's
-    probability; stored successions: keys and log10 P(x | s) / P(x | root)."""
-
-    base: int
-    contexts: list[HashIndex]
-    escape: list[np.ndarray]
-    children: list[HashIndex]
-    gain: list[np.ndarray]
-
-    @property
-    def size(self) -> int:
-        return sum(len(x.keys) for x in self.contexts)
-
-    def corrections(self, sym: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 P(token | longest suffix state) / P(token | root) of every token."""
-        out = np.zeros(len(sym))
-        for k, (contexts, escape, children, gain) in enumerate(zip(self.contexts, self.escape, self.children, self.gain, strict=True), 1):
-            if not len(contexts.keys) or len(sym) <= k:
-                continue
-            n = len(sym) - k
-            good = doc[:n] == doc[k:]
-            key = np.zeros(n, np.uint64)
-            for j in range(k):
-                good &= sym[j : n + j] >= 0
-                key = key * np.uint64(self.base) + sym[j : n + j].astype(np.uint64)
-            at = np.flatnonzero(good)
-            state = contexts.find(key[at])
-            at, state = at[state >= 0], state[state >= 0]
-            to = at + k
-            child = np.where(sym[to] >= 0, children.find(key[at] * np.uint64(self.base) + np.maximum(sym[to], 0).astype(np.uint64)), -1)
-            out[to] = np.where(child >= 0, gain[np.maximum(child, 0)] if len(gain) else 0.0, escape[state] + out[to])
-        return out
-
-
-def grow(counts: np.ndarray, successions: dict[int, tuple[np.ndarray, np.ndarray]], total: int, vocabulary: int, s: Settings) -> SuffixTree:
-    """The tree of the contexts that pass the divergence test, shortest first."""
-    base = len(counts)
-    root = np.log((counts + s.alpha) / (total + s.alpha * (vocabulary + 1)))
-    tree = SuffixTree(base, [], [], [], [])
-    nodes: list[tuple[HashIndex, np.ndarray, HashIndex, np.ndarray]] = []  # in nats, with log P(x | s)
-    before = (np.arange(base, dtype=np.uint64), counts)
-    for length in range(2, s.depth + 2):
-        keys, n = successions.get(length, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        context, x = keys // np.uint64(base), (keys % np.uint64(base)).astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        held = context[at]
-        sizes = np.diff(np.append(at, len(keys)))
-        place = np.searchsorted(before[0], held)
-        whole = before[1][np.minimum(place, len(before[1]) - 1)].astype(float) if len(held) else np.zeros(0)
-        # the longest retained suffix of each context, and its distribution over the context's children
-        parent = root[x]
-        slack = np.zeros(len(held))  # log probability that the parent leaves to an unstored word, over the root's
-        for k, (ctx, esc, child, logp) in enumerate(nodes, 1):
-            suffix = held % np.uint64(base**k)
-            state = ctx.find(suffix)
-            ok = state >= 0
-            slack = np.where(ok, esc[np.maximum(state, 0)] + slack, slack) if len(ctx.keys) else slack
-            each = np.repeat(state, sizes)
-            got = child.find(np.repeat(suffix, sizes) * np.uint64(base) + x.astype(np.uint64))
-            if len(ctx.keys):
-                parent = np.where(each >= 0, np.where(got >= 0, logp[np.maximum(got, 0)] if len(logp) else parent, esc[np.maximum(each, 0)] + parent), parent)
-        rest = np.maximum(0.0, whole - (np.add.reduceat(n, at) if len(at) else 0.0))
-        escape = np.log((rest + s.mu) / (whole + s.mu))
-        own = np.repeat(np.arange(len(held)), sizes)
-        logp = np.log((n + (rest + s.mu)[own] * np.exp(parent)) / (whole + s.mu)[own])
-        gained = (np.add.reduceat(n * (logp - parent), at) if len(at) else np.zeros(0)) + rest * escape
-        keep = (gained > 0.5 * sizes * np.log(max(total, 2))) & (gained > s.kl_min * whole)
-        stay = keep[own]
-        ctx, child = HashIndex(held[keep], mixed=False), HashIndex(keys[stay], mixed=False)
-        nodes.append((ctx, escape[keep], child, logp[stay]))
-        tree.contexts.append(ctx)
-        tree.escape.append(escape[keep] / np.log(10))
-        tree.children.append(child)
-        tree.gain.append((logp[stay] - root[x[stay]]) / np.log(10))
-        before = (keys, n)
-    return tree
-
-
-_SCORED = pa.schema([(c, t) for c, t in (("part", pa.int32()), ("block", pa.int64()), ("rid", pa.binary()), ("doc_id", pa.binary()), ("held_out", pa.binary()), ("n_tokens", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("gain", pa.binary()), ("words", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()))])
-_SCORED_SQL = "part int, block long, rid binary, doc_id binary, held_out binary, n_tokens binary, known binary, base binary, gain binary, words binary, sizes binary, docs binary, times binary"
-
-
-def _score(model, ranges: int, depth: int, alpha: float):
-    """A row of sums per block, and rows per hash range with the words whose counts and the successions whose values
-    are still wanted."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts, values, marks = model.value
-        for table in blocks(batches):
-            n = table.num_rows
-            words = split_words(table.column("text"))
-            h, doc = _sequence(words)
-            sym = index.find(h)
-            rid = table.column("rid").to_numpy()
-            block = int(rid[0])
-            hit = np.flatnonzero(sym >= 0)
-            known = np.bincount(doc[hit], weights=(counts[sym[hit]] > 0), minlength=n).astype(np.int64)
-            base = np.bincount(doc[hit], weights=np.log10(counts[sym[hit]] + alpha), minlength=n)
-            gain = np.bincount(doc[hit], weights=values[sym[hit]], minlength=n)
-            rows = [{"part": int(mix(np.array([block], np.uint64))[0] % np.uint64(ranges)), "block": block, "rid": rid.tobytes(), "doc_id": table.column("doc_id").to_numpy().astype(np.int64).tobytes(), "held_out": _held(table).tobytes(), "n_tokens": (words.per_doc + 1).tobytes(), "known": known.tobytes(), "base": base.tobytes(), "gain": gain.tobytes()}]
-            asked = [(key[ok], doc[at[ok] + length - 1]) for length in range(2, depth + 2) for key, at in [_runs(h, doc, length)] for ok in [_marked(marks, key)]]
-            key, d = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int32)), *asked, strict=True))
-            order = np.argsort(key)
-            key, d = key[order], d[order]
-            first = _heads(key)
-            sizes, ends = np.diff(np.append(first, len(key))).astype(np.uint32), np.append(first, len(key))
-            cut = cuts_of(key[first], ranges)
-            rows += [{"part": p, "block": block, "words": key[first[a:b]].tobytes(), "sizes": sizes[a:b].tobytes(), "docs": d[ends[a] : ends[b]].tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            rare = np.flatnonzero(sym < 0)
-            h, d = h[rare], doc[rare]
-            order = np.argsort(h, kind="stable")  # texts ascend within a word
-            h, d = h[order], d[order]
-            if len(h):
-                at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
-                times = np.diff(np.append(at, len(h))).astype(np.uint32)
-                h, d = h[at], d[at].astype(np.int32)
-                cut = cuts_of(h, ranges)
-                rows += [{"part": p, "block": block, "words": h[a:b].tobytes(), "docs": d[a:b].tobytes(), "times": times[a:b].tobytes()} for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCORED)
+    def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        out = [row for name, block in _blocks_with_answers(blocks, told, total, vocabulary, settings) if block.length == length for row in block.rows(name, ranges, chunks)]
+        return pa.Table.from_pylist(out, schema=_ASKED)
 
     return run
 
 
-def _answer(alpha: float):
-    """Replaces wanted words and successions by sums per row of the block."""
+def _asked(payload: bytes) -> tuple[np.ndarray, ...]:
+    """context, its other occurrences, context of each child, child, count, log probability by the parent."""
+    context, sizes, rest, x, n, logp = _expanded(payload, np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.float32)
+    return np.cumsum(context, dtype=np.uint64), rest, np.repeat(np.arange(len(sizes)), sizes), x, n, logp
+
+
+@tidy
+def _merge(table: pa.Table) -> pa.Table:
+    """What several blocks ask of a range, as one row: every context and child once, its counts added."""
+    context, rest, own, x, n, logp, before = [], [], [], [], [], [], 0
+    for payload in table.column("payload"):
+        got = _asked(payload.as_py())
+        for held, v in zip((context, rest, own, x, n, logp), (*got[:2], got[2] + before, *got[3:]), strict=True):
+            held.append(v)
+        before += len(got[0])
+    context, rest, own, x, n, logp = (np.concatenate(v) for v in (context, rest, own, x, n, logp))
+    context, rank = _ranked(context)
+    rest = np.bincount(rank, weights=rest, minlength=len(context)).astype(np.uint32)
+    own = rank[own]
+    order = np.lexsort((x, own))
+    own, x, n, logp = own[order], x[order], n[order], logp[order]
+    head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (x[1:] != x[:-1])])) if len(own) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n, head) if len(head) else n
+    sizes = np.bincount(own[head], minlength=len(context)).astype(np.uint32)
+    row = {"part": table.column("part")[0].as_py(), "chunk": table.column("chunk")[0].as_py() // FAN_IN, "block": 0, "payload": _squeezed(_steps(context), sizes, rest, x[head], n.astype(np.uint32), logp[head])}
+    return pa.Table.from_pylist([row], schema=_ASKED)
+
+
+def judged(payload: bytes, part: int, length: int, ranges: int, total: int, s: Settings) -> tuple[np.ndarray, ...]:
+    """Of a range's contexts: occurrences, those without a stored child, flags, first child (one more at the end); and the children.
+
+    At length 0 the contexts are words, and in place of the second an identifier of the word, 0 for one that training rows
+    don't have; frequent words have small ones.
+    """
+    context, rest, own, x, n, logp = _asked(payload)
+    if not length:
+        seen = np.flatnonzero(rest)
+        order = seen[np.argsort(-rest[seen].astype(np.int64), kind="stable")]
+        name = np.zeros(len(rest), np.uint64)
+        name[order] = np.arange(len(order), dtype=np.uint64) * np.uint64(ranges) + np.uint64(part + 1)
+        return context, rest.astype(np.uint64), name, np.zeros(len(rest), np.uint8), np.zeros(len(rest) + 1, np.int64), x, n
+    many = len(context)
+    stored = n >= s.least
+    total_n = np.bincount(own, weights=n, minlength=many)
+    whole = rest + total_n
+    rare = whole - np.bincount(own, weights=n * stored, minlength=many)
+    k, parent, owner = n[stored].astype(float), logp[stored].astype(float), own[stored]
+    escape = np.log((rare + s.mu) / (whole + s.mu))
+    here = np.log((k + (rare + s.mu)[owner] * np.exp(parent)) / (whole + s.mu)[owner])
+    gained = np.bincount(owner, weights=k * (here - parent), minlength=many) + rare * escape
+    penalty = 0.5 * np.log(max(total, 2))
+    kept = (gained > penalty * np.bincount(owner, minlength=many)) & (gained > s.kl_min * whole)
+    hope = -k * np.where(kept[owner], here, parent) > penalty
+    flags = kept * np.uint8(_KEPT) | (np.bincount(owner, weights=hope, minlength=many) > 0) * np.uint8(_OPEN)
+    return context, whole.astype(np.uint64), rare.astype(np.uint64), flags.astype(np.uint8), np.searchsorted(own, np.arange(many + 1)), x, n
+
+
+def _answer(length: int, ranges: int, total: int, s: Settings):
+    """The answers to each block of a chunk, from the merged row of the range."""
 
     @tidy
-    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
-        found = table.to_pylist()
-        keys, counts = _joined(found, _COUNTS, np.int64)
-        inner, values = _joined(found, _VALUES, np.float64)
+    def run(asked: pa.Table, merged: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _TOLD.empty_table()
+        part = asked.column("part")[0].as_py()
+        context, whole, rest, flags, first, x, n = judged(merged.column("payload")[0].as_py(), part, length, ranges, total, s)
+        rank = np.repeat(np.arange(len(context), dtype=np.uint64), np.diff(first))
+        pairs = (rank << np.uint64(40)) | x  # sorted, as children are sorted within their context
+        count, kinds = (int(whole.sum()), int((whole > 0).sum())) if not length else (0, 0)
         out = []
-        for row in asked.to_pylist():
-            if row["words"] is not None:
-                h, d = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["docs"], np.int32)
-                docs, inverse = np.unique(d, return_inverse=True)
-                value = _looked_up(inner, values, h)
-                if row["times"] is None:
-                    gain = np.bincount(inverse, weights=np.repeat(value, np.frombuffer(row["sizes"], np.uint32)))
-                    known, base = np.zeros(len(docs), np.int64), np.zeros(len(docs))
-                else:
-                    times = np.frombuffer(row["times"], np.uint32)
-                    c = _looked_up(keys, counts, h)
-                    gain = np.bincount(inverse, weights=times * value)
-                    known, base = np.bincount(inverse, weights=times * (c > 0)).astype(np.int64), np.bincount(inverse, weights=times * np.log10(c + alpha))
-                row |= {"words": None, "sizes": None, "times": None, "docs": docs.astype(np.int32).tobytes(), "known": known.tobytes(), "base": base.tobytes(), "gain": gain.tobytes()}
-            out.append(row)
-        return pa.Table.from_pylist(out, schema=_SCORED)
+        for block, payload in zip(asked.column("block").to_pylist(), asked.column("payload").to_pylist(), strict=True):
+            mine, _, own, child, _, _ = _asked(payload)
+            at = np.searchsorted(context, mine)
+            k = n[np.searchsorted(pairs, (at[own].astype(np.uint64) << np.uint64(40)) | child)] if len(child) else n[:0]
+            f = flags[at]
+            k = np.where((f[own] & _KEPT) > 0, k, np.minimum(k, s.least)) if length else k
+            told = (f & _KEPT) > 0 if length else np.ones(len(f), bool)
+            out.append({"block": block, "length": length, "part": part, "total": count, "kinds": kinds, "payload": _squeezed(whole[at] * told, rest[at] * told, f, k.astype(np.uint32))})
+        return pa.Table.from_pylist(out, schema=_TOLD)
 
     return run
 
 
-def _gather(total: int, vocabulary: int, alpha: float):
-    """Rows of a block from its sums."""
-    each = np.log10(total + alpha * (vocabulary + 1))
-
+def _score(total: int, vocabulary: int, settings: Settings):
     @tidy
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["rid"] is not None)
-        known, base, gain = np.frombuffer(head["known"], np.int64).copy(), np.frombuffer(head["base"], float).copy(), np.frombuffer(head["gain"], float).copy()
-        for row in rows:
-            if row["rid"] is None:
-                docs = np.frombuffer(row["docs"], np.int32)
-                known[docs] += np.frombuffer(row["known"], np.int64)
-                base[docs] += np.frombuffer(row["base"], float)
-                gain[docs] += np.frombuffer(row["gain"], float)
-        n = np.frombuffer(head["n_tokens"], np.int64)
-        base -= n * each
-        doc_id = np.frombuffer(head["doc_id"], np.int64)
-        return pa.table({"doc_id": pa.array(doc_id, mask=doc_id == _NO_ID), "held_out": np.frombuffer(head["held_out"], bool), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total, np.int64), "base_score": base, "score": base + gain})
+    def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        done = [pa.table(block.scores()).cast(_SCORES) for _, block in _blocks_with_answers(blocks, told, total, vocabulary, settings)]
+        return pa.concat_tables(done) if done else _SCORES.empty_table()
 
     return run
 
 
-_NO_ID = np.iinfo(np.int64).min
-
-
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: F.Column | None = None, settings: Settings = Settings(), ranges: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     held_out marks rows that the model does not learn from; by default those
     whose crc32 of the identifier as text leaves no remainder by 10 (a null
     identifier counts as the empty string there).  Null text is empty and is
-    one token, the end.  Rows that repeat an identifier are scored each on their own;
-    without training rows every count is zero.  An empty table gives no rows.
+    one token, the end.  A text longer than a block is a block of its own.  Rows that repeat an identifier are scored each on
+    their own; contexts of equal gain don't compete, so there are no ties.  Without training rows every count is
+    zero.  An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    ranges = ranges or parts(spark)
     if held_out is None:
         held_out = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit(""))) % 10 == 0
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), held_out.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
-    scan = rows.select("text", "held_out")
-    totals = checkpointed(scan.mapInArrow(_count_words(ranges), _COUNTED_SQL).groupBy("part", "kind").applyInArrow(_sum(), _SUMMED))
-    total, vocabulary = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct_keys"), F.lit(0))).first()
-    kept = totals.mapInArrow(_frequent(max(2.0, settings.p_min * total)), "keys binary, counts binary").collect()  # at most 1/p_min + 1 words
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in kept)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in kept)])
-    if END not in keys:
-        keys, counts = np.append(keys, END), np.append(counts, 0)
-    index = HashIndex(keys)
-    words = shared(spark, index)
-    now = totals.mapInArrow(_roots(total, vocabulary, settings.alpha), _KEYED_SQL)
-    tree = spark.createDataFrame([], _KEYED_SQL)
-    for length in range(2, settings.depth + 2):
-        mine = checkpointed(scan.mapInArrow(_count_successions(words, ranges, length), _RUNS_SQL).groupBy("part", "kind").applyInArrow(_hold(words, settings.least), _HELD_SQL))
-        settle(spark)
-        asked = mine.mapInArrow(_ask_parents(ranges), "part int, source int, keys binary")
-        told = asked.groupBy("part").cogroup(now.groupBy("part")).applyInArrow(_tell_parents, "source int, part int, told binary")
-        grown = checkpointed(mine.groupBy("part").cogroup(told.groupBy("source")).applyInArrow(_grow_range(total, ranges, length == settings.depth + 1, settings), _KEYED_SQL))
-        now = grown.where(F.col("kind") == _NOW)
-        tree = tree.unionByName(grown.where(F.col("kind") == _VALUES))
-        del mine, asked, told
-        settle(spark)
-    marks, values = np.zeros(1 << (MARKS - 3), np.uint8), np.zeros(len(keys))
-    for row in tree.groupBy("part").applyInArrow(_mark, "first long, bits binary").collect():  # 2^MARKS bits
-        marks[row["first"] : row["first"] + len(row["bits"])] |= np.frombuffer(row["bits"], np.uint8)
-    for row in tree.mapInArrow(_of_index(words), "at binary, data binary").collect():  # at most 1/p_min + 1 words
-        values[np.frombuffer(row["at"], np.int32)] += np.frombuffer(row["data"], np.float64)
-    model = shared(spark, (index, counts, values, marks))
-    asked = rows.mapInArrow(_score(model, ranges, settings.depth, settings.alpha), _SCORED_SQL)
-    known = tree.unionByName(totals.select("part", F.lit(_COUNTS).alias("kind"), "keys", F.col("counts").alias("data")))
-    answered = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answer(settings.alpha), _SCORED_SQL)
-    return answered.groupBy("block").applyInArrow(
-        _gather(total, vocabulary, settings.alpha),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    blocks = checkpointed(rows.mapInArrow(_pack_blocks, "block long, payload binary"))
+    many, ways = blocks.count(), parts(spark)
+    ranges = ranges or max(ways, min(many, 8 * ways))
+    chunks = max(1, -(-many // FAN_IN))
+    blocks = blocks.repartition(ways, "block")
+    told = spark.createDataFrame([], _TOLD_SQL)
+    total = vocabulary = 0
+    for length in range(settings.depth + 1):
+        asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask(length, ranges, chunks, total, vocabulary, settings), _ASKED_SQL)
+        merged, left = asked.groupBy("part", "chunk").applyInArrow(_merge, _ASKED_SQL), chunks
+        while left > 1:
+            merged, left = merged.groupBy("part", "chunk").applyInArrow(_merge, _ASKED_SQL), -(-left // FAN_IN)
+        spread = merged.select("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "block", "payload")
+        answers = asked.groupBy("part", "chunk").cogroup(spread.groupBy("part", "chunk")).applyInArrow(_answer(length, ranges, total, settings), _TOLD_SQL)
+        answers = checkpointed(answers)
+        told = told.unionByName(answers)
+        if not length:
+            of_part = answers.groupBy("part").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"))
+            total, vocabulary = of_part.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(total, vocabulary, settings), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -3,30 +3,47 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import pickle
 import tempfile
 import types
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Removes a query's shuffle files when it ends; nothing reads those of a checkpointed frame again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset a temporary one, on a local master only."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="strandline-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def settle(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of frames that are checkpointed and no longer held."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        sc.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 class _WithCode:
@@ -44,27 +61,59 @@ def shared(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(_WithCode(value))
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, rows: int = 2000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most `rows` rows and about `most` bytes of text; a longer text is a slice of its own."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        end = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        a = 0
+        while a < batch.num_rows:
+            b = min(batch.num_rows, a + rows, max(a + 1, int(np.searchsorted(end, end[a] + most, side="right")) - 1))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+#: Parameters of mallopt: blocks from 1 MB on are mapped by themselves, at most two arenas.
+_MALLOPT = ((-3, 1 << 20), (-1, 1 << 20), (-8, 2))
+
+
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except OSError:
+        return None
+
+
+def _tune() -> None:
+    """Makes the worker's allocator give large blocks back at once."""
+    lib = _libc()
+    if hasattr(lib, "mallopt"):
+        for name, value in _MALLOPT:
+            lib.mallopt(name, value)
+
+
 def _release() -> None:
     """Gives freed memory back to the system, so that idle Python workers stay small."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    lib = _libc()
+    if hasattr(lib, "malloc_trim"):
+        lib.malloc_trim(0)
 
 
 def tidy(run):
     """A function of batches (a generator) or of one group, releasing memory after each."""
 
-    def done(got):
+    def done(*data):
+        _tune()
+        got = run(*data)
         if isinstance(got, types.GeneratorType):
             return _released(got)
         _release()
         return got
 
     if run.__code__.co_argcount == 1:  # the engine looks at the number of arguments
-        return lambda data: done(run(data))
-    return lambda left, right: done(run(left, right))
+        return lambda data: done(data)
+    return lambda left, right: done(left, right)
 
 
 def _released(batches):

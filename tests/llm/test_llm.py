@@ -78,40 +78,78 @@ def test_lm(spark, corpus):
     assert suffix_tree_lm.score_texts(frame(spark, []).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("p_min", "depth"), [(5e-7, 2), (0.02, 2), (0.02, 3)])
-def test_lm_keeps_every_context_whatever_the_size(spark, corpus, p_min, depth):
-    s = suffix_tree_lm.Settings(p_min=p_min, depth=depth)
-    rows = [(i, t) for i, t in corpus if i < 60]
+def brute_tree(train, s):
+    """P(x | longest retained context) by the definition: every context of every length is tested."""
+    c = Counter(w for x in train for w in x)
+    total, kinds = sum(c.values()), len(c)
+    succession = {}
+    for x in train:
+        for k in range(1, len(x)):
+            for length in range(1, min(s.depth, k) + 1):
+                succession.setdefault(tuple(x[k - length : k]), Counter())[x[k]] += 1
+    kept = {}
+
+    def p(context, x):
+        for k in range(len(context)):
+            if context[k:] in kept:
+                n, whole, rest = kept[context[k:]]
+                return (n.get(x, 0) + (rest + s.mu) * p(context[k + 1 :], x)) / (whole + s.mu)
+        return (c[x] + s.alpha) / (total + s.alpha * (kinds + 1))
+
+    for length in range(1, s.depth + 1):
+        found = {}
+        for context, n in succession.items():
+            if len(context) == length:
+                whole, stored = sum(n.values()), {x: k for x, k in n.items() if k >= s.least}
+                rest, escape, gained = whole - sum(stored.values()), 0.0, 0.0
+                escape = math.log((rest + s.mu) / (whole + s.mu))
+                for x, k in stored.items():
+                    parent = float(np.float32(math.log(p(context[1:], x))))
+                    gained += k * (math.log((k + (rest + s.mu) * math.exp(parent)) / (whole + s.mu)) - parent)
+                gained += rest * escape
+                if gained > 0.5 * len(stored) * math.log(max(total, 2)) and gained > s.kl_min * whole:
+                    found[context] = (stored, whole, rest)
+        kept |= found
+    return p, kept
+
+
+@pytest.mark.parametrize(("depth", "fan"), [(4, 64), (2, 2)])
+def test_lm_is_the_whole_tree(spark, corpus, monkeypatch, depth, fan):
+    monkeypatch.setattr(suffix_tree_lm, "FAN_IN", fan)
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK_BYTES", 4000)  # many blocks, and texts longer than one
+    s = suffix_tree_lm.Settings(depth=depth)
+    rows = [*corpus, *[(i + 500, t) for i, t in corpus if i % 3 == 0]]
     got = by_id(suffix_tree_lm.score_texts(frame(spark, rows), settings=s))
     tok = {i: [*tokens(t), None] for i, t in rows}
-    train = [x for i, x in tok.items() if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for x in train for w in x)
-    place = {w: k for k, w in enumerate(w for w in c if c[w] >= 2)}
-    base, found = len(place), {}
-    for length in range(2, depth + 2):
-        n = Counter(tuple(x[k : k + length]) for x in train for k in range(len(x) - length + 1))
-        n = {sum(place[w] * base ** (length - 1 - j) for j, w in enumerate(g)): k for g, k in n.items() if k >= 2}
-        found[length] = np.array(list(n), np.uint64), np.array(list(n.values()))
-    tree = suffix_tree_lm.grow(np.array([c[w] for w in place]), found, sum(c.values()), len(c), s)
-    assert all(len(x.keys) for x in tree.contexts)
+    p, kept = brute_tree([x for i, x in tok.items() if zlib.crc32(str(i).encode()) % 10], s)
+    assert {len(x) for x in kept} >= {1, 2}
     for i, x in tok.items():
-        gain = tree.corrections(np.array([place.get(w, -1) for w in x]), np.zeros(len(x), int)).sum()
-        assert math.isclose(got[i]["score"] - got[i]["base_score"], gain, abs_tol=1e-8)
+        assert math.isclose(got[i]["score"], sum(math.log10(p(tuple(x[max(0, k - depth) : k]), x[k])) for k in range(len(x))), abs_tol=1e-6)
 
 
 def test_suffix_tree_sums_to_one():
     s = suffix_tree_lm.Settings(kl_min=0.0)
-    counts = np.array([50, 30, 20, 10])
-    pairs = {(0, 1): 25, (0, 0): 5, (1, 2): 20, (2, 3): 10}
-    keys = np.array([a * 4 + b for a, b in pairs], np.uint64)
-    tree = suffix_tree_lm.grow(counts, {2: (keys, np.array(list(pairs.values())))}, 110, 4, s)
-    assert tree.size
-    root = (counts + 0.1) / (110 + 0.5)
-    for ctx in range(4):
-        sym = np.array([[ctx, x] for x in range(4)]).ravel()
-        p = root * 10 ** tree.corrections(sym, np.repeat(np.arange(4), 2))[1::2]
-        unseen = 0.1 / 110.5 * 10 ** tree.corrections(np.array([ctx, -1]), np.array([0, 0]))[1]
-        assert math.isclose(p.sum() + unseen, 1.0, rel_tol=1e-9)
+    r = random.Random(9)
+    train = [[r.choice("aab") + r.choice("xxy") for _ in range(40)] + [None] for _ in range(30)]
+    p, kept = brute_tree(train, s)
+    words_of = {w for x in train for w in x}
+    c = sum(len(x) for x in train)
+    for context in kept:
+        unseen = 0.1 / (c + 0.1 * (len(words_of) + 1))
+        for k in range(len(context)):
+            if context[k:] in kept:
+                _, whole, rest = kept[context[k:]]
+                unseen *= (rest + s.mu) / (whole + s.mu)
+        assert math.isclose(sum(p(context, w) for w in words_of) + unseen, 1.0, rel_tol=1e-9)
+
+
+def test_lm_repeated_ids_nulls_and_no_training_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "a"), (2, None)]
+    got = suffix_tree_lm.score_texts(frame(spark, rows)).collect()
+    assert len(got) == 4 and len({(r["base_score"], r["score"]) for r in got if r["doc_id"] == 1}) == 1
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    r = suffix_tree_lm.score_texts(frame(spark, [(held, "x y")])).first()
+    assert (r["held_out"], r["n_known"], r["train_tokens"], r["score"]) == (True, 0, 0, r["base_score"])
 
 
 def test_packing():
