@@ -12,7 +12,7 @@ where r(s) is the mass of the next words that are too rare to be stored; it
 sums to one.  A text is scored from its longest suffix states: each token is
 predicted by the longest retained context that ends before it.
 
-Texts are packed once into blocks.  The tree grows a length at a time, in messages between
+Texts are packed once into blocks of word numbers.  The tree grows a length at a time, in messages between
 blocks and hash ranges of contexts:
 
 1. a block asks each range about its distinct contexts: the next words with their counts in training rows and
@@ -26,17 +26,18 @@ Two rules leave out contexts that can't be retained, without changing the tree.
 stores no child.  And a context's gain is at most the sum of n(s, x) (-log P(x | suffix)) over its children, so if no
 child of the suffix reaches the penalty of one child, no longer context passes the test.
 
+After contexts of CARRIED words few tokens can still gain, so a block goes on with sums per row and those tokens alone.
+
 Nothing is broadcast and nothing but totals reaches the driver.  Words and contexts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.ipc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,9 @@ from .words import END, Words, cuts_of, mix, split_words
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Blocks whose messages to a range are merged, or answered, at once.
-FAN_IN = 64
+FAN_IN = 512
+#: Length of context after which a block keeps only the tokens that a longer one can predict.
+CARRIED = 2
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _KEPT, _OPEN = 1, 2
 _NO_ID = np.iinfo(np.int64).min
@@ -114,35 +117,75 @@ def _sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 @tidy
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as compressed blocks, named by the first row's number."""
-    small = zstandard.ZstdCompressor(level=3)
-    for batch in byte_slices(batches, BLOCK_BYTES):
-        sink = pa.BufferOutputStream()
-        kept = batch.select(["doc_id", "text", "held_out"])
-        with pa.ipc.new_stream(sink, kept.schema) as out:
-            out.write_batch(kept)
-        yield pa.RecordBatch.from_arrays([batch.column("rid").slice(0, 1), pa.array([small.compress(sink.getvalue().to_pybytes())], pa.binary())], ["block", "payload"])
+    """Rows as blocks, named by the first row's number: identifiers, which rows are held out, tokens per row, the
+    distinct words, how often each occurs, and every token as its word's place in order of that number."""
+    for batch in byte_slices(batches, BLOCK_BYTES, rows=1 << 20):
+        words = split_words(batch.column("text"))
+        keys, word = _ranked(_sequence(words)[0])
+        times = np.bincount(word, minlength=len(keys)).astype(np.uint32)
+        place = np.empty(len(keys), np.uint32)
+        place[_by_number(times)] = np.arange(len(keys), dtype=np.uint32)
+        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)
+        payload = _squeezed(batch.column("doc_id").to_numpy().astype(np.int64), held, (words.per_doc + 1).astype(np.uint32), _steps(keys), times, place[word])
+        yield pa.RecordBatch.from_arrays([batch.column("rid").slice(0, 1), pa.array([payload], pa.binary())], ["block", "payload"])
+
+
+def _by_number(times: np.ndarray) -> np.ndarray:
+    return np.argsort(-times.astype(np.int64), kind="stable")
 
 
 class Block:
     """Tokens of a block, and what the lengths so far say about them.
 
-    p: P(token | longest retained context so far).  rare: whether the run of the last length that begins here is known to
-    have less than `least` occurrences; open: whether contexts that end in the one of the last length here can be retained.
+    doc: row of each token; line: stretch of tokens that runs don't leave.  p: P(token | longest retained context so far).
+    rare: whether the run of the last length that begins here is known to have less than `least` occurrences; open:
+    whether contexts that end in the one of the last length here can be retained; chain: key of the run of the present length that begins here.
     """
 
     def __init__(self, payload: bytes, total: int, vocabulary: int, settings: Settings):
-        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
-        self.ids, held = table.column("doc_id").to_numpy(), table.column("held_out").to_numpy().astype(bool)
-        self.held, self.s, self.total, self.vocabulary = held, settings, total, vocabulary
-        words = split_words(table.column("text"))
-        self.n_tokens = words.per_doc + 1
-        h, self.doc = _sequence(words)
-        self.train = ~held[self.doc]
-        self.context, self.word = _ranked(h)
+        self.s, self.total, self.vocabulary, self.length = settings, total, vocabulary, 0
+        self.ids, held, self.n_tokens, steps, times, place = _expanded(payload, np.int64, np.uint8, np.uint32, np.uint64, np.uint32, np.uint32)
+        self.held = held.astype(bool)
+        self.doc = self.line = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.n_tokens)
+        self.train = ~self.held[self.doc]
+        self.context, self.word = np.cumsum(steps, dtype=np.uint64), _by_number(times)[place]
         self.rest = _sums(self.word, self.train, len(self.context))
-        self.sizes, self.child, self.x, self.n, self.logp = np.zeros(len(self.context), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.float32)
-        self.length = 0
+        self.sizes, self.x, self.n, self.logp = np.zeros(len(self.context), np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.float32)
+
+    _ROWS = (("ids", np.int64), ("held", np.uint8), ("n_tokens", np.uint32), ("known", np.int64), ("base", np.float64), ("done", np.float64))
+    _TOKENS = (("doc", np.int32), ("line", np.int32), ("train", np.uint8), ("word", np.uint32), ("id", np.uint64), ("p", np.float64), ("rare", np.uint8), ("open", np.uint8), ("chain", np.uint64))
+
+    def carried(self) -> bytes:
+        """Sums per row, and the tokens that runs of the present length, or longer ones about them, have."""
+        n, k = len(self.ids), self.length
+        self.known = np.bincount(self.doc, weights=self.count > 0, minlength=n).astype(np.int64)
+        self.base = np.bincount(self.doc, weights=np.log10(self.count + self.s.alpha), minlength=n) - self.n_tokens * np.log10(self.total + self.s.alpha * (self.vocabulary + 1))
+        wanted = np.zeros(len(self.doc), bool)
+        at = self.at if k <= self.s.depth else self.at[:0]
+        for j in range(k - self.s.depth, k + 1):
+            to = at + j
+            near = to >= 0
+            near[near] = self.doc[to[near]] == self.doc[at[near]]
+            wanted[to[near]] = True
+        self.done = np.bincount(self.doc, weights=np.where(wanted, 0.0, np.log10(self.p)), minlength=n)
+        wanted = np.flatnonzero(wanted)
+        tokens = {c: getattr(self, c)[wanted] for c, _ in self._TOKENS if c != "line"}
+        cut = np.ones(len(wanted), bool)
+        cut[1:] = (wanted[1:] != wanted[:-1] + 1) | (tokens["doc"][1:] != tokens["doc"][:-1])
+        tokens["line"] = np.cumsum(cut)
+        return _squeezed(np.array([k]), *(getattr(self, c).astype(t) for c, t in self._ROWS), *(tokens[c].astype(t) for c, t in self._TOKENS))
+
+    @classmethod
+    def restored(cls, payload: bytes, total: int, vocabulary: int, settings: Settings) -> "Block":
+        self = cls.__new__(cls)
+        self.s, self.total, self.vocabulary = settings, total, vocabulary
+        length, *held = _expanded(payload, np.int64, *(t for _, t in self._ROWS + self._TOKENS))
+        for (c, t), v in zip(self._ROWS + self._TOKENS, held, strict=True):
+            setattr(self, c, v.astype(bool) if t is np.uint8 else v)
+        self.word = self.word.astype(np.int64)
+        self.length = int(length[0])
+        self._runs()
+        return self
 
     def rows(self, name: int, ranges: int, chunks: int) -> list[dict]:
         """What is asked of each range about the runs of the present length."""
@@ -159,30 +202,30 @@ class Block:
         told = [_expanded(r["payload"], np.uint64, np.uint64, np.uint8, np.uint32) for r in sorted(answers, key=lambda r: r["part"])]
         whole, rest, flags, n = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8, np.uint32))
         size = len(self.doc)
-        if not self.length:
-            self.count, self.id = whole[self.word].astype(np.int64), rest[self.word]
-            self.p = (self.count + self.s.alpha) / (self.total + self.s.alpha * (self.vocabulary + 1))
-            self.rare, self.open = self.count < self.s.least, np.ones(size, bool)
-            self.chain = mix(self.id * _MULT)
+        if not self.length:  # by word, then by token
+            count, name = whole.astype(np.int64), rest
+            p = (count + self.s.alpha) / (self.total + self.s.alpha * (self.vocabulary + 1))
+            self.count, self.id, self.p, self.rare, self.chain = (v[self.word] for v in (count, name, p, count < self.s.least, mix(name * _MULT)))
+            self.open = np.ones(size, bool)
         else:
-            whole, rest, flags = whole.astype(float), rest.astype(float), flags[self.own]
-            n = np.append(n, 0)[self.own_child].astype(np.int64)  # the last one stands for no child
-            stored = n >= self.s.least
-            kept = (flags & _KEPT) > 0
-            to, own = (self.at + self.length)[kept], self.own[kept]
-            self.p[to] = (np.where(stored, n, 0)[kept] + (rest[own] + self.s.mu) * self.p[to]) / (whole[own] + self.s.mu)
+            stored = np.append(n, 0)[self.own_child] >= self.s.least  # the last one stands for no child
+            kept = np.flatnonzero((flags & _KEPT)[self.own])
+            own, to = self.own[kept], self.at[kept] + self.length
+            seen = np.where(stored[kept], np.append(n, 0)[self.own_child[kept]], 0)
+            self.p[to] = (seen + (rest[own].astype(float) + self.s.mu) * self.p[to]) / (whole[own].astype(float) + self.s.mu)
             self.rare[:-1] |= self.rare[1:]
             self.rare[self.at[~stored]] = True
             self.open = np.zeros(size, bool)
-            self.open[self.at[(flags & _OPEN) > 0]] = True
-            self.chain[: size - self.length] = mix(self.chain[: size - self.length] * _MULT + self.id[self.length :])
+            self.open[self.at[(flags & _OPEN)[self.own] > 0]] = True
+            run = self.chain[: size - self.length]
+            run[:] = mix(run * _MULT + self.id[self.length :])
         self.length += 1
         self._runs()
 
     def _runs(self) -> None:
         k = self.length
         m = max(0, len(self.doc) - k)
-        live = ~self.rare[:m] & (self.doc[:m] == self.doc[k : k + m])
+        live = ~self.rare[:m] & (self.line[:m] == self.line[k : k + m])
         if k > 1:
             live &= self.open[1 : m + 1]
         self.at = np.flatnonzero(live)
@@ -205,10 +248,8 @@ class Block:
 
     def scores(self) -> dict[str, np.ndarray]:
         n = len(self.ids)
-        each = np.log10(self.total + self.s.alpha * (self.vocabulary + 1))
-        known = np.bincount(self.doc, weights=self.count > 0, minlength=n).astype(np.int64)
-        base = np.bincount(self.doc, weights=np.log10(self.count + self.s.alpha), minlength=n) - self.n_tokens * each
-        return {"doc_id": pa.array(self.ids, mask=self.ids == _NO_ID), "held_out": self.held, "n_tokens": self.n_tokens, "n_known": known, "train_tokens": np.full(n, self.total, np.int64), "base_score": base, "score": np.bincount(self.doc, weights=np.log10(self.p), minlength=n)}
+        score = self.done + np.bincount(self.doc, weights=np.log10(self.p), minlength=n)
+        return {"doc_id": pa.array(self.ids, mask=self.ids == _NO_ID), "held_out": self.held, "n_tokens": self.n_tokens, "n_known": self.known, "train_tokens": np.full(n, self.total, np.int64), "base_score": self.base, "score": score}
 
 
 def _steps(keys: np.ndarray) -> np.ndarray:
@@ -222,21 +263,39 @@ _TOLD_SQL = "block long, length int, part int, total long, kinds long, payload b
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _blocks_with_answers(blocks: pa.Table, told: pa.Table, total: int, vocabulary: int, settings: Settings) -> Iterator[tuple[int, Block]]:
-    answers = told.to_pylist()
-    last = max((r["length"] for r in answers), default=-1)
-    for row in blocks.to_pylist():
-        block = Block(row["payload"], total, vocabulary, settings)
-        for length in range(last + 1):
-            block.take([r for r in answers if r["length"] == length and r["block"] == row["block"]])
-        yield row["block"], block
+@dataclass(frozen=True)
+class _Run:
+    """What every step knows."""
+
+    ranges: int
+    chunks: int
+    total: int
+    vocabulary: int
+    settings: Settings
+
+    def blocks(self, blocks: pa.Table, told: pa.Table, carried: bool) -> Iterator[tuple[int, Block]]:
+        """Blocks by name, after their answers so far."""
+        answers = told.to_pylist()
+        for row in blocks.to_pylist():
+            block = (Block.restored if carried else Block)(row["payload"], self.total, self.vocabulary, self.settings)
+            for length in sorted({r["length"] for r in answers}):
+                block.take([r for r in answers if r["length"] == length and r["block"] == row["block"]])
+            yield row["block"], block
+
+
+def _ask(length: int, run_: _Run, carried: bool):
+    @tidy
+    def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        out = [row for name, block in run_.blocks(blocks, told, carried) if block.length == length for row in block.rows(name, run_.ranges, run_.chunks)]
+        return pa.Table.from_pylist(out, schema=_ASKED)
 
+    return run
 
-def _ask(length: int, ranges: int, chunks: int, total: int, vocabulary: int, settings: Settings):
+
+def _carry(run_: _Run):
     @tidy
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
-        out = [row for name, block in _blocks_with_answers(blocks, told, total, vocabulary, settings) if block.length == length for row in block.rows(name, ranges, chunks)]
-        return pa.Table.from_pylist(out, schema=_ASKED)
+        return pa.Table.from_pylist([{"block": name, "payload": block.carried()} for name, block in run_.blocks(blocks, told, False)], schema=pa.schema([("block", pa.int64()), ("payload", pa.binary())]))
 
     return run
 
@@ -247,8 +306,7 @@ def _asked(payload: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(context, dtype=np.uint64), rest, np.repeat(np.arange(len(sizes)), sizes), x, n, logp
 
 
-@tidy
-def _merge(table: pa.Table) -> pa.Table:
+def merged(table: pa.Table) -> pa.Table:
     """What several blocks ask of a range, as one row: every context and child once, its counts added."""
     context, rest, own, x, n, logp, before = [], [], [], [], [], [], 0
     for payload in table.column("payload"):
@@ -260,15 +318,24 @@ def _merge(table: pa.Table) -> pa.Table:
     context, rank = _ranked(context)
     rest = np.bincount(rank, weights=rest, minlength=len(context)).astype(np.uint32)
     own = rank[own]
-    order = np.lexsort((x, own))
-    own, x, n, logp = own[order], x[order], n[order], logp[order]
-    head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (x[1:] != x[:-1])])) if len(own) else np.zeros(0, np.int64)
-    n = np.add.reduceat(n, head) if len(head) else n
+    pair = _paired(own, x)
+    order = np.argsort(pair)
+    head = _heads(pair[order])
+    n = np.add.reduceat(n[order], head) if len(head) else n
+    head = order[head]
     sizes = np.bincount(own[head], minlength=len(context)).astype(np.uint32)
     row = {"part": table.column("part")[0].as_py(), "chunk": table.column("chunk")[0].as_py() // FAN_IN, "block": 0, "payload": _squeezed(_steps(context), sizes, rest, x[head], n.astype(np.uint32), logp[head])}
     return pa.Table.from_pylist([row], schema=_ASKED)
 
 
+def _paired(own: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Keys that sort children within their contexts: below 2^24 contexts of a range, 2^40 words."""
+    return (own.astype(np.uint64) << np.uint64(40)) | x
+
+
+_merge = tidy(lambda table: merged(table))
+
+
 def judged(payload: bytes, part: int, length: int, ranges: int, total: int, s: Settings) -> tuple[np.ndarray, ...]:
     """Of a range's contexts: occurrences, those without a stored child, flags, first child (one more at the end); and the children.
 
@@ -298,36 +365,44 @@ def judged(payload: bytes, part: int, length: int, ranges: int, total: int, s: S
     return context, whole.astype(np.uint64), rare.astype(np.uint64), flags.astype(np.uint8), np.searchsorted(own, np.arange(many + 1)), x, n
 
 
-def _answer(length: int, ranges: int, total: int, s: Settings):
-    """The answers to each block of a chunk, from the merged row of the range."""
+def answered(asked: pa.Table, payload: bytes, length: int, run_: _Run) -> pa.Table:
+    """The answers to each block, from the merged row of its range."""
+    s, part = run_.settings, asked.column("part")[0].as_py()
+    context, whole, rest, flags, first, x, n = judged(payload, part, length, run_.ranges, run_.total, s)
+    pairs = _paired(np.repeat(np.arange(len(context)), np.diff(first)), x)
+    count, kinds = (int(whole.sum()), int((whole > 0).sum())) if not length else (0, 0)
+    out = []
+    for block, message in zip(asked.column("block").to_pylist(), asked.column("payload").to_pylist(), strict=True):
+        mine, _, own, child, _, _ = _asked(message)
+        at = np.searchsorted(context, mine)
+        k = n[np.searchsorted(pairs, _paired(at[own], child))] if len(child) else n[:0]
+        f = flags[at]
+        k = np.where((f[own] & _KEPT) > 0, k, np.minimum(k, s.least)) if length else k
+        told = (f & _KEPT) > 0 if length else np.ones(len(f), bool)
+        out.append({"block": block, "length": length, "part": part, "total": count, "kinds": kinds, "payload": _squeezed(whole[at] * told, rest[at] * told, f, k.astype(np.uint32))})
+    return pa.Table.from_pylist(out, schema=_TOLD)
+
+
+def _answer(length: int, run_: _Run):
+    @tidy
+    def run(asked: pa.Table, row: pa.Table) -> pa.Table:
+        return answered(asked, row.column("payload")[0].as_py(), length, run_) if asked.num_rows else _TOLD.empty_table()
+
+    return run
 
+
+def _merge_and_answer(length: int, run_: _Run):
     @tidy
-    def run(asked: pa.Table, merged: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return _TOLD.empty_table()
-        part = asked.column("part")[0].as_py()
-        context, whole, rest, flags, first, x, n = judged(merged.column("payload")[0].as_py(), part, length, ranges, total, s)
-        rank = np.repeat(np.arange(len(context), dtype=np.uint64), np.diff(first))
-        pairs = (rank << np.uint64(40)) | x  # sorted, as children are sorted within their context
-        count, kinds = (int(whole.sum()), int((whole > 0).sum())) if not length else (0, 0)
-        out = []
-        for block, payload in zip(asked.column("block").to_pylist(), asked.column("payload").to_pylist(), strict=True):
-            mine, _, own, child, _, _ = _asked(payload)
-            at = np.searchsorted(context, mine)
-            k = n[np.searchsorted(pairs, (at[own].astype(np.uint64) << np.uint64(40)) | child)] if len(child) else n[:0]
-            f = flags[at]
-            k = np.where((f[own] & _KEPT) > 0, k, np.minimum(k, s.least)) if length else k
-            told = (f & _KEPT) > 0 if length else np.ones(len(f), bool)
-            out.append({"block": block, "length": length, "part": part, "total": count, "kinds": kinds, "payload": _squeezed(whole[at] * told, rest[at] * told, f, k.astype(np.uint32))})
-        return pa.Table.from_pylist(out, schema=_TOLD)
+    def run(asked: pa.Table) -> pa.Table:
+        return answered(asked, merged(asked).column("payload")[0].as_py(), length, run_)
 
     return run
 
 
-def _score(total: int, vocabulary: int, settings: Settings):
+def _scores(run_: _Run):
     @tidy
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
-        done = [pa.table(block.scores()).cast(_SCORES) for _, block in _blocks_with_answers(blocks, told, total, vocabulary, settings)]
+        done = [pa.table(block.scores()).cast(_SCORES) for _, block in run_.blocks(blocks, told, True)]
         return pa.concat_tables(done) if done else _SCORES.empty_table()
 
     return run
@@ -349,21 +424,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), held_out.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
     blocks = checkpointed(rows.mapInArrow(_pack_blocks, "block long, payload binary"))
     many, ways = blocks.count(), parts(spark)
-    ranges = ranges or max(ways, min(many, 8 * ways))
-    chunks = max(1, -(-many // FAN_IN))
-    blocks = blocks.repartition(ways, "block")
-    told = spark.createDataFrame([], _TOLD_SQL)
-    total = vocabulary = 0
+    run_ = _Run(ranges or max(ways, min(many, 8 * ways)), max(1, -(-many // FAN_IN)), 0, 0, settings)
+    nothing = told = spark.createDataFrame([], _TOLD_SQL)
+    carried = False
     for length in range(settings.depth + 1):
-        asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask(length, ranges, chunks, total, vocabulary, settings), _ASKED_SQL)
-        merged, left = asked.groupBy("part", "chunk").applyInArrow(_merge, _ASKED_SQL), chunks
-        while left > 1:
-            merged, left = merged.groupBy("part", "chunk").applyInArrow(_merge, _ASKED_SQL), -(-left // FAN_IN)
-        spread = merged.select("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "block", "payload")
-        answers = asked.groupBy("part", "chunk").cogroup(spread.groupBy("part", "chunk")).applyInArrow(_answer(length, ranges, total, settings), _TOLD_SQL)
+        asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask(length, run_, carried), _ASKED_SQL)
+        if run_.chunks == 1:
+            answers = asked.groupBy("part").applyInArrow(_merge_and_answer(length, run_), _TOLD_SQL)
+        else:
+            row, left = asked.groupBy("part", "chunk").applyInArrow(_merge, _ASKED_SQL), run_.chunks
+            while left > 1:
+                row, left = row.groupBy("part", "chunk").applyInArrow(_merge, _ASKED_SQL), -(-left // FAN_IN)
+            row = row.select("part", F.explode(F.sequence(F.lit(0), F.lit(run_.chunks - 1))).alias("chunk"), "block", "payload")
+            answers = asked.groupBy("part", "chunk").cogroup(row.groupBy("part", "chunk")).applyInArrow(_answer(length, run_), _TOLD_SQL)
         answers = checkpointed(answers)
         told = told.unionByName(answers)
         if not length:
             of_part = answers.groupBy("part").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"))
-            total, vocabulary = of_part.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(total, vocabulary, settings), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            total, kinds = of_part.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+            run_ = replace(run_, total=total, vocabulary=kinds)
+        if length == min(CARRIED, settings.depth):
+            blocks = checkpointed(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_carry(run_), "block long, payload binary"))
+            told, carried = nothing, True
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(run_), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
