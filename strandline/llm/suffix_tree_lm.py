@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import byte_slices, checkpointed, parts, text_of, tidy
+from .tools import byte_slices, checkpointed, discard, parts, text_of, tidy
 from .words import END, Words, cuts_of, mix, split_words
 
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -69,18 +69,23 @@ class Settings:
 
 
 def _squeezed(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed byte planes."""
-    head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays))
+    """Arrays as compressed byte planes; unsigned numbers without the planes that are zero throughout."""
+    head, body = [], []
+    for a in arrays:
+        used = max(1, (int(a.max()).bit_length() + 7) // 8) if a.dtype.kind == "u" and len(a) else a.itemsize
+        head += [len(a), used]
+        body.append(a.view(np.uint8).reshape(-1, a.itemsize)[:, :used].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, np.int64).tobytes() + b"".join(body))
 
 
 def _expanded(data: bytes, *types: type) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    out, at = [], 8 * len(types)
-    for n, t in zip(np.frombuffer(raw, np.int64, len(types)).tolist(), types, strict=True):
-        size = np.dtype(t).itemsize
-        out.append(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(t).ravel() if n else np.zeros(0, t))
-        at += n * size
+    out, at = [], 16 * len(types)
+    for (n, used), t in zip(np.frombuffer(raw, np.int64, 2 * len(types)).reshape(-1, 2).tolist(), types, strict=True):
+        planes = np.zeros((n, np.dtype(t).itemsize), np.uint8)
+        planes[:, :used] = np.frombuffer(raw, np.uint8, n * used, at).reshape(used, n).T
+        out.append(planes.view(t).ravel())
+        at += n * used
     return out
 
 
@@ -150,10 +155,10 @@ class Block:
         self.train = ~self.held[self.doc]
         self.context, self.word = np.cumsum(steps, dtype=np.uint64), _by_number(times)[place]
         self.rest = _sums(self.word, self.train, len(self.context))
-        self.sizes, self.x, self.n, self.logp = np.zeros(len(self.context), np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.float32)
+        self.sizes, self.x, self.n, self.logp = np.zeros(len(self.context), np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     _ROWS = (("ids", np.int64), ("held", np.uint8), ("n_tokens", np.uint32), ("known", np.int64), ("base", np.float64), ("done", np.float64))
-    _TOKENS = (("doc", np.int32), ("line", np.int32), ("train", np.uint8), ("word", np.uint32), ("id", np.uint64), ("p", np.float64), ("rare", np.uint8), ("open", np.uint8), ("chain", np.uint64))
+    _TOKENS = (("doc", np.int32), ("line", np.int32), ("train", np.uint8), ("id", np.uint64), ("p", np.float64), ("rare", np.uint8), ("open", np.uint8))
 
     def carried(self) -> bytes:
         """Sums per row, and the tokens that runs of the present length, or longer ones about them, have."""
@@ -167,7 +172,10 @@ class Block:
             near = to >= 0
             near[near] = self.doc[to[near]] == self.doc[at[near]]
             wanted[to[near]] = True
-        self.done = np.bincount(self.doc, weights=np.where(wanted, 0.0, np.log10(self.p)), minlength=n)
+        done = np.ones(len(self.doc), bool)
+        done[at + k] = False  # longer contexts only predict what the longest so far does
+        self.done = np.bincount(self.doc, weights=np.where(done, np.log10(self.p), 0.0), minlength=n)
+        self.p[done] = 1.0
         wanted = np.flatnonzero(wanted)
         tokens = {c: getattr(self, c)[wanted] for c, _ in self._TOKENS if c != "line"}
         cut = np.ones(len(wanted), bool)
@@ -182,13 +190,23 @@ class Block:
         length, *held = _expanded(payload, np.int64, *(t for _, t in self._ROWS + self._TOKENS))
         for (c, t), v in zip(self._ROWS + self._TOKENS, held, strict=True):
             setattr(self, c, v.astype(bool) if t is np.uint8 else v)
-        self.word = self.word.astype(np.int64)
+        self.word = _ranked(self.id)[1]
         self.length = int(length[0])
+        self.chain = mix(self.id * _MULT)
+        for k in range(1, self.length):
+            self._lengthen(k)
+        self._find()
         self._runs()
         return self
 
+    def _lengthen(self, k: int) -> None:
+        run = self.chain[: max(0, len(self.chain) - k)]
+        run[:] = mix(run * _MULT + self.id[k:])
+
     def rows(self, name: int, ranges: int, chunks: int) -> list[dict]:
         """What is asked of each range about the runs of the present length."""
+        if self.length and not hasattr(self, "own_child"):
+            self._runs()
         cut, child = cuts_of(self.context, ranges), np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         chunk = int(mix(np.array([name], np.int64).view(np.uint64))[0] % np.uint64(chunks))
         return [
@@ -198,7 +216,9 @@ class Block:
         ]
 
     def take(self, answers: list[dict]) -> None:
-        """Answers about the present length, by range; then the runs of the next length are made."""
+        """Answers about the present length, by range; then come the runs of the next length."""
+        if self.length and not hasattr(self, "own_child"):
+            self._runs()
         told = [_expanded(r["payload"], np.uint64, np.uint64, np.uint8, np.uint32) for r in sorted(answers, key=lambda r: r["part"])]
         whole, rest, flags, n = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8, np.uint32))
         size = len(self.doc)
@@ -217,18 +237,23 @@ class Block:
             self.rare[self.at[~stored]] = True
             self.open = np.zeros(size, bool)
             self.open[self.at[(flags & _OPEN)[self.own] > 0]] = True
-            run = self.chain[: size - self.length]
-            run[:] = mix(run * _MULT + self.id[self.length :])
+            self._lengthen(self.length)
         self.length += 1
-        self._runs()
+        self.__dict__.pop("own_child", None)
+        self._find()
 
-    def _runs(self) -> None:
+    def _find(self) -> None:
+        """Where the runs of the present length begin that can be told apart from their suffixes."""
         k = self.length
         m = max(0, len(self.doc) - k)
         live = ~self.rare[:m] & (self.line[:m] == self.line[k : k + m])
         if k > 1:
             live &= self.open[1 : m + 1]
         self.at = np.flatnonzero(live)
+
+    def _runs(self) -> None:
+        """Distinct contexts and children of these runs, in the order that they are asked about."""
+        k = self.length
         self.context, self.own = _ranked(self.chain[self.at])
         to = self.at + k
         stored = ~self.rare[self.at + 1]  # a next word seen less than `least` times even after the suffix is no child
@@ -241,7 +266,8 @@ class Block:
         some = np.zeros(len(pair), np.int64)
         some[rank] = to  # a token of each pair
         some = some[real]
-        self.x, self.n, self.logp = self.id[some], counts[real], np.log(self.p[some]).astype(np.float32)
+        self.x, self.n = self.id[some], counts[real]
+        self.logp = self.count[some].astype(np.uint32) if k == 1 else np.log(self.p[some]).astype(np.float32).view(np.uint32)
         place = np.full(len(pair), int(real.sum()), np.int64)
         place[real] = np.arange(int(real.sum()))
         self.own_child = place[rank]
@@ -252,17 +278,6 @@ class Block:
         return {"doc_id": pa.array(self.ids, mask=self.ids == _NO_ID), "held_out": self.held, "n_tokens": self.n_tokens, "n_known": self.known, "train_tokens": np.full(n, self.total, np.int64), "base_score": self.base, "score": score}
 
 
-def _steps(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=np.uint64(0))
-
-
-_ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
-_ASKED_SQL = "part int, chunk int, block long, payload binary"
-_TOLD = pa.schema([("block", pa.int64()), ("length", pa.int32()), ("part", pa.int32()), ("total", pa.int64()), ("kinds", pa.int64()), ("payload", pa.binary())])
-_TOLD_SQL = "block long, length int, part int, total long, kinds long, payload binary"
-_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
 @dataclass(frozen=True)
 class _Run:
     """What every step knows."""
@@ -273,20 +288,31 @@ class _Run:
     vocabulary: int
     settings: Settings
 
-    def blocks(self, blocks: pa.Table, told: pa.Table, carried: bool) -> Iterator[tuple[int, Block]]:
-        """Blocks by name, after their answers so far."""
+    def blocks(self, blocks: pa.Table, told: pa.Table, carried: bool, length: int) -> Iterator[tuple[int, Block]]:
+        """Blocks by name, after the answers about shorter runs."""
         answers = told.to_pylist()
         for row in blocks.to_pylist():
             block = (Block.restored if carried else Block)(row["payload"], self.total, self.vocabulary, self.settings)
-            for length in sorted({r["length"] for r in answers}):
-                block.take([r for r in answers if r["length"] == length and r["block"] == row["block"]])
+            for k in range(block.length, length):
+                block.take([r for r in answers if r["length"] == k and r["block"] == row["block"]])
             yield row["block"], block
 
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+_ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+_ASKED_SQL = "part int, chunk int, block long, payload binary"
+_TOLD = pa.schema([("block", pa.int64()), ("length", pa.int32()), ("part", pa.int32()), ("total", pa.int64()), ("kinds", pa.int64()), ("payload", pa.binary())])
+_TOLD_SQL = "block long, length int, part int, total long, kinds long, payload binary"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
 def _ask(length: int, run_: _Run, carried: bool):
     @tidy
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
-        out = [row for name, block in run_.blocks(blocks, told, carried) if block.length == length for row in block.rows(name, run_.ranges, run_.chunks)]
+        out = [row for name, block in run_.blocks(blocks, told, carried, length) for row in block.rows(name, run_.ranges, run_.chunks)]
         return pa.Table.from_pylist(out, schema=_ASKED)
 
     return run
@@ -295,14 +321,15 @@ def _ask(length: int, run_: _Run, carried: bool):
 def _carry(run_: _Run):
     @tidy
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([{"block": name, "payload": block.carried()} for name, block in run_.blocks(blocks, told, False)], schema=pa.schema([("block", pa.int64()), ("payload", pa.binary())]))
+        return pa.Table.from_pylist([{"block": name, "payload": block.carried()} for name, block in run_.blocks(blocks, told, False, min(CARRIED, run_.settings.depth) + 1)], schema=pa.schema([("block", pa.int64()), ("payload", pa.binary())]))
 
     return run
 
 
 def _asked(payload: bytes) -> tuple[np.ndarray, ...]:
-    """context, its other occurrences, context of each child, child, count, log probability by the parent."""
-    context, sizes, rest, x, n, logp = _expanded(payload, np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.float32)
+    """context, its other occurrences, context of each child, child, count, what the parent says of it (a number of
+    occurrences after one word, bits of a log probability later)."""
+    context, sizes, rest, x, n, logp = _expanded(payload, np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32)
     return np.cumsum(context, dtype=np.uint64), rest, np.repeat(np.arange(len(sizes)), sizes), x, n, logp
 
 
@@ -336,20 +363,22 @@ def _paired(own: np.ndarray, x: np.ndarray) -> np.ndarray:
 _merge = tidy(lambda table: merged(table))
 
 
-def judged(payload: bytes, part: int, length: int, ranges: int, total: int, s: Settings) -> tuple[np.ndarray, ...]:
+def judged(payload: bytes, part: int, length: int, run_: _Run) -> tuple[np.ndarray, ...]:
     """Of a range's contexts: occurrences, those without a stored child, flags, first child (one more at the end); and the children.
 
     At length 0 the contexts are words, and in place of the second an identifier of the word, 0 for one that training rows
     don't have; frequent words have small ones.
     """
+    s, total = run_.settings, run_.total
     context, rest, own, x, n, logp = _asked(payload)
     if not length:
         seen = np.flatnonzero(rest)
         order = seen[np.argsort(-rest[seen].astype(np.int64), kind="stable")]
         name = np.zeros(len(rest), np.uint64)
-        name[order] = np.arange(len(order), dtype=np.uint64) * np.uint64(ranges) + np.uint64(part + 1)
+        name[order] = np.arange(len(order), dtype=np.uint64) * np.uint64(run_.ranges) + np.uint64(part + 1)
         return context, rest.astype(np.uint64), name, np.zeros(len(rest), np.uint8), np.zeros(len(rest) + 1, np.int64), x, n
     many = len(context)
+    logp = np.log((logp + s.alpha) / (total + s.alpha * (run_.vocabulary + 1))).astype(np.float32) if length == 1 else logp.view(np.float32)
     stored = n >= s.least
     total_n = np.bincount(own, weights=n, minlength=many)
     whole = rest + total_n
@@ -368,7 +397,7 @@ def judged(payload: bytes, part: int, length: int, ranges: int, total: int, s: S
 def answered(asked: pa.Table, payload: bytes, length: int, run_: _Run) -> pa.Table:
     """The answers to each block, from the merged row of its range."""
     s, part = run_.settings, asked.column("part")[0].as_py()
-    context, whole, rest, flags, first, x, n = judged(payload, part, length, run_.ranges, run_.total, s)
+    context, whole, rest, flags, first, x, n = judged(payload, part, length, run_)
     pairs = _paired(np.repeat(np.arange(len(context)), np.diff(first)), x)
     count, kinds = (int(whole.sum()), int((whole > 0).sum())) if not length else (0, 0)
     out = []
@@ -402,7 +431,7 @@ def _merge_and_answer(length: int, run_: _Run):
 def _scores(run_: _Run):
     @tidy
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
-        done = [pa.table(block.scores()).cast(_SCORES) for _, block in run_.blocks(blocks, told, True)]
+        done = [pa.table(block.scores()).cast(_SCORES) for _, block in run_.blocks(blocks, told, True, run_.settings.depth + 1)]
         return pa.concat_tables(done) if done else _SCORES.empty_table()
 
     return run
@@ -426,7 +455,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     many, ways = blocks.count(), parts(spark)
     run_ = _Run(ranges or max(ways, min(many, 8 * ways)), max(1, -(-many // FAN_IN)), 0, 0, settings)
     nothing = told = spark.createDataFrame([], _TOLD_SQL)
-    carried = False
+    carried, spent = False, []
     for length in range(settings.depth + 1):
         asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask(length, run_, carried), _ASKED_SQL)
         if run_.chunks == 1:
@@ -439,11 +468,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             answers = asked.groupBy("part", "chunk").cogroup(row.groupBy("part", "chunk")).applyInArrow(_answer(length, run_), _TOLD_SQL)
         answers = checkpointed(answers)
         told = told.unionByName(answers)
+        if not carried:
+            spent.append(answers)
         if not length:
             of_part = answers.groupBy("part").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"))
             total, kinds = of_part.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
             run_ = replace(run_, total=total, vocabulary=kinds)
         if length == min(CARRIED, settings.depth):
+            spent.append(blocks)
             blocks = checkpointed(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_carry(run_), "block long, payload binary"))
             told, carried = nothing, True
+            for df in spent:
+                discard(df)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(run_), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

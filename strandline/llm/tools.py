@@ -73,6 +73,15 @@ def byte_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, rows: in
             a = b
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a checkpointed frame that no unfinished plan reads any more."""
+    held = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if held.isDefined():
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(held.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Parameters of mallopt: blocks from 1 MB on are mapped by themselves, at most two arenas.
 _MALLOPT = ((-3, 1 << 20), (-1, 1 << 20), (-8, 2))
 
