@@ -23,7 +23,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tools import shared, text_of
+from .tools import id_of, shared, text_of
 
 #: The published pattern of byte-level BPE (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -174,7 +174,7 @@ def _decoded(sent):
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    return docs.select(id_of(docs, id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
 
 
 def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:

@@ -8,9 +8,9 @@ Grammar of a formatted conversation (a sequence of turns):
     other     := "<s>[ROLE] " body "[AS] " body " [/ROLE]"     role, then text
     body      := ( any character | "\\" any character )*        up to the first closing mark outside an escape
 
-A turn is first written as it is.  The parser reads the result back; if
-the recovered turn is not the source, the conflicting content is escaped (a
-backslash before every backslash and every control string) and the turn is
+A turn without control strings and backslashes is written as it is, any other with these escaped: a backslash goes before every
+backslash and behind the first character of every control string, so that no control string is left in a body.  The parser reads the
+result back; if the recovered turn is not the source, every character is escaped and the turn is
 parsed again, until both are identical.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import parts
+from .tools import id_of, parts
 
 _OPEN = {"user": "<s>[INST] ", "assistant": "<s>[OUT] "}
 _CLOSE = {"user": " [/INST]", "assistant": " </s>"}
@@ -39,7 +39,7 @@ def escape(text: str, level: int) -> str:
     """Level 0: as it is.  1: control strings and backslashes.  2: every character, which is always read back."""
     if level == 0:
         return text
-    return _CONTROL.sub(lambda m: "\\" + m[0], text) if level == 1 else re.sub(r"(.)", r"\\\1", text, flags=re.DOTALL)
+    return _CONTROL.sub(lambda m: m[0][: len(m[0]) > 1] + "\\" + m[0][len(m[0]) > 1 :], text) if level == 1 else re.sub(r"(.)", r"\\\1", text, flags=re.DOTALL)
 
 
 def unescape(body: str) -> str:
@@ -71,7 +71,7 @@ def parse(text: str) -> list[tuple[str, str, int, int]]:
 
 def format_turn(role: str, text: str) -> tuple[str, int]:
     """The formatted turn, and the escape level at which it reads back identical."""
-    for level in (0, 1, 2):
+    for level in range(1 if _CONTROL.search(text) or (role not in _OPEN and _CONTROL.search(role)) else 0, 3):
         piece = render(role, text, level)
         try:
             back = parse(piece)
@@ -104,7 +104,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     role, then text.  The loss mask covers the body of assistant turns.
     """
     c = conversations
-    rows = c.select(c["conv_id"].cast("long").alias("conv_id"), c["turn"].cast("long").alias("turn"), *(F.coalesce(c[x].cast("string"), F.lit("")).alias(x) for x in ("role", "text")))
+    rows = c.select(id_of(c, "conv_id").alias("conv_id"), id_of(c, "turn").alias("turn"), *(F.coalesce(c[x].cast("string"), F.lit("")).alias(x) for x in ("role", "text")))
     return rows.mapInArrow(_pieces, _PIECES)
 
 

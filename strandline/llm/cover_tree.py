@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tools import checkpointed, connected_components
+from .tools import checkpointed, connected_components, id_of
 
 CHUNK = 1024
 #: Signs of this many fixed random directions give the spatial order.
@@ -118,7 +118,7 @@ def close_pairs(a: np.ndarray, ta: list[Level], b: np.ndarray, tb: list[Level],
     return level(ta, depth).centre[x] if len(x) else x, level(tb, depth).centre[y] if len(y) else y
 
 
-_CHUNK_SQL = "label long, dim int, chunk long, ids binary, weights binary, vectors binary, centre array<double>, radius double"
+_CHUNK_SQL = "label string, dim int, chunk long, ids binary, weights binary, vectors binary, centre array<double>, radius double"
 _FOUND = pa.schema([("id", pa.int64()), ("parent", pa.int64()), ("degree", pa.int64())])
 
 
@@ -130,7 +130,7 @@ def _pack(table: pa.Table) -> pa.Table:
     centre = unit.mean(axis=0)
     radius = float(np.sqrt(((unit - centre) ** 2).sum(axis=1).max()))
     row = {"label": table.column("label")[0].as_py(), "dim": dim, "chunk": table.column("chunk")[0].as_py(), "ids": table.column("rep").to_numpy().tobytes(), "weights": table.column("copies").to_numpy().tobytes(), "vectors": v.tobytes(), "centre": centre.tolist(), "radius": radius}
-    return pa.Table.from_pylist([row], schema=pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
+    return pa.Table.from_pylist([row], schema=pa.schema([("label", pa.string()), ("dim", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
 
 
 def _join(cosine: float):
@@ -191,7 +191,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     lengths.  Rows that repeat an id count as different vectors with that id.
     An empty table gives no rows.
     """
-    v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("long").alias("label"), vectors[vector_col].cast("array<double>").alias("unit"))
+    v = vectors.select(id_of(vectors, id_col).alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast("array<double>").alias("unit"))
     finite = F.forall("unit", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("unit") > 0) & finite & F.exists("unit", lambda c: c != 0), F.lit(False))
     v = v.withColumn("usable", usable).withColumn("digest", F.when(F.col("usable"), F.xxhash64("unit")))

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import checkpointed, parts, text_of
+from .tools import checkpointed, digest_of, id_of, parts, text_of, without_rows
 
 #: Runs merged at once.
 FAN_IN = 8
+#: Rows for which a digest range is made, so that the last run of a range stays small (64 bytes an entry).
+RANGE_ROWS = 2_000_000
 #: Digest (four lanes of SHA-256), then length and a second hash that verify it.
 _LANES = 6
 _RUN = "part int, run int, lanes binary, keep binary, rows binary"
@@ -109,16 +111,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest identifier being kept.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    ranges = ranges or parts(spark)
     text = normalised(text_of(docs, text_col))
     leaf = docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(int(_NO_ID))).alias("id"),
-        F.unhex(F.sha2(text, 256)).alias("digest"),
+        F.coalesce(id_of(docs, id_col), F.lit(int(_NO_ID))).alias("id"),
+        digest_of(text).alias("digest"),
         F.octet_length(text).cast("long").alias("length"),
         F.xxhash64(text).alias("second"),
         F.spark_partition_id().alias("run"),
     )
     leaf = checkpointed(leaf)
+    ranges = ranges or max(parts(spark), -(-leaf.count() // RANGE_ROWS))
     runs = checkpointed(leaf.mapInArrow(_runs(ranges), _RUN))
     left = runs.agg(F.max("run")).first()[0]
     while left:
@@ -140,9 +142,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of equal texts the one with the smallest identifier.
+    """The rows of docs that stay: of equal texts the one with the smallest identifier, and one row of several with it.
 
-    Rows whose identifier is null stay, as nothing tells them apart.
+    Null text is empty; a null identifier, or one that is no integer, loses to any other.  A row goes by its identifier and
+    its text, so another text with the same identifier stays.  Columns stay as they are, whatever their
+    names; an empty table gives no rows.
     """
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    groups = checkpointed(exact_groups(docs, id_col, text_col).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")))
+    gone = groups.where("not kept").select("doc_id", "digest").distinct()
+    twins = groups.where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest")
+    return without_rows(docs, normalised(text_of(docs, text_col)), id_col, gone, twins)

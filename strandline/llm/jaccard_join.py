@@ -4,7 +4,7 @@ The distance 1 - |x & y| / |x | y| is a metric.  Texts with equal sets are one
 point.  Points are dealt into regions such that any two within the radius share one:
 
 * by size (the distance to the empty set in the metric of symmetric
-  differences): sizes fall into shells, and a point whose partners can lie in the next shell is
+  differences): sizes fall into shells, and a point whose partners can lie in later shells is
   replicated there, as the triangle inequality | |x| - |y| | <= |x ^ y| bounds them;
 * within a shell two points of a link differ in at most h shingles, so of more than h
   parts of the shingle space that a point occupies one is untouched by the
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import checkpointed, connected_components, parts, text_of, tidy
+from .tools import byte_slices, checkpointed, connected_components, digest_of, id_of, parts, text_of, tidy, without_rows
 from .words import mix, shingle_sets
 
 #: Ratio of the sizes at the ends of a shell.
@@ -88,9 +88,9 @@ class Division:
         n = np.diff(off)
         some = np.flatnonzero(n)
         own = np.searchsorted(self.edges, n[some], side="right") - 1
-        up = n[some] * 100 // self.percent >= self.edges[own + 1]
-        place = np.concatenate([some, some[up]])
-        shell = np.concatenate([own, own[up] + 1])
+        reach = np.searchsorted(self.edges, n[some] * 100 // self.percent, side="right") - own
+        place = np.repeat(some, reach)
+        shell = np.repeat(own, reach) + np.arange(len(place)) - np.repeat(np.cumsum(reach) - reach, reach)
         out_place, out_region, out_least = [], [], []
         h = _seeded(g, 77 + seed)
         word = mix(h + _ODD)
@@ -124,19 +124,13 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for a in range(0, batch.num_rows, rows):
-        yield batch.slice(a, rows)
-
-
 def _sizes(shingle: int, seed: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _slices(whole):
-                g, off = shingle_sets(batch.column("text"), shingle)
-                one, two = set_keys(g, off, seed)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off).astype(np.int64)), _long(one), _long(two)], ["doc_id", "n", "key", "check"])
+        for batch in byte_slices(batches):
+            g, off = shingle_sets(batch.column("text"), shingle)
+            one, two = set_keys(g, off, seed)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(np.diff(off).astype(np.int64)), _long(one), _long(two)], [*(c for c in batch.schema.names if c != "text"), "n", "key", "check"])
 
     return run
 
@@ -145,14 +139,13 @@ def _regions(shingle: int, percent: int, seed: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         division = Division(percent)
-        for whole in batches:
-            for batch in _slices(whole):
-                g, off = shingle_sets(batch.column("text"), shingle)
-                key = set_keys(g, off, seed)[0]
-                place, region, least = division.signatures(g, off, 0)
-                first = np.unique(key, return_index=True)[1]  # copies within the batch are one point
-                keep = np.isin(place, first)
-                yield pa.RecordBatch.from_arrays([_long(region[keep]), _long(key[place[keep]]), pa.array(least[keep])], ["region", "key", "least"])
+        for batch in byte_slices(batches):
+            g, off = shingle_sets(batch.column("text"), shingle)
+            key = set_keys(g, off, seed)[0]
+            place, region, least = division.signatures(g, off, 0)
+            first = np.unique(key, return_index=True)[1]  # copies within the batch are one point
+            keep = np.isin(place, first)
+            yield pa.RecordBatch.from_arrays([_long(region[keep]), _long(key[place[keep]]), pa.array(least[keep])], ["region", "key", "least"])
 
     return run
 
@@ -190,13 +183,12 @@ def _texts(shingle: int, seed: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
-        for whole in batches:
-            for batch in _slices(whole):
-                g, off = shingle_sets(batch.column("text"), shingle)
-                key = set_keys(g, off, seed)[0].view(np.int64)
-                first = np.sort(np.unique(key, return_index=True)[1])
-                first = first[np.diff(off)[first] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([small.compress(batch.column("text")[i].as_py().encode()) for i in first.tolist()], pa.binary())], ["key", "packed"])
+        for batch in byte_slices(batches):
+            g, off = shingle_sets(batch.column("text"), shingle)
+            key = set_keys(g, off, seed)[0].view(np.int64)
+            first = np.sort(np.unique(key, return_index=True)[1])
+            first = first[np.diff(off)[first] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([small.compress(batch.column("text")[i].as_py().encode()) for i in first.tolist()], pa.binary())], ["key", "packed"])
 
     return run
 
@@ -210,18 +202,17 @@ def _unpacked(packed: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def _compare(shingle: int, percent: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _slices(whole, 500):
-                gx, ox = _unpacked(batch.column("x"), shingle)
-                gy, oy = _unpacked(batch.column("y"), shingle)
-                # equal shingles of a pair stand side by side once both sets are sorted together
-                row = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(ox)), np.repeat(np.arange(batch.num_rows), np.diff(oy))])
-                g = np.concatenate([gx, gy])
-                order = np.lexsort((g, row))
-                g, row = g[order], row[order]
-                i = np.bincount(row[1:][(g[1:] == g[:-1]) & (row[1:] == row[:-1])], minlength=batch.num_rows)
-                u = np.diff(ox) + np.diff(oy) - i
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1.0 - i / np.maximum(u, 1)), pa.array(100 * i >= percent * u)], ["a", "b", "distance", "linked"])
+        for batch in byte_slices(batches, 1 << 20, 500, "x"):
+            gx, ox = _unpacked(batch.column("x"), shingle)
+            gy, oy = _unpacked(batch.column("y"), shingle)
+            # equal shingles of a pair stand side by side once both sets are sorted together
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(ox)), np.repeat(np.arange(batch.num_rows), np.diff(oy))])
+            g = np.concatenate([gx, gy])
+            order = np.lexsort((g, row))
+            g, row = g[order], row[order]
+            i = np.bincount(row[1:][(g[1:] == g[:-1]) & (row[1:] == row[:-1])], minlength=batch.num_rows)
+            u = np.diff(ox) + np.diff(oy) - i
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1.0 - i / np.maximum(u, 1)), pa.array(100 * i >= percent * u)], ["a", "b", "distance", "linked"])
 
     return run
 
@@ -328,11 +319,17 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col:
     class_id is the smallest identifier with the same set.  Rows that repeat an identifier give a row each; rows without
     one never link.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
+    return _grouped(rows, shingle, percent, "").select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def _grouped(rows: DataFrame, shingle: int, percent: int, more: str) -> DataFrame:
+    """jaccard_groups of rows (doc_id, text and what `more` declares, which is handed on)."""
+    spark = rows.sparkSession
+    carried = [f.split()[0] for f in more.split(",") if f]
     seed = 0
     while True:
-        base = checkpointed(rows.mapInArrow(_sizes(shingle, seed), "doc_id long, n long, key long, check long"))
+        base = checkpointed(rows.mapInArrow(_sizes(shingle, seed), f"doc_id long, {more + ', ' if more else ''}n long, key long, check long"))
         known = base.where("n > 0 and doc_id is not null")
         reps = checkpointed(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1")))
         if reps.where("c0 <> c1").isEmpty():  # else two sets share a digest: take another
@@ -378,12 +375,23 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col:
     ends = links.distinct().join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     component = connected_components(ends).withColumnRenamed("id", "rep")
     answer = checkpointed(reps.select("key", "rep").join(component, "rep", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id")))
-    full = known.select("doc_id", "n", "key").join(answer, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    none = base.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    full = known.drop("check").join(answer, "key").select("doc_id", *carried, F.col("n").alias("n_shingles"), "component_id", "class_id")
+    none = base.where("n = 0 or doc_id is null").select("doc_id", *carried, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return full.unionByName(none)
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest identifier."""
-    gone = jaccard_groups(docs, shingle, percent, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group one with the smallest identifier.
+
+    Rows are told apart by identifier and text: of several rows of a group with its smallest identifier the one with the smallest digest
+    stays, and one of those that are equal.  Rows without words, or without an identifier, have no group and stay.  Columns
+    stay as they are, whatever their names; an empty table gives no rows.
+    """
+    text = text_of(docs, text_col)
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), digest_of(text).alias("digest"), text.alias("text"))
+    groups = checkpointed(_grouped(rows, shingle, percent, "digest binary").where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest", "component_id"))
+    each = groups.groupBy("component_id", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = each.where("doc_id = component_id").groupBy("component_id").agg(F.min("digest").alias("least"))
+    each = each.join(first, "component_id").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.col("least")))
+    each = checkpointed(each.where("not stays or n > 1").select("doc_id", "digest", "stays"))
+    return without_rows(docs, text, id_col, each.where("not stays").select("doc_id", "digest"), each.where("stays").select("doc_id", "digest"))

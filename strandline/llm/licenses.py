@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .tools import text_of
+from .tools import id_of, text_of
 
 # Short notices of public licences, by SPDX identifier.
 TEMPLATES = {
@@ -224,5 +224,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty table gives none.
     """
     templates = templates or TEMPLATES | {f"{n}#text": t for n, t in TEXTS.items()}
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
     return rows.mapInArrow(_scan(templates, tolerance), "doc_id long, start long, end long, license string, saved_bytes int, differences int, differing_words string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import checkpointed, text_of
+from .tools import checkpointed, id_of, text_of
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("chunk", pa.int32()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("shard", pa.int64()), ("bin", pa.int64()), ("bin_words", pa.int64())])
 _OUT_SQL = "doc_id long, rid long, chunk int, first_word long, n_words long, shard long, bin long, bin_words long"
@@ -131,7 +131,7 @@ def pack_texts(docs: DataFrame, capacity: int = 2048, shard_rows: int = 16_384,
     n_words = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
     if cluster is None:
         cluster = F.when(text != "", F.xxhash64(F.lower(text)))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), n_words.cast("long").alias("n_words"), docs[source_col].cast("string").alias("source"), cluster.cast("string").alias("cluster"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), n_words.cast("long").alias("n_words"), docs[source_col].cast("string").alias("source"), cluster.cast("string").alias("cluster"))
     rows = checkpointed(rows)
     shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(shards)).cast("long"))

@@ -30,7 +30,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_groups
 
-    return jaccard_groups(_table(spark, sf_dir, "documents"), shingle=3, percent=90).drop("class_id")
+    return jaccard_groups(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +104,10 @@ SQL = {
         p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
         l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
         r as (select doc_id as id, doc_id as c from documents union select l.b, r.c from r join l on l.a = r.id),
-        m as (select id, min(c) as c from r group by id)
-        select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id
-        from documents d join m on m.id = d.doc_id left join n on n.doc_id = d.doc_id""",
+        m as (select id, min(c) as c from r group by id),
+        k as (select doc_id, min(doc_id) over (partition by gs) as class_id from (select doc_id, list_sort(list(g)) as gs from s group by doc_id))
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, coalesce(k.class_id, d.doc_id) as class_id
+        from documents d join m on m.id = d.doc_id left join n on n.doc_id = d.doc_id left join k on k.doc_id = d.doc_id""",
     "op8_exact_dedup": r"""
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .tools import checkpointed, parts, text_of, tidy
+from .tools import checkpointed, id_of, parts, text_of, tidy
 from .words import hash_spans, mix, text_bytes
 
 #: Bytes of a match.
@@ -432,7 +432,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 def _passes(docs: DataFrame, id_col: str, text_col: str, fields: list[str], rest: list[str]) -> DataFrame:
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), F.monotonically_increasing_id().alias("rid"), *([F.struct(*(docs[c] for c in rest)).alias("rest")] if rest else []))
+    rows = docs.select(F.coalesce(id_of(docs, id_col), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), F.monotonically_increasing_id().alias("rid"), *([F.struct(*(docs[c] for c in rest)).alias("rest")] if rest else []))
     ways = parts(spark)
     blocks = checkpointed(rows.mapInArrow(_pack_blocks, "block long, payload binary"))
     ranges = shards = max(ways, min(blocks.count(), 8 * ways))

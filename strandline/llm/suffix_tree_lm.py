@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import byte_slices, checkpointed, discard, parts, text_of, tidy
+from .tools import byte_slices, checkpointed, discard, id_of, parts, text_of, tidy
 from .words import END, Words, cuts_of, mix, split_words
 
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -450,7 +450,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     if held_out is None:
         held_out = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit(""))) % 10 == 0
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), held_out.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
+    rows = docs.select(F.coalesce(id_of(docs, id_col), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), held_out.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
     blocks = checkpointed(rows.mapInArrow(_pack_blocks, "block long, payload binary"))
     many, ways = blocks.count(), parts(spark)
     run_ = _Run(ranges or max(ways, min(many, 8 * ways)), max(1, -(-many // FAN_IN)), 0, 0, settings)

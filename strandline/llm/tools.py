@@ -142,6 +142,33 @@ def text_of(df: DataFrame, text_col: str) -> F.Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def id_of(df: DataFrame, id_col: str) -> F.Column:
+    """The identifier as a long; one that is no integer counts as null."""
+    return df[id_col].try_cast("long")
+
+
+def digest_of(text: F.Column) -> F.Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def without_rows(docs: DataFrame, text: F.Column, id_col: str, gone: DataFrame, twins: DataFrame) -> DataFrame:
+    """docs without the rows that gone (doc_id, digest) names, and one row of those that twins names; digest is that of `text`.
+
+    Rows are told apart by identifier and text, so a text with an identifier that some other text has isn't lost.  Columns of any
+    name stay as they are.
+    """
+    free = next(f"row_{k}" for k in range(1 << 20) if not any(c.lower().startswith(f"row_{k}_") for c in docs.columns))
+    who, what = f"{free}_id", f"{free}_text"
+    keyed = docs.withColumns({who: id_of(docs, id_col), what: digest_of(text)})
+    name = lambda df, k: df.select(F.col("doc_id").alias(f"{free}_{k}"), F.col("digest").alias(f"{free}_{k}_text"))
+    match = lambda df, k: keyed[who].eqNullSafe(df[f"{free}_{k}"]) & (keyed[what] == df[f"{free}_{k}_text"])
+    lost, double = name(gone, "gone"), name(twins, "twin")
+    left = keyed.join(lost, match(lost, "gone"), "left_anti")
+    if not twins.isEmpty():
+        left = left.join(double, match(double, "twin"), "left_anti").unionByName(left.join(double, match(double, "twin"), "left_semi").dropDuplicates([who, what]))
+    return left.drop(who, what)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component_id) of every id in links (a, b): the smallest id reachable.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import shared, text_of, tidy
+from .tools import id_of, shared, text_of, tidy
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Prefix lengths that are features beside the whole word.
@@ -253,11 +253,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     if learnable is None:
         learnable = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
-    usable = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(learnable)
+    usable = labels.select(id_of(labels, "doc_id").alias("doc_id"), labels["toxic"].try_cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(learnable)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
     chosen = spark.createDataFrame([(r[0], r[1]) for r in chosen.collect()], "doc_id long, toxic int")  # bounded by settings.sample
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
     sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     empty = Chain({}, -5.0, np.zeros((2, 2)), 0.0)
     toxic = sample.where("toxic = 1").mapInArrow(_associations, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= settings.least)
@@ -315,7 +315,7 @@ def score_texts(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
     Null text is empty and gets the score of a text without features.
     Repeated rows each give a row; an empty table gives none.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
     return rows.mapInArrow(_tagged(shared(docs.sparkSession, chain), settings.threshold), "doc_id long, score double, predicted int, spans array<struct<start: int, end: int, p: double>>")
 
 

@@ -195,6 +195,15 @@ def brute_groups(rows, n, percent):
     return {i: (len(sets[i]), comp[i]) for i in comp}
 
 
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 90])
+def test_links_share_a_region(percent):
+    division, r = jaccard_join.Division(percent), np.random.default_rng(percent)
+    for n in range(1, 60):
+        g = r.integers(0, 1 << 63, n * 100 // percent, dtype=np.uint64)
+        place, region, _ = division.signatures(np.concatenate([g[:n], g]), np.array([0, n, n + len(g)]), 0)
+        assert set(region[place == 0].tolist()) & set(region[place == 1].tolist())
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
 def test_jaccard(spark, corpus, n, percent):
     got = by_id(jaccard_join.jaccard_groups(frame(spark, corpus), n, percent))
@@ -337,6 +346,21 @@ def test_exact(spark, corpus):
     assert exact_dedup.exact_groups(frame(spark, []).limit(0)).count() == 0
 
 
+FIVE = [(1, "a"), (5, "a"), (5, "unique text here"), (9, "z"), (9, "z")]
+
+
+def test_dropping_goes_by_row(spark):
+    df = spark.createDataFrame([(i, t, 1, None) for i, t in [*FIVE, (None, "a"), (None, "n n"), (None, "n n")]], "doc_id long, text string, row_0_id int, __gone string")
+    got = exact_dedup.drop_copies(df)
+    assert got.columns == df.columns
+    assert sorted((r[0] or 0, r[1]) for r in got.collect()) == [(0, "n n"), (1, "a"), (5, "unique text here"), (9, "z")]
+    got = jaccard_join.drop_near_copies(df.where("doc_id is not null"))
+    assert got.columns == df.columns and sorted((r[0], r[1]) for r in got.collect()) == [(1, "a"), (5, "unique text here"), (9, "z")]
+    texts = spark.createDataFrame([("x", "a b"), ("3", "a b")], "doc_id string, text string")  # identifiers that are no integers count as null
+    assert [r[0] for r in exact_dedup.drop_copies(texts).collect()] == ["3"]
+    assert exact_dedup.drop_copies(df.limit(0)).count() == jaccard_join.drop_near_copies(df.limit(0)).count() == 0
+
+
 def test_cover_tree(spark):
     g = np.random.default_rng(4)
     base = g.normal(size=(40, 12))
@@ -363,6 +387,8 @@ def test_chat(spark):
         for k in range(r.randrange(1, 6)):
             rows.append((c, k, r.choice(["user", "assistant", "system", "", None]), r.choice([None, "".join(r.choice(al) for _ in range(r.randrange(8)))])))
     formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for x in formatted.where("role in ('user', 'assistant')").collect():
+        assert not re.search(r"</?s>|\[/?(INST|OUT|ROLE|AS)\]", chat.parse(x["formatted"]) and x["formatted"][len(chat._OPEN[x["role"]]) : -len(chat._CLOSE[x["role"]])])
     for x in formatted.where("role = 'assistant'").collect():
         assert chat.unescape(x["formatted"][x["loss_start"] : x["loss_end"]]) == x["text"]
     got = {x["conv_id"]: x for x in chat.conversation_digests(formatted).collect()}
