@@ -40,7 +40,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     scored = score_texts(docs, learn(docs, _table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out"), "score", "predicted", "spans")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,17 +252,37 @@ def test_toxicity(spark):
     assert kept.columns == ["doc_id", "text", "id", "key"] and 900 in by_id(kept)
 
 
-def test_marginals_equal_enumeration():
-    c = toxicity.Chain({}, -1.0, np.array([[0.2, -0.3], [0.1, 0.6]]), 0.0)
-    places, scores, n = [1, 4], [2.0, -0.5], 6
-    w = np.zeros(2)
-    z = 0.0
-    for m in range(1 << n):
-        y = [(m >> k) & 1 for k in range(n)]
-        s = sum((scores[places.index(k)] if k in places else -1.0) * y[k] for k in range(n)) + sum(c.transition[a, b] for a, b in zip(y, y[1:], strict=False))
-        z += math.exp(s)
-        w += [math.exp(s) * y[p] for p in places]
-    assert np.allclose(c.marginals(places, scores, n), w / z)
+def test_marginals_equal_enumeration(monkeypatch):
+    monkeypatch.setattr(toxicity, "LINE", 4)  # texts of several lines
+    r = np.random.default_rng(3)
+    score, doc, tr = r.normal(size=22), np.repeat([0, 1, 2], [9, 3, 10]), np.array([[0.2, -0.3], [0.1, 0.6]])
+    got = toxicity.marginals(np.exp(score), doc, np.exp(tr))[0]
+    for d in range(3):
+        e = score[doc == d]
+        n, w, z = len(e), np.zeros(len(e)), 0.0
+        for m in range(1 << n):
+            y = [(m >> k) & 1 for k in range(n)]
+            s = sum(a * b for a, b in zip(e, y, strict=True)) + sum(tr[a, b] for a, b in zip([0, *y], y, strict=False))
+            z += math.exp(s)
+            w += math.exp(s) * np.array(y)
+        assert np.allclose(got[doc == d], w / z)
+
+
+def test_tokens_and_offsets():
+    texts = ["Été ÉTÉ x-y", None, "", "漢字 ok!", "a" * 9]
+    t = toxicity.Tokens.of(pa.array(texts))
+    assert [t.low[a : a + n].tobytes().decode() for a, n in zip(t.start, t.length, strict=True)] == ["été", "été", "x", "y", "漢字", "ok", "a" * 9]
+    assert t.doc.tolist() == [0, 0, 0, 0, 3, 3, 4]
+    m = np.array([0, 0.9, 0.2, 0.6, 0.1, 0.8, 0.7])
+    assert [[(x["start"], x["end"]) for x in s] for s in toxicity.spans_of(m, t)] == [[(4, 7), (10, 11)], [], [], [(3, 5)], [(0, 9)]]
+
+
+def test_toxicity_of_few_or_no_labels(spark):
+    rows = [(1, "Foo"), (2, None), (2, None), (3, "x " * 40000)]
+    chain = toxicity.learn(frame(spark, rows), spark.createDataFrame([(7, 1)], "doc_id long, toxic int"))
+    got = toxicity.score_texts(frame(spark, rows), chain).collect()
+    assert len(got) == 4 and all(r["score"] < 0.01 and not r["spans"] for r in got)
+    assert toxicity.score_texts(frame(spark, rows).limit(0), chain).count() == 0
 
 
 def test_licenses(spark):
