@@ -30,7 +30,7 @@ from .words import counts_of, hash_spans, mix, shingle_sets, text_bytes
 
 #: Prefix lengths (bytes) that are features beside the whole word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
-BITS = 20
+BITS = 19
 LINE = 128
 SHARDS = 8
 _NONE = 1 << BITS  # index of the weight that stays 0
@@ -255,7 +255,7 @@ class _Step:
     """AdaGrad steps on the conditional likelihood of whole sequences."""
 
     def __init__(self, chain: Chain, s: Settings):
-        self.w, self.bias, self.tr, self.s = chain.weights.copy(), chain.bias, chain.transition.copy(), s
+        self.w, self.bias, self.tr, self.s = chain.weights.astype(np.float64), chain.bias, chain.transition.copy(), s
         self.seen, self.seen_rest = np.full(len(self.w), 1e-2), np.full(5, 1e-2)
 
     def take(self, features: np.ndarray, doc: np.ndarray, y: np.ndarray) -> None:
@@ -307,7 +307,8 @@ def _fit(sent, s: Settings):
                 lo, hi = np.searchsorted(tokens.doc, chosen), np.searchsorted(tokens.doc, chosen, side="right")
                 at = np.concatenate([np.arange(i, j) for i, j in zip(lo, hi, strict=True)])
                 step.take(features[:, at], np.searchsorted(chosen, tokens.doc[at]), y[at])
-        return pa.table({"weights": pa.array([step.w.astype(np.float64).tobytes()], pa.binary()), "bias": [step.bias], "transition": pa.array([step.tr.tobytes()], pa.binary()), "texts": pa.array([len(texts)], pa.int64())})
+        moved = np.flatnonzero(step.w != chain.weights)
+        return pa.table({"at": pa.array([moved.astype(np.int32).tobytes()], pa.binary()), "change": pa.array([(step.w - chain.weights)[moved].astype(np.float32).tobytes()], pa.binary()), "bias": [step.bias], "transition": pa.array([step.tr.tobytes()], pa.binary()), "texts": pa.array([len(texts)], pa.int64())})
 
     return run
 
@@ -354,35 +355,38 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         first = F.row_number().over(Window.partitionBy(sketch).orderBy("doc_id"))
         sample = sample.withColumn("place", first).where("place = 1").drop("place")
     sample = checkpointed(sample.drop("one", "two").repartition(SHARDS, "shard"))
-    empty = Chain(np.zeros(_NONE + 1), -30.0, np.zeros((2, 2)), 0.0)
+    empty = Chain(np.zeros(_NONE + 1, np.float32), -30.0, np.zeros((2, 2)), 0.0)
     found = checkpointed(sample.mapInArrow(_associations, "feature long, kind int, toxic long, clean long").groupBy("feature").agg(F.min("kind").alias("kind"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     # bounded by the sample: features of its toxic texts that hardly any clean one has
     candidates = found.where((F.col("toxic") >= settings.least) & ((F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1) >= settings.precision)).collect()
     if not candidates:
         return empty
     wanted = shared(spark, np.array([r["feature"] for r in candidates], np.int64).view(np.uint64))
-    texts_of: dict[int, set[int]] = {}
-    for r in sample.where("toxic = 1").select("doc_id", "text").mapInArrow(_explained(wanted), "feature long, doc_id long").collect():
-        texts_of.setdefault(r["feature"], set()).add(r["doc_id"])
+    held = sample.where("toxic = 1").select("doc_id", "text").mapInArrow(_explained(wanted), "feature long, doc_id long").groupBy("feature").agg(F.collect_set("doc_id"))
+    texts_of = {f: set(ids) for f, ids in held.collect()}  # bounded by the sample
     bad, clean = (sample.where(F.col("toxic") == k).count() for k in (1, 0))
     taken = _taken(candidates, texts_of, max(1, found.count()), bad / max(1, bad + clean), settings.least)
     if not taken:
         return empty
     explaining = np.array(taken, np.int64).view(np.uint64)
     done = set().union(*(texts_of[f] for f in taken))
-    chain = Chain(np.zeros(_NONE + 1), -4.0, np.zeros((2, 2)), (bad - len(done) + 0.5) / (bad - len(done) + clean + 10.0))
+    chain = Chain(np.zeros(_NONE + 1, np.float32), -4.0, np.zeros((2, 2)), (bad - len(done) + 0.5) / (bad - len(done) + clean + 10.0))
     for _ in range(settings.rounds):
         sent = shared(spark, (chain, explaining))
-        parts = sample.groupBy("shard").applyInArrow(_fit(sent, settings), "weights binary, bias double, transition binary, texts long").collect()  # SHARDS rows
+        parts = sample.groupBy("shard").applyInArrow(_fit(sent, settings), "at binary, change binary, bias double, transition binary, texts long").collect()  # SHARDS rows
         sent.destroy()
         share = np.array([r["texts"] for r in parts], float)
         share /= share.sum()
-        moved = np.stack([np.frombuffer(r["weights"]) for r in parts]) - chain.weights
-        weight = share[:, None] * (moved != 0)
+        change, by = np.zeros(_NONE + 1), np.zeros(_NONE + 1)
+        for k, r in zip(share, parts, strict=True):
+            at = np.frombuffer(r["at"], np.int32)
+            change[at] += k * np.frombuffer(r["change"], np.float32)
+            by[at] += k
         mean = lambda values: sum(k * v for k, v in zip(share, values, strict=True))
-        chain = Chain(chain.weights + (weight * moved).sum(axis=0) / np.maximum(weight.sum(axis=0), 1e-9), float(mean([r["bias"] for r in parts])), mean([np.frombuffer(r["transition"]).reshape(2, 2) for r in parts]), chain.prior)
+        weights = (chain.weights + change / np.maximum(by, 1e-9)).astype(np.float32)
+        chain = Chain(weights, float(mean([r["bias"] for r in parts])), mean([np.frombuffer(r["transition"]).reshape(2, 2) for r in parts]), chain.prior)
     wanted.destroy()
-    return Chain(chain.weights.astype(np.float32), chain.bias, chain.transition, chain.prior)
+    return chain
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
