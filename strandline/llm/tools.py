@@ -61,7 +61,7 @@ def shared(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(_WithCode(value))
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, rows: int = 2000, column: str = "text") -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, rows: int = 2000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches in slices of at most `rows` rows and about `most` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

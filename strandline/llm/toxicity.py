@@ -33,6 +33,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 BITS = 19
 LINE = 128
 SHARDS = 8
+#: Bytes of text that are tagged at once.
+SLICE = 1 << 20
 _NONE = 1 << BITS  # index of the weight that stays 0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(256, bool)
@@ -396,7 +398,7 @@ def _tagged(sent, threshold: float):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = sent.value
-        for batch in byte_slices(batches):
+        for batch in byte_slices(batches, SLICE):
             score, m, tokens = chain.tag(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans_of(m, tokens), _SPANS)], ["doc_id", "score", "predicted", "spans"])
 
@@ -418,7 +420,7 @@ def _clean_rows(sent, threshold: float, text_col: str):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = sent.value
-        for batch in byte_slices(batches, column=text_col):
+        for batch in byte_slices(batches, SLICE, column=text_col):
             yield batch.filter(pa.array(chain.tag(batch.column(text_col))[0] < threshold, pa.bool_()))
 
     return run
