@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.stats import correlation_p, dot, let, m_value, unit
+from strandline.operators.lineage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,7 @@ class Test:
     mode: str = "strong"  # strong: every group must pass; weak: one is enough
     max_distance: int = 10_000
     rescue_delta: float | None = None
+    statistic: str = "mean"  # of cases and of controls in the delta of the rescue
 
 
 def pack(cells: DataFrame, sites: DataFrame, samples: list) -> DataFrame:
@@ -33,14 +35,17 @@ def group_values(packed: Column, places: list[int]) -> Column:
     return F.array(*(F.coalesce(m_value(F.get(packed, F.lit(i))), F.lit(0.0)) for i in places))
 
 
-def delta_beta(packed: Column, case: list[int], control: list[int]) -> Column:
-    """Mean of the cases minus mean of the controls, missing values left out."""
+def delta_beta(packed: Column, case: list[int], control: list[int], statistic: str = "mean") -> Column:
+    """Mean or median of the cases minus that of the controls, missing values left out."""
 
-    def mean(places: list[int]) -> Column:
+    def mid(places: list[int]) -> Column:
         got = F.filter(F.array(*(F.get(packed, F.lit(i)) for i in places)), lambda x: x.isNotNull())
-        return F.when(F.size(got) > 0, F.aggregate(got, F.lit(0.0), lambda s, x: s + x) / F.size(got))
+        if statistic == "mean":
+            return F.when(F.size(got) > 0, F.aggregate(got, F.lit(0.0), lambda s, x: s + x) / F.size(got))
+        middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+        return F.when(F.size(got) > 0, let(F.array_sort(got), middle))
 
-    return mean(case) - mean(control)
+    return mid(case) - mid(control)
 
 
 def units(packed: DataFrame, groups: dict[str, list[int]], basis: list[list[float]] | None = None) -> DataFrame:
@@ -56,10 +61,10 @@ def units(packed: DataFrame, groups: dict[str, list[int]], basis: list[list[floa
     return x.select(*packed.columns, *(unit(v).alias(f"unit_{g}") for g, v in values.items()))
 
 
-def adjacent(packed: DataFrame) -> DataFrame:
-    """Each site with the next one of its chromosome (next_<column>): one window over packed rows, no self join."""
+def adjacent(packed: DataFrame, step: int = 1) -> DataFrame:
+    """Each site with the next one, or the one `step` places on, of its chromosome (next_<column>): one window over packed rows, no self join."""
     w = Window.partitionBy("chr").orderBy("pos")
-    return packed.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in packed.columns if c != "chr"))
+    return packed.select("*", *(F.lead(c, step).over(w).alias(f"next_{c}") for c in packed.columns if c != "chr"))
 
 
 def design_basis(rows: list[dict], covariates: list[str]) -> list[list[float]]:
@@ -88,11 +93,11 @@ def residual(values: Column, basis: list[list[float]]) -> Column:
     return F.when(F.forall(values, lambda v: v.isNotNull()), left)
 
 
-def edges(packed: DataFrame, groups: dict[str, list[int]], case: str | list[int], control: str | list[int], test: Test, basis: list[list[float]] | None = None) -> DataFrame:
+def edges(packed: DataFrame, groups: dict[str, list[int]], case: str | list[int], control: str | list[int], test: Test, basis: list[list[float]] | None = None, step: int = 1) -> DataFrame:
     """site, chr, pos, next_site, connected, pval, reason, failing, delta of every edge; a chromosome's last site ends it."""
     sides = [groups[s] if isinstance(s, str) else s for s in (case, control)]
-    x = units(packed, groups, basis).withColumn("delta_beta", delta_beta(F.col("beta"), *sides)).drop("beta")
-    pairs = adjacent(x).withColumnRenamed("next_delta_beta", "delta")
+    x = units(packed, groups, basis).withColumn("delta_beta", delta_beta(F.col("beta"), *sides, test.statistic)).drop("beta")
+    pairs = adjacent(x, step).withColumnRenamed("next_delta_beta", "delta")
     limit = test.max_pval / len(groups) if test.mode == "strong" else test.max_pval
     reasons, pvals = [], []
     for name, places in groups.items():
@@ -115,12 +120,41 @@ def edges(packed: DataFrame, groups: dict[str, list[int]], case: str | list[int]
     return pairs.select("site", "chr", "pos", "next_site", F.coalesce(~last & ~far & (rescue | passed), F.lit(False)).alias("connected"), pval.alias("pval"), reason.alias("reason"), failing.alias("failing"), "delta")
 
 
-def bridge(edge: DataFrame, gap: int = 1) -> DataFrame:
-    """Connects failed edges of a chromosome that lie in a run of at most `gap` between connected ones; reason: bridged."""
+def bridge(edge: DataFrame, spans: dict[int, DataFrame]) -> DataFrame:
+    """Connects runs over gaps where the pair across the gap passes the test; spans: by gap, `edges` with that step.
+
+    For every allowance from 1 to the largest gap, passes over the gaps up to it are repeated until nothing changes.  A pass
+    first tests, for every run that begins at site s, the pair (s - gap, s), then, for every run that ends at site e, the pair
+    (e, e + gap).  A pair that passes connects all edges between its sites; the edge at its first site takes the pair's
+    p-value and reason, the others that were not connected the reason `bridged`.  A gap of 1 asks a failed edge again.
+    """
     w = Window.partitionBy("chr").orderBy("pos")
-    before = F.count(F.lit(1)).over(w) - F.last(F.when(F.col("connected"), F.col("n")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("connected"), F.col("n")), True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("n")
-    numbered = edge.withColumn("n", F.row_number().over(w))
-    inside = ~F.col("connected") & (F.col("reason") != "end-of-input") & (F.col("before") + F.col("after") - 1 <= gap)
-    out = numbered.withColumn("before", before).withColumn("after", after).withColumn("inside", F.coalesce(inside, F.lit(False)))
-    return out.withColumn("connected", F.col("connected") | F.col("inside")).withColumn("reason", F.when(F.col("inside"), "bridged").otherwise(F.col("reason"))).drop("n", "before", "after", "inside")
+    now = edge
+    for gap, span in spans.items():
+        now = now.join(span.select("site", F.struct("connected", "pval", "reason").alias(f"span_{gap}")), "site")
+
+    def joined(x: DataFrame, gap: int, hit: Column) -> DataFrame:
+        x = x.withColumn("hit", F.coalesce(hit & F.col(f"span_{gap}.connected"), F.lit(False)))
+        inside = F.max("hit").over(w.rowsBetween(1 - gap, 0))
+        new = inside & ~F.col("connected")
+        x = x.withColumn("new", new).withColumn("changed", F.col("changed") | F.col("new"))
+        reason = F.when(F.col("hit"), F.col(f"span_{gap}.reason")).when(F.col("new"), "bridged").otherwise(F.col("reason"))
+        pval = F.when(F.col("hit"), F.col(f"span_{gap}.pval")).otherwise(F.col("pval"))
+        failing = F.when(F.col("hit") | F.col("new"), F.lit(None).cast("string")).otherwise(F.col("failing"))
+        return x.withColumns({"pval": pval, "reason": reason, "failing": failing, "connected": F.col("connected") | F.col("new")}).drop("hit", "new")
+
+    def cycle(x: DataFrame, most: int) -> DataFrame:
+        for gap in range(1, most + 1):
+            begins = F.col("connected") & ~F.coalesce(F.lag("connected").over(w), F.lit(False))
+            x = x.withColumn("begins", begins)
+            x = joined(x, gap, F.lead("begins", gap).over(w)).drop("begins")
+            ended = F.lag("connected").over(w) & ~F.col("connected")  # the run's last site
+            x = joined(x, gap, ended)
+        return x
+
+    for most in range(1, max(spans) + 1):
+        while True:
+            now = checkpointed(cycle(now.drop("changed").withColumn("changed", F.lit(False)), most))
+            if now.where("changed").isEmpty():
+                break
+    return now.drop("changed", *(f"span_{g}" for g in spans))

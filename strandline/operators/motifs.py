@@ -19,6 +19,11 @@ def oriented(seq: Column, flank: int) -> Column:
     return F.when((at(one, flank + 1) != "C") & (at(one, flank + 2) == "G"), reverse_complement(one)).otherwise(one)
 
 
+def windows(seq: Column, flank: int, pairs: tuple[str, ...]) -> Column:
+    """All windows of 2 flank + 2 letters whose middle two are one of the pairs, in order; overlapping ones too."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{flank}}}(?:{'|'.join(pairs)}).{{{flank}}}))"), F.lit(1))
+
+
 def pwm(windows: DataFrame, key: str, seq: str, width: int) -> DataFrame:
     """key, place (from 1), share of A, C, G, T at the place, and the first most frequent base."""
     x = windows.select(key, F.posexplode(F.array(*(F.substring(F.col(seq), k, 1) for k in range(1, width + 1)))).alias("p", "base"))

@@ -8,6 +8,7 @@ p_partkey div 50, position = 100 p_partkey + p_size.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,13 +159,13 @@ def boundary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.boundaries(the_edges(spark, sf_dir, "weak")).select("site", "chr", "site_idx", "prev_failed", "next_failed")
 
 
-@plan(f"""with {_BOUND}, sd as (select chr, site, site_idx, prev_failed, next_failed from bd where site % 5 = 0),
+@plan(f"""with {_BOUND}, sd as (select chr, site, site_idx, prev_failed, next_failed from bd),
  x as (select sd.chr, sd.site as seed, coalesce(p.prev_failed, 0) + 1 as start_idx, sd.next_failed as end_idx from sd left join bd p on p.chr = sd.chr and p.site_idx = sd.site_idx - 1)
  select x.chr, x.seed, start_idx, end_idx, a.pos as start_pos, b.pos as end_pos, end_idx - start_idx + 1 as sites_num
  from x join bd a on a.chr = x.chr and a.site_idx = start_idx join bd b on b.chr = x.chr and b.site_idx = end_idx""")
 def expand_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = the_edges(spark, sf_dir, "weak")
-    seeds = sites(spark, sf_dir).where("site % 5 = 0").select("chr", F.col("site").alias("start_seed"), F.col("site").alias("end_seed"))
+    seeds = sites(spark, sf_dir).select("chr", F.col("site").alias("start_seed"), F.col("site").alias("end_seed"))
     return regions.expand(seeds, e).select("chr", F.col("start_seed").alias("seed"), "start_idx", "end_idx", "start_pos", "end_pos", "sites_num")
 
 
@@ -294,22 +295,25 @@ def parse_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", ordering.parse_region(text).alias("r")).select("p_partkey", "r.*")
 
 
-_SEQ = "q as (select doc_id, lang, translate(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 12), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents)"
+_SEQ = """q as (select doc_id, lang, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as t from documents),
+ w as (select doc_id, lang, substr(t, k, 12) as seq from (select doc_id, lang, t, unnest(range(1, len(t) - 10)) as k from q where len(t) >= 12) where substr(t, k + 5, 2) in ('CG', 'GC'))"""
 
 
-@plan(f"""with {_SEQ}, s as (select * from q where length(seq) = 12), o as (select doc_id, case when substr(seq, 6, 1) = 'G' then translate(seq, 'ACGT', 'TGCA') else seq end as one from s)
- select doc_id, case when substr(one, 6, 1) <> 'C' and substr(one, 7, 1) = 'G' then reverse(translate(one, 'ACGT', 'TGCA')) else one end as oriented from o""")
+@plan(f"""with {_SEQ}, o as (select doc_id, case when substr(seq, 6, 1) = 'G' then translate(seq, 'ACGT', 'TGCA') else seq end as one from w),
+ r as (select doc_id, case when substr(one, 6, 1) <> 'C' and substr(one, 7, 1) = 'G' then reverse(translate(one, 'ACGT', 'TGCA')) else one end as oriented from o)
+ select doc_id, oriented, count(*) as n from r group by 1, 2""")
 def motif_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sequences(spark, sf_dir).select("doc_id", motifs.oriented(F.col("seq"), 5).alias("oriented"))
+    return _sequences(spark, sf_dir).select("doc_id", motifs.oriented(F.col("seq"), 5).alias("oriented")).groupBy("doc_id", "oriented").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of 12 letters about every CG or GC of every whole text."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    seq = F.translate(F.substring(letters, 1, 12), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", seq.alias("seq")).where(F.length("seq") == 12)
+    seq = F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(motifs.windows(seq, 5, ("CG", "GC"))).alias("seq"))
 
 
-@plan(f"""with {_SEQ}, s as (select lang, k as place, substr(seq, k, 1) as b from q cross join range(1, 13) t(k) where length(seq) = 12),
+@plan(f"""with {_SEQ}, s as (select lang, k as place, substr(seq, k, 1) as b from w cross join range(1, 13) t(k)),
  c as (select lang, place, count(*) as n, sum((b = 'A')::int) / count(*) as a, sum((b = 'C')::int) / count(*) as c, sum((b = 'G')::int) / count(*) as g, sum((b = 'T')::int) / count(*) as t from s group by 1, 2)
  select lang, place, round(a, 9) as f_a, round(c, 9) as f_c, round(g, 9) as f_g, round(t, 9) as f_t, case when a = greatest(a, c, g, t) then 'A' when c = greatest(a, c, g, t) then 'C' when g = greatest(a, c, g, t) then 'G' else 'T' end as base from c""")
 def pwm_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,29 +321,29 @@ def pwm_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("lang", "place", *(F.round(c, 9).alias(c) for c in ("f_a", "f_c", "f_g", "f_t")), "base")
 
 
-@plan(f"with {_CELL} select l.site, l.smp as sample, {_near("l.b - (r.i + r.s * l.smp)", 6)} as residual from (select site, cast(smp as bigint) as smp, b from cell) l join (select site, regr_intercept(b, smp) as i, regr_slope(b, smp) as s, count(*) as n from cell group by 1) r using (site) where n > 2")
+@plan(f"with {_CELL} select l.site, l.smp as sample, {_near("l.b - (r.i + r.s * l.smp)", 9)} as residual from (select site, cast(smp as bigint) as smp, b from cell) l join (select site, regr_intercept(b, smp) as i, regr_slope(b, smp) as s, count(*) as n from cell group by 1) r using (site) where n = 7")
 def ols_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
-    fit = c.groupBy("site").agg(F.regr_intercept("beta", "sample").alias("i"), F.regr_slope("beta", "sample").alias("s"), F.count(F.lit(1)).alias("n")).where("n > 2")
-    return c.join(fit, "site").select("site", "sample", F.round(F.col("beta") - (F.col("i") + F.col("s") * F.col("sample")), 6).alias("residual"))
+    basis = connect.design_basis([{"x": k} for k in range(1, 8)], ["x"])
+    x = packed(spark, sf_dir).select("site", F.posexplode(connect.residual(F.col("beta"), basis)).alias("p", "residual"))
+    return x.select("site", (F.col("p") + 1).cast("long").alias("sample"), F.round(F.col("residual") + 0.0, 9).alias("residual"))
 
 
-_VEC = """v as (select vec_id as id, list_transform(list_slice(embedding, 1, 40), lambda x: cast(x as double)) as e from embeddings),
- u as (select id, flatten(list_transform(range(0, 10), lambda k: list_transform(list_slice(e, 4 * k + 1, 4 * k + 4), lambda z: z / sqrt(list_sum(list_transform(list_slice(e, 4 * k + 1, 4 * k + 4), lambda q: q * q)))))) as vec from v),
- pr as (select a.id as id1, b.id as id2, list_sum(list_transform(range(1, 41), lambda i: a.vec[i] * b.vec[i])) / 10 as sim from u a join u b on a.id < b.id),
- hit as (select * from pr where sim >= 0.6)"""
+_VEC = """v as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+ u as (select id, flatten(list_transform(range(0, 16), lambda k: list_transform(list_slice(e, 4 * k + 1, 4 * k + 4), lambda z: z / sqrt(list_sum(list_transform(list_slice(e, 4 * k + 1, 4 * k + 4), lambda q: q * q)))))) as vec from v),
+ pr as (select a.id as id1, b.id as id2, list_sum(list_transform(range(1, 65), lambda i: a.vec[i] * b.vec[i])) / 16 as sim from u a join u b on a.id < b.id),
+ hit as (select * from pr where sim >= 0.375)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten unit vectors of four from each embedding, in place of a matrix's places."""
+    """Sixteen unit vectors of four from each embedding, in place of a matrix's places."""
     place = lambda k: F.transform(F.slice("embedding", 4 * k + 1, 4), lambda z: z.cast("double"))
     unit = lambda p: F.transform(F.array(F.sqrt(F.aggregate(p, F.lit(0.0), lambda s, z: s + z * z))), lambda n: F.transform(p, lambda z: z / n))[0]
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(*(unit(place(k)) for k in range(10))).alias("vec"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(*(unit(place(k)) for k in range(16))).alias("vec"))
 
 
 @plan(f"with {_VEC} select id1, id2, round(sim, 6) as sim from hit")
 def motif_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.similar_pairs(vectors(spark, sf_dir), 0.6).select("id1", "id2", F.round("sim", 6).alias("sim"))
+    return graph.similar_pairs(vectors(spark, sf_dir), 0.375, 16).select("id1", "id2", F.round("sim", 6).alias("sim"))
 
 
 @plan(f"""with {_VEC}, s as (select vec_id as id, label as score from embeddings)
@@ -347,14 +351,18 @@ def motif_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
  union all select id2, id1, round(sim, 6) from hit join s a on a.id = id1 join s b on b.id = id2 where a.score = b.score""")
 def oriented_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("score"))
-    return graph.oriented(graph.similar_pairs(vectors(spark, sf_dir), 0.6), scores).select("index1", "index2", F.round("sim", 6).alias("sim"))
+    return graph.oriented(graph.similar_pairs(vectors(spark, sf_dir), 0.375, 16), scores).select("index1", "index2", F.round("sim", 6).alias("sim"))
 
 
-@plan("""with recursive e as (select distinct l_orderkey * 2 as a, l_partkey * 2 + 1 as b from lineitem where l_quantity >= 49 and l_linenumber = 1), g as (select a, b from e union all select b, a from e),
- r(id, root) as (select a, a from g union select g.b, r.root from r join g on g.a = r.id), m as (select id, min(root) as root from r group by 1)
- select id, root from m""")
+def _least_label_sql(rounds: int) -> str:
+    """SQL that hands the least label on to neighbours so many times, which reaches every end of a component of that diameter."""
+    steps = [f"m{k + 1} as (select m{k}.id, least(any_value(m{k}.root), min(o.root)) as root from m{k} join g on g.a = m{k}.id join m{k} o on o.id = g.b group by m{k}.id)" for k in range(rounds)]
+    return ", ".join(["m0 as (select distinct a as id, a as root from g)", *steps]) + f" select id, root from m{rounds}"
+
+
+@plan(f"""with e as (select distinct l_orderkey * 2 as a, l_partkey * 2 + 1 as b from lineitem), g as materialized (select a, b from e union all select b, a from e), {_least_label_sql(16).replace(" as (select m", " as materialized (select m")}""")
 def motif_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_linenumber = 1")
+    x = table(spark, sf_dir, "lineitem")
     return graph.components(x.select((F.col("l_orderkey") * 2).alias("id1"), (F.col("l_partkey") * 2 + 1).alias("id2"))).select("id", "root")
 
 
@@ -424,22 +432,25 @@ def _sheet(spark: SparkSession) -> DataFrame:
 def find_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = finder.Options(max_pval=0.5, mode="weak", rescue_delta=0.25, max_distance=140, bridge_seeds=0, bridge_sites=0, min_sites=2, statistic="mean")
     st = sites(spark, sf_dir)
-    return finder.find_regions(cells(spark, sf_dir), st, st.where("site % 2 = 0 or site % 5 = 1").select("site"), _sheet(spark), o, width=WIDTH)
+    return finder.find_regions(cells(spark, sf_dir), st, st.select("site"), _sheet(spark), o, width=WIDTH)
 
 
-@plan(f"""with {_M}, t as (select site, chr, count(b) as n, covar_pop(mv, (g = 'B')::int) filter (b is not null) / nullif(stddev_pop(mv) filter (b is not null) * stddev_pop((g = 'B')::int) filter (b is not null), 0) as r,
- avg(case when g = 'B' then b end) - avg(case when g = 'A' then b end) as d from m group by 1, 2) select site, chr, {_near("d", 6)} as delta_beta, round(abs(r), 6) as r from t where n = 7 and r is not null and d is not null""")
-def marker_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = F.when(F.col("sample") > 4, 1.0).otherwise(0.0)
-    c = cells(spark, sf_dir).withColumn("m", m_value(F.col("beta")))
-    spread = F.stddev_pop("m") * F.stddev_pop(side)
-    fit = c.groupBy("site").agg(F.count("beta").alias("n"), (F.covar_pop("m", side) / F.when(spread > 1e-12, spread)).alias("r"), (F.avg(F.when(F.col("sample") > 4, F.col("beta"))) - F.avg(F.when(F.col("sample") <= 4, F.col("beta")))).alias("d"))
-    return fit.where("n = 7 and r is not null and d is not null").join(sites(spark, sf_dir), "site").select("site", "chr", F.round("d", 6).alias("delta_beta"), F.round(F.abs("r"), 6).alias("r"))
+@plan(f"""with {_M}, t as (select site, chr, count(b) as n, case when stddev_pop(mv) * stddev_pop((g = 'B')::int) > 1e-12 then covar_pop(mv, (g = 'B')::int) / (stddev_pop(mv) * stddev_pop((g = 'B')::int)) end as r,
+ avg(case when g = 'B' then b end) - avg(case when g = 'A' then b end) as d from m where b is not null group by 1, 2),
+ s as (select *, least(1.0, abs(r)) as sn, sqrt(1 - least(1.0, abs(r)) ** 2) as cs, asin(least(1.0, abs(r))) as th from t where n >= 3 and r is not null and d is not null),
+ p as (select site, chr, d, greatest(0.0, case n when 3 then 1 - 2 / pi() * th when 4 then 1 - sn when 5 then 1 - 2 / pi() * (th + sn * cs) when 6 then 1 - sn * (1 + cs * cs / 2) else 1 - 2 / pi() * (th + sn * cs * (1 + 2.0 / 3 * cs * cs)) end) as pval from s),
+ y as (select *, pval * count(*) over (partition by chr) / row_number() over (partition by chr order by pval, site) as q from p),
+ z as (select *, least(1.0, min(q) over (partition by chr order by pval desc, site desc rows unbounded preceding)) as fdr, -log10(pval + 2.2250738585072014e-308) * abs(d) as raw from y)
+ select site, chr, {_near("d", 9)} as delta_beta, {_near("pval", 6)} as pval, {_near("fdr", 6)} as fdr, {_near("(raw - min(raw) over ()) / greatest(max(raw) over () - min(raw) over (), 1e-10)", 6)} as score from z""")
+def marker_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = finder.marker_test(cells(spark, sf_dir), sites(spark, sf_dir), _sheet(spark), fdr=None)
+    return t.select("site", "chr", F.round(F.col("delta_beta") + 0.0, 9).alias("delta_beta"), *(F.round(c, 6).alias(c) for c in ("pval", "fdr", "score")))
 
 
-@plan()
-def marker_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finder.marker_test(cells(spark, sf_dir), sites(spark, sf_dir), _sheet(spark), fdr=None)
+@plan(f"with {_edge_sql('weak').replace('avg(case when', 'median(case when')} select site, connected, reason, {_near('delta', 9)} as delta from e")
+def rescue_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = connect.edges(packed(spark, sf_dir), GROUPS, "B", "A", replace(TEST["weak"], statistic="median"))
+    return e.select("site", "connected", "reason", F.round(F.col("delta") + 0.0, 9).alias("delta"))
 
 
 @plan()

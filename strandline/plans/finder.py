@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import connect, intervals, ordering, regions, scoring
+from strandline.operators.lineage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -57,14 +58,16 @@ def find_regions(cells: DataFrame, sites: DataFrame, seeds: DataFrame, sheet: Da
     case, control = ([i for i, r in enumerate(rows) if r["is_case"] is side] for side in (True, False))
     basis = connect.design_basis(rows, o.covariates) if o.covariates else None
     rescue = o.rescue_delta if case and control else None
-    test = connect.Test(o.max_pval, o.mode, o.max_distance, rescue)
+    test = connect.Test(o.max_pval, o.mode, o.max_distance, rescue, o.statistic)
     place = sites.select("site", "chr", "pos")
+    if seeds.join(place, "site", "left_semi").isEmpty() and not seeds.isEmpty():
+        raise ValueError("no seed is among the sites")
     packed = connect.pack(cells, place, samples)
     seed_sites = seeds.select("site").distinct()
 
     def edge(x: DataFrame, gap: int) -> DataFrame:
-        e = connect.edges(x, groups, case, control, test, basis)
-        return connect.bridge(e, gap) if gap else e
+        steps = {k: connect.edges(x, groups, case, control, test, basis, k) for k in range(1, max(gap, 1) + 1)}
+        return connect.bridge(steps[1], steps) if gap > 1 else steps[1]  # a gap of 1 asks the pair that failed, with the same answer
 
     seed_edges = edge(packed.join(seed_sites, "site", "left_semi"), o.bridge_seeds)
     run = regions.islands(seed_edges).groupBy("chr", "run").agg(
@@ -82,7 +85,7 @@ def find_regions(cells: DataFrame, sites: DataFrame, seeds: DataFrame, sheet: Da
         F.sum("seeds_num").alias("seeds_num"), p.alias("connection_corr_pval"), F.count(F.lit(1)).alias("merged_num"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_idx", "stop_connection_reason"))), lambda x: x["stop_connection_reason"]), ",").alias("stop_connection_reason"),
     )
-    merged = merged.withColumn("sites_num", F.col("end_idx") - F.col("start_idx") + 1).where((F.col("sites_num") >= o.min_sites) & (F.col("seeds_num") >= o.min_seeds))
+    merged = checkpointed(merged).withColumn("sites_num", F.col("end_idx") - F.col("start_idx") + 1).where((F.col("sites_num") >= o.min_sites) & (F.col("seeds_num") >= o.min_seeds))
     merged = merged.withColumn("id", F.concat(F.col("chr").cast("string"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")))
     if background is not None:
         merged = merged.join(intervals.background_counts(merged, background, width), "id")

@@ -1,5 +1,7 @@
 """The search and its options on small fixtures with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,69 @@ def test_marker_test_and_scores(spark):
     found = find_regions(*t, Options(max_pval=1.0, min_sites=2, bridge_seeds=0, bridge_sites=0))
     (r,) = scored(found, t[0], t[1], t[3], folds=3).collect()
     assert r["cv_accuracy"] == 1.0 and 0.5 < r["score"] <= 1
+
+
+def brute_bridge(connected, spans, last, most):
+    """Connected edges after every allowance's passes have come to rest; spans: by gap, whether the pair (i, i + gap) passes."""
+    now = list(connected)
+    n = len(now)
+    for allowed in range(1, most + 1):
+        changed = True
+        while changed:
+            changed = False
+            for gap in range(1, allowed + 1):
+                for side in ("begin", "end"):
+                    add = set()
+                    for i in range(n):
+                        if side == "begin":
+                            s = i + gap
+                            hit = s < n and now[s] and not now[s - 1] and not any(last[i:s]) and spans[gap][i]
+                        else:
+                            hit = i > 0 and now[i - 1] and not last[i - 1] and not now[i] and spans[gap][i] and i + gap <= n and not any(last[i : i + gap])
+                        if hit:
+                            add |= set(range(i, i + gap))
+                    changed |= any(not now[i] for i in add)
+                    now = [c or i in add for i, c in enumerate(now)]
+    return now
+
+
+def test_bridges_go_where_the_pair_across_the_gap_passes(spark):
+    from strandline.operators import connect
+
+    r = random.Random(12)
+    rows = [(k, f"chr{k // 45}", 100 * k) for k in range(90)]
+    base = [r.random() for _ in range(7)]
+    cells = [(k, s, min(0.99, max(0.01, (base[s] if k % 3 else r.random()) + r.gauss(0, 0.05)))) for k, _, _ in rows for s in range(7)]
+    packed = connect.pack(spark.createDataFrame(cells, "site long, sample long, beta double"), spark.createDataFrame(rows, "site long, chr string, pos long"), list(range(7)))
+    test = connect.Test(0.05, "weak", 250)
+    steps = {k: connect.edges(packed, {"A": [0, 1, 2, 3], "B": [4, 5, 6]}, "B", "A", test, None, k) for k in (1, 2, 3)}
+    held = {k: sorted((x["site"], x["connected"], x["next_site"] is None) for x in e.collect()) for k, e in steps.items()}
+    for most in (1, 2, 3):
+        want = brute_bridge([c for _, c, _ in held[1]], {k: [c for _, c, _ in held[k]] for k in held}, [e for _, _, e in held[1]], most)
+        got = {x["site"]: x for x in connect.bridge(steps[1], {k: steps[k] for k in range(1, most + 1)}).collect()}
+        assert [got[k]["connected"] for k in range(90)] == want
+        assert (sum(want) > sum(c for _, c, _ in held[1])) == (most > 1)
+        assert all(not x["connected"] for x in got.values() if x["reason"] in ("end-of-input", "exceeded max distance"))
+
+
+def test_a_failed_edge_beside_a_run_is_asked_again(spark):
+    """The six equal sites of the bridge fixture; only the first edge is connected to begin with."""
+    from strandline.operators import connect
+
+    rows = [(k, "chr1", 100 * k) for k in range(1, 7)]
+    packed = connect.pack(spark.createDataFrame([(k, s, (s + 1) / 10) for k, _, _ in rows for s in range(6)], "site long, sample long, beta double"), spark.createDataFrame(rows, "site long, chr string, pos long"), list(range(6)))
+    asked = connect.edges(packed, {"A": [0, 1, 2], "B": [3, 4, 5]}, "B", "A", connect.Test(0.05, "strong", 1000))
+    begun = asked.withColumn("connected", F.col("site") == 1).withColumn("reason", F.when(F.col("site") == 1, "").when(F.col("site") == 6, "end-of-input").otherwise("pval>max_pval"))
+    got = {x["site"]: x["connected"] for x in connect.bridge(begun, {1: asked}).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False}
+
+
+def test_the_median_rescues_what_the_mean_does_not(spark):
+    from strandline.operators import connect
+
+    rows = [(1, "chr1", 100), (2, "chr1", 200)]
+    values = [0.1, 0.1, 0.9, 0.5, 0.5, 0.5]  # means are 0.13 apart, medians 0.4
+    packed = connect.pack(spark.createDataFrame([(k, s, v) for k, _, _ in rows for s, v in enumerate(values)], "site long, sample long, beta double"), spark.createDataFrame(rows, "site long, chr string, pos long"), list(range(6)))
+    for statistic, hit in (("mean", False), ("median", True)):
+        e = connect.edges(packed, {"A": [0, 1, 2], "B": [3, 4, 5]}, "B", "A", connect.Test(1e-9, "strong", 1000, 0.3, statistic)).where("site = 1").first()
+        assert (e["reason"] == "abs(delta_beta)>=force_connect_delta_beta") == hit

@@ -17,7 +17,7 @@ def plain(x):
         return ""
     if isinstance(x, (bool, str)):
         return str(x)
-    return f"{float(x):.5f}"
+    return f"{float(x):.9g}"
 
 
 def rows_of(frame):
