@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 #: Removes a query's shuffle files when it ends; nothing reads those of a checkpointed frame again.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch between the engine and Python; the engine's default of 64 MB is held several times by each running task.
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,9 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="strandline-")
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches by BATCH bytes, unless the application was started with a bound of its own."""
+    if spark.sparkContext.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, BATCH)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the cluster's shared checkpoint folder."""
     spark = df.sparkSession
+    _bound_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
@@ -58,6 +68,7 @@ class _WithCode:
 
 def shared(spark: SparkSession, value: object) -> Broadcast:
     """An object of bounded size on every executor; a Python worker reads it once and keeps it from task to task."""
+    _bound_batches(spark)
     return spark.sparkContext.broadcast(_WithCode(value))
 
 
