@@ -330,6 +330,22 @@ def test_bpe(spark, corpus):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: x or "" for i, x in rows}
 
 
+def test_bpe_tables(spark, monkeypatch):
+    """Rows and the heap merge alike; a full table forgets pieces, not results; special strings; an empty table; clashing columns."""
+    v, r = bpe.Vocabulary.load(vocabulary()), random.Random(4)
+    pieces = ["".join(r.choice("abcdeinthé ") for _ in range(r.randrange(1, 129 if k % 2 else 9))).encode()[: bpe.SHORT] for k in range(400)]
+    assert v.merge_many(pieces) == [v.merge_long(p) for p in pieces] and v.merge_many([]) == []
+    texts = [" ".join("".join(r.choice("abcd") for _ in range(r.randrange(1, 6))) for _ in range(30)) + "x" * (200 if k % 9 == 0 else 0) + "<|endoftext|>" * (k % 2) for k in range(60)]
+    whole = [v.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    small = bpe.Vocabulary.load(vocabulary())
+    assert [small.encode(t) for t in texts] == whole and len(small.ids_of) <= 40 + 30 + 1
+    assert small.decode(whole[1]) == texts[1]
+    assert bpe.token_digests(frame(spark, []), vocabulary()).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "x", 3), (1, "a b", "x", 3), (2, None, None, 4)], "doc_id long, text string, ids_sha256 string, n_tokens long")
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in bpe.token_digests(clash, vocabulary()).collect()) == [(1, 2), (1, 2), (2, 0)]
+
+
 def brute_repeats(rows):
     first = {}
     for i, t in rows:
