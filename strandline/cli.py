@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from strandline.plans.finder import Options, find_regions
+from strandline.plans.finder import Options, find_regions, ordered, with_members
 from strandline.sources import readers, writers
 
 
@@ -34,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max_bridge_seeds_gaps", type=int, default=1)
     p.add_argument("--max_bridge_extension_gaps", type=int, default=1)
     p.add_argument("--min_seeds", type=int, default=2)
+    p.add_argument("--min_adj_seeds", type=int, default=2, help="takes effect with --background")
+    p.add_argument("--background", help="table id, chr, start, end of points for the adjusted number of seeds")
     p.add_argument("--min_sites", type=int, default=50)
     p.add_argument("--aggfun", choices=("median", "mean"), default="median")
     return p
@@ -41,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
 
 def options_of(a: argparse.Namespace) -> Options:
     rescue = None if a.ext_site_delta_beta < 0 else a.ext_site_delta_beta
-    return Options(a.max_pval, a.entanglement, rescue, a.max_lookup_dist, a.max_bridge_seeds_gaps, a.max_bridge_extension_gaps, a.min_seeds, 2, a.min_sites, a.aggfun, a.covariates, a.ignored_sample_groups)
+    return Options(a.max_pval, a.entanglement, rescue, a.max_lookup_dist, a.max_bridge_seeds_gaps, a.max_bridge_extension_gaps, a.min_seeds, a.min_adj_seeds, a.min_sites, a.aggfun, a.covariates, a.ignored_sample_groups)
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -55,7 +57,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         raise SystemExit("--locations is needed unless --bed is given")
     seeds = readers.match_seeds(readers.read_seeds(spark, a.seeds, a.seeds_id_col).select("site"), sites)
-    writers.write_table(find_regions(cells, sites, seeds, sheet, options_of(a)), a.output)
+    points = None
+    if a.background:
+        points = spark.read.options(**readers.TABULAR).csv(a.background).select("id", "chr", *(F.expr(f"try_cast({c} as bigint)").alias(c) for c in ("start", "end")))
+    found = find_regions(cells, sites, seeds, sheet, options_of(a), points)
+    writers.write_table(ordered(with_members(found, sites, seeds)), a.output)
 
 
 def main(argv: list[str] | None = None) -> None:

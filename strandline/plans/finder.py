@@ -49,7 +49,7 @@ def find_regions(cells: DataFrame, sites: DataFrame, seeds: DataFrame, sheet: Da
 
     cells: site, sample, beta; sites: site, chr, pos; seeds: site; sheet: sample, grp,
     is_case and covariates; background: id, chr, start, end of points for the adjusted
-    number of seeds. Nothing found gives no rows.
+    number of seeds. Nothing found gives no rows. Rows have no order (see `ordered`); members are listed by `with_members`.
     """
     o = options or Options()
     rows = _taking_part([r.asDict() for r in sheet.orderBy("sample").collect()], o.ignored)
@@ -101,6 +101,20 @@ def members(found: DataFrame, place: DataFrame, width: int) -> DataFrame:
     return intervals.overlaps(found, points, width).select(F.col("a_id").alias("id"), F.col("b_id").alias("site"))
 
 
+def with_members(found: DataFrame, sites: DataFrame, seeds: DataFrame, width: int = 100_000) -> DataFrame:
+    """found with arrays `seeds` and `sites` of each region's members by position (ties by name); a row holds a whole region."""
+    place = sites.select("site", "chr", "pos")
+    x = members(found, place, width).join(place.select("site", "pos"), "site").join(seeds.select("site").distinct().withColumn("is_seed", F.lit(True)), "site", "left")
+    at = F.struct("pos", "site")
+    listed = lambda v: F.transform(F.sort_array(F.collect_list(v)), lambda m: m["site"])
+    return found.join(x.groupBy("id").agg(listed(F.when(F.col("is_seed"), at)).alias("seeds"), listed(at).alias("sites")), "id", "left")
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Regions by natural order of chromosomes, then position."""
+    return found.orderBy(ordering.natural_key(F.col("chr").cast("string")), "start", "end")
+
+
 def region_values(found: DataFrame, cells: DataFrame, place: DataFrame, seed_sites: DataFrame, sheet: DataFrame, statistic: str, width: int) -> DataFrame:
     """Case and control statistics per region over its seeds and (prefix sites_) over all its sites; a member without a mean nulls the means."""
     known = cells.join(F.broadcast(sheet.select("sample", "is_case")), "sample")  # a row per sample

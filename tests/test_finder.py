@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.plans.finder import Options, annotated, find_regions, marker_test, scored
+from strandline.plans.finder import Options, annotated, find_regions, marker_test, ordered, scored, with_members
 
 SHEET = [(f"S{i}", "A" if i < 4 else "B", i > 3) for i in range(1, 7)]
 
@@ -37,6 +37,21 @@ def test_last_seed_is_kept_with_statistics(spark):
     assert r["sites_cases_beta_min"] == pytest.approx(0.23)
 
 
+def test_members_and_order(spark):
+    from strandline.sources import writers
+
+    rows = {f"{c}_{k}": [x + 0.01 * k for x in UP["cgA"]] for c in ("chr10", "chr2") for k in (3, 1, 2)}
+    t = tables(spark, rows, {n: (n.split("_")[0], 100 * int(n[-1])) for n in rows})
+    seeds = t[2].where(~F.col("site").endswith("2"))
+    found = find_regions(t[0], t[1], seeds, t[3], LOOSE)
+    listed = ordered(with_members(found, t[1], seeds.unionByName(seeds)))
+    got = [(r["chr"], r["seeds"], r["sites"]) for r in listed.collect()]
+    assert got == [(c, [f"{c}_1", f"{c}_3"], [f"{c}_1", f"{c}_2", f"{c}_3"]) for c in ("chr2", "chr10")]
+    values = {r["site"]: r["S1"] for r in writers.member_values(listed, t[0], ["S1"]).collect()}
+    assert values == {n: pytest.approx(v[0]) for n, v in rows.items()}
+    assert with_members(found.limit(0), t[1], seeds).count() == 0
+
+
 def test_rescue_by_delta(spark):
     rows = {"s1": [0.10, 0.85, 0.40, 0.20, 0.75, 0.35], "s2": [0.80, 0.20, 0.60, 0.70, 0.10, 0.90]}
     t = tables(spark, rows, {"s1": ("chr1", 100), "s2": ("chr1", 200)})
