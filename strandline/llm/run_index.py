@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .tools import checkpointed, id_of, parts, text_of, tidy
+from .tools import checkpointed, gathered, id_of, parts, text_of, tidy
 from .words import hash_spans, mix, text_bytes
 
 #: Bytes of a match.
@@ -44,9 +44,12 @@ SPAN = 50
 #: Bytes of an anchor; a window holds WIDTH of them.
 GRAM = 24
 WIDTH = SPAN - GRAM + 1
-#: Most rows of a block, and bytes of text after which it is closed.
-BLOCK_ROWS = 1000
+#: Most rows of a block, and bytes of text after which it is closed.  Every block writes to every range, so the number of
+#: messages is the product of both numbers, which grow with the input: a block is gathered from as many batches as it takes.
+BLOCK_ROWS = 10_000
 BLOCK_BYTES = 8 << 20
+#: Blocks to a range, where the session has no more partitions than that.
+PER_RANGE = 2
 _SEP = 0xFF  # never a byte of UTF-8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,7 +88,7 @@ class Block:
         self.table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
         self.ids = self.table.column("doc_id").to_numpy()
         self.raw, self.off = text_bytes(self.table.column("text"))
-        found = [self._anchors(a, min(len(self.ids), a + 200)) for a in range(0, len(self.ids), 200)]
+        found = [self._anchors(a, min(len(self.ids), a + 64)) for a in range(0, len(self.ids), 64)]
         self.hash, self.first, self.count, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
 
     def _anchors(self, a: int, b: int) -> tuple[np.ndarray, ...]:
@@ -99,7 +102,7 @@ class Block:
         long = np.flatnonzero(np.diff(off) >= SPAN)
         inside[off[long]] += 1
         inside[off[long + 1] - SPAN + 1] -= 1
-        inside = np.cumsum(inside[:n]).astype(bool)
+        inside = np.cumsum(inside[:n], dtype=np.int8).astype(bool)
         new = inside.copy()
         new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
         new[off[long]] = True
@@ -143,18 +146,12 @@ def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the scan as compressed blocks, each of at most BLOCK_ROWS rows and about BLOCK_BYTES of text."""
     small = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        off = text_bytes(batch.column("text"))[1]
-        a = 0
-        while a < batch.num_rows:
-            b = min(batch.num_rows, a + BLOCK_ROWS, max(a + 1, int(np.searchsorted(off, off[a] + BLOCK_BYTES))))
-            part = batch.slice(a, b - a)
-            sink = pa.BufferOutputStream()
-            kept = part.drop_columns(["rid"])
-            with pa.ipc.new_stream(sink, kept.schema) as out:
-                out.write_batch(kept)
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("rid")[0].as_py()], pa.int64()), pa.array([small.compress(sink.getvalue().to_pybytes())], pa.binary())], ["block", "payload"])
-            a = b
+    for batch in gathered(batches, BLOCK_BYTES, BLOCK_ROWS):
+        sink = pa.BufferOutputStream()
+        kept = batch.drop_columns(["rid"])
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_batch(kept)
+        yield pa.RecordBatch.from_arrays([batch.column("rid").slice(0, 1), pa.array([small.compress(sink.getvalue().to_pybytes())], pa.binary())], ["block", "payload"])
 
 
 def _send_anchors(ranges: int):
@@ -357,7 +354,7 @@ def _match_shard(table: pa.Table) -> pa.Table:
     # of the rest only anchors with several contexts need the index
     _, inverse, many = np.unique(anchor[head], return_inverse=True, return_counts=True)
     wanted = head[many[inverse] > 1]
-    step = 40_000  # texts of an index; an anchor's contexts stay together unless it alone has more
+    step = 5_000  # texts of an index, which stays small enough for a cache; an anchor's contexts stay together unless it alone has more
     if len(wanted):
         wanted = wanted[np.argsort(anchor[wanted], kind="stable")]
         group = np.flatnonzero(np.concatenate([[True], anchor[wanted][1:] != anchor[wanted][:-1]]))
@@ -391,9 +388,10 @@ def _removed(block: Block, bits: pa.Table, marks: pa.Table, ranges: int, shards:
         each[block.ids[block.doc[chosen]] > lead] = np.uint32(0xFFFFFFFF)
         for k in range(WIDTH):
             hit = chosen[((each >> np.uint32(k)) & np.uint32(1)).astype(bool) & (block.count[chosen] > k)]
-            np.add.at(edge, block.first[hit] + k, 1)
-            np.add.at(edge, block.first[hit] + k + SPAN, -1)
-    return np.cumsum(edge[:-1]) > 0
+            start = block.first[hit] + k  # a window has one anchor, so no place comes twice
+            edge[start] += 1
+            edge[start + SPAN] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _finish(ranges: int, shards: int, schema: pa.Schema):
@@ -435,7 +433,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, fields: list[str], rest
     rows = docs.select(F.coalesce(id_of(docs, id_col), F.lit(int(_NO_ID))).alias("doc_id"), text_of(docs, text_col).alias("text"), F.monotonically_increasing_id().alias("rid"), *([F.struct(*(docs[c] for c in rest)).alias("rest")] if rest else []))
     ways = parts(spark)
     blocks = checkpointed(rows.mapInArrow(_pack_blocks, "block long, payload binary"))
-    ranges = shards = max(ways, min(blocks.count(), 8 * ways))
+    ranges = shards = max(ways, -(-blocks.count() // PER_RANGE))
     asked = blocks.mapInArrow(_send_anchors(ranges), "part int, block long, keys binary, bits binary")
     bits = checkpointed(asked.groupBy("part").applyInArrow(_shared_bits, "part int, block long, bits binary"))
     dealt = blocks.repartition(ways, "block")

@@ -72,11 +72,15 @@ def shared(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(_WithCode(value))
 
 
+def _ends(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, rows: int = 2000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches in slices of at most `rows` rows and about `most` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        end = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        end = _ends(batch, column)
         a = 0
         while a < batch.num_rows:
             b = min(batch.num_rows, a + rows, max(a + 1, int(np.searchsorted(end, end[a] + most, side="right")) - 1))
@@ -84,6 +88,26 @@ def byte_slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, rows: in
             a = b
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int, rows: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """All rows in batches of at most `rows` rows and about `most` bytes of text, each put together from as many of the given
+    ones as it takes; a longer text is a batch of its own."""
+    held, size, many = [], 0, 0
+    for batch in batches:
+        end = _ends(batch, column)
+        a = 0
+        while a < batch.num_rows:
+            fits = int(np.searchsorted(end, end[a] + most - size, side="right")) - 1
+            b = min(batch.num_rows, a + rows - many, fits if held else max(a + 1, fits))
+            if b > a:
+                held.append(batch.slice(a, b - a))
+                size, many, a = size + int(end[b] - end[a]), many + b - a, b
+            if a < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size, many = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a checkpointed frame that no unfinished plan reads any more."""
     held = df._jdf.queryExecution().logical().rdd().getCheckpointFile()

@@ -372,6 +372,23 @@ def test_repeats(spark, corpus):
     assert run_index.remove_repeats(frame(spark, []).limit(0)).count() == 0
 
 
+def test_blocks_of_repeats_gather_over_batches():
+    sizes = [[300, 400, 5000, 1], [200, 200], [], [900, 100, 100, 100, 100], *([[10] * 7] * 300)]
+    texts, batches = [], []
+    for row in sizes:
+        mine = [f"{len(texts) + k:04d} ".ljust(n, "x")[:n] for k, n in enumerate(row)]
+        batches.append(pa.record_batch([pa.array(range(len(texts), len(texts) + len(row)), pa.int64()), pa.array(mine, pa.string()), pa.array(range(len(texts), len(texts) + len(row)), pa.int64())], ["doc_id", "text", "rid"]))
+        texts += mine
+    for most, rows in ((1000, 100), (100, 3), (1, 1), (1 << 20, 1 << 20)):
+        got = list(tools.gathered(iter(batches), most, rows))
+        assert [t.as_py() for b in got for t in b.column("text")] == texts
+        assert all(b.num_rows <= rows and (b.num_rows == 1 or sum(len(t.as_py()) for t in b.column("text")) <= most) for b in got)
+        assert all(a.num_rows == rows or sum(len(t.as_py()) for t in a.column("text")) + len(b.column("text")[0].as_py()) > most for a, b in zip(got, got[1:], strict=False))
+    got = list(run_index._pack_blocks(iter(batches)))  # the number of batches doesn't set that of blocks, as each block writes to each range
+    assert [b.column("block").to_pylist() for b in got] == [[0]]
+    assert len(run_index.Block(got[0].column("payload")[0].as_py()).ids) == len(texts)
+
+
 def test_exact(spark, corpus):
     got = by_id(exact_dedup.exact_groups(frame(spark, corpus)))
     norm = {i: re.sub("[\x20\x09-\x0d]+", " ", t or "") for i, t in corpus}
