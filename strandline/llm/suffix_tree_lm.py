@@ -42,11 +42,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import byte_slices, checkpointed, discard, id_of, parts, text_of, tidy
+from .tools import checkpointed, discard, gathered, id_of, parts, text_of, tidy
 from .words import END, Words, cuts_of, mix, split_words
 
-#: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, gathered from as many batches as it takes; a longer text is a block of its own.  A context is
+#: sent once for each block that has it, so larger blocks send less.
+BLOCK_BYTES = 12 << 20
 #: Blocks whose messages to a range are merged, or answered, at once.
 FAN_IN = 512
 #: Length of context after which a block keeps only the tokens that a longer one can predict.
@@ -124,7 +125,7 @@ def _sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows as blocks, named by the first row's number: identifiers, which rows are held out, tokens per row, the
     distinct words, how often each occurs, and every token as its word's place in order of that number."""
-    for batch in byte_slices(batches, BLOCK_BYTES, rows=1 << 20):
+    for batch in gathered(batches, BLOCK_BYTES, 1 << 20):
         words = split_words(batch.column("text"))
         keys, word = _ranked(_sequence(words)[0])
         times = np.bincount(word, minlength=len(keys)).astype(np.uint32)

@@ -127,6 +127,14 @@ def test_lm_is_the_whole_tree(spark, corpus, monkeypatch, depth, fan):
         assert math.isclose(got[i]["score"], sum(math.log10(p(tuple(x[max(0, k - depth) : k]), x[k])) for k in range(len(x))), abs_tol=1e-6)
 
 
+def test_blocks_of_the_tree_gather_over_batches():
+    batches = [pa.record_batch([pa.array([3 * k, 3 * k + 1, 3 * k + 2], pa.int64()), pa.array(["a b", None, "c " * k], pa.string()).fill_null(""), pa.array([False, True, False]), pa.array([3 * k, 3 * k + 1, 3 * k + 2], pa.int64())], ["doc_id", "text", "held_out", "rid"]) for k in range(50)]
+    got = list(suffix_tree_lm._pack_blocks(iter(batches)))
+    assert [b.column("block").to_pylist() for b in got] == [[0]]
+    block = suffix_tree_lm.Block(got[0].column("payload")[0].as_py(), 0, 0, suffix_tree_lm.Settings())
+    assert block.ids.tolist() == list(range(150)) and block.n_tokens.tolist() == [n for k in range(50) for n in (3, 1, k + 1)]
+
+
 def test_suffix_tree_sums_to_one():
     s = suffix_tree_lm.Settings(kl_min=0.0)
     r = random.Random(9)
