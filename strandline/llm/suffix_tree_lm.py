@@ -334,11 +334,10 @@ def _asked(payload: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(context, dtype=np.uint64), rest, np.repeat(np.arange(len(sizes)), sizes), x, n, logp
 
 
-def merged(table: pa.Table) -> pa.Table:
-    """What several blocks ask of a range, as one row: every context and child once, its counts added."""
+def combined(messages: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """What several blocks ask of a range, as _asked gives it: every context and child once, its counts added."""
     context, rest, own, x, n, logp, before = [], [], [], [], [], [], 0
-    for payload in table.column("payload"):
-        got = _asked(payload.as_py())
+    for got in messages:
         for held, v in zip((context, rest, own, x, n, logp), (*got[:2], got[2] + before, *got[3:]), strict=True):
             held.append(v)
         before += len(got[0])
@@ -351,8 +350,14 @@ def merged(table: pa.Table) -> pa.Table:
     head = _heads(pair[order])
     n = np.add.reduceat(n[order], head) if len(head) else n
     head = order[head]
-    sizes = np.bincount(own[head], minlength=len(context)).astype(np.uint32)
-    row = {"part": table.column("part")[0].as_py(), "chunk": table.column("chunk")[0].as_py() // FAN_IN, "block": 0, "payload": _squeezed(_steps(context), sizes, rest, x[head], n.astype(np.uint32), logp[head])}
+    return context, rest, own[head], x[head], n.astype(np.uint32), logp[head]
+
+
+def merged(table: pa.Table) -> pa.Table:
+    """What several blocks ask of a range, as one row."""
+    context, rest, own, x, n, logp = combined([_asked(payload.as_py()) for payload in table.column("payload")])
+    sizes = np.bincount(own, minlength=len(context)).astype(np.uint32)
+    row = {"part": table.column("part")[0].as_py(), "chunk": table.column("chunk")[0].as_py() // FAN_IN, "block": 0, "payload": _squeezed(_steps(context), sizes, rest, x, n, logp)}
     return pa.Table.from_pylist([row], schema=_ASKED)
 
 
@@ -364,14 +369,14 @@ def _paired(own: np.ndarray, x: np.ndarray) -> np.ndarray:
 _merge = tidy(lambda table: merged(table))
 
 
-def judged(payload: bytes, part: int, length: int, run_: _Run) -> tuple[np.ndarray, ...]:
+def judged(asked: tuple[np.ndarray, ...], part: int, length: int, run_: _Run) -> tuple[np.ndarray, ...]:
     """Of a range's contexts: occurrences, those without a stored child, flags, first child (one more at the end); and the children.
 
     At length 0 the contexts are words, and in place of the second an identifier of the word, 0 for one that training rows
     don't have; frequent words have small ones.
     """
     s, total = run_.settings, run_.total
-    context, rest, own, x, n, logp = _asked(payload)
+    context, rest, own, x, n, logp = asked
     if not length:
         seen = np.flatnonzero(rest)
         order = seen[np.argsort(-rest[seen].astype(np.int64), kind="stable")]
@@ -395,15 +400,14 @@ def judged(payload: bytes, part: int, length: int, run_: _Run) -> tuple[np.ndarr
     return context, whole.astype(np.uint64), rare.astype(np.uint64), flags.astype(np.uint8), np.searchsorted(own, np.arange(many + 1)), x, n
 
 
-def answered(asked: pa.Table, payload: bytes, length: int, run_: _Run) -> pa.Table:
-    """The answers to each block, from the merged row of its range."""
+def answered(asked: pa.Table, messages: Iterator[tuple[np.ndarray, ...]], whole_range: tuple[np.ndarray, ...], length: int, run_: _Run) -> pa.Table:
+    """The answers to the message of each block, from all that is asked of its range."""
     s, part = run_.settings, asked.column("part")[0].as_py()
-    context, whole, rest, flags, first, x, n = judged(payload, part, length, run_)
+    context, whole, rest, flags, first, x, n = judged(whole_range, part, length, run_)
     pairs = _paired(np.repeat(np.arange(len(context)), np.diff(first)), x)
     count, kinds = (int(whole.sum()), int((whole > 0).sum())) if not length else (0, 0)
     out = []
-    for block, message in zip(asked.column("block").to_pylist(), asked.column("payload").to_pylist(), strict=True):
-        mine, _, own, child, _, _ = _asked(message)
+    for block, (mine, _, own, child, _, _) in zip(asked.column("block").to_pylist(), messages, strict=True):
         at = np.searchsorted(context, mine)
         k = n[np.searchsorted(pairs, _paired(at[own], child))] if len(child) else n[:0]
         f = flags[at]
@@ -416,7 +420,10 @@ def answered(asked: pa.Table, payload: bytes, length: int, run_: _Run) -> pa.Tab
 def _answer(length: int, run_: _Run):
     @tidy
     def run(asked: pa.Table, row: pa.Table) -> pa.Table:
-        return answered(asked, row.column("payload")[0].as_py(), length, run_) if asked.num_rows else _TOLD.empty_table()
+        if not asked.num_rows:
+            return _TOLD.empty_table()
+        messages = (_asked(payload.as_py()) for payload in asked.column("payload"))
+        return answered(asked, messages, _asked(row.column("payload")[0].as_py()), length, run_)
 
     return run
 
@@ -424,7 +431,8 @@ def _answer(length: int, run_: _Run):
 def _merge_and_answer(length: int, run_: _Run):
     @tidy
     def run(asked: pa.Table) -> pa.Table:
-        return answered(asked, merged(asked).column("payload")[0].as_py(), length, run_)
+        messages = [_asked(payload.as_py()) for payload in asked.column("payload")]
+        return answered(asked, messages, combined(messages), length, run_)
 
     return run
 
