@@ -69,24 +69,30 @@ class Settings:
     depth: int = 4
 
 
-def _squeezed(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed byte planes; unsigned numbers without the planes that are zero throughout."""
-    head, body = [], []
-    for a in arrays:
-        used = max(1, (int(a.max()).bit_length() + 7) // 8) if a.dtype.kind == "u" and len(a) else a.itemsize
-        head += [len(a), used]
-        body.append(a.view(np.uint8).reshape(-1, a.itemsize)[:, :used].T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, np.int64).tobytes() + b"".join(body))
+def _squeezed(*arrays: np.ndarray, by: zstandard.ZstdCompressor | None = None) -> bytes:
+    """Arrays as compressed byte planes; unsigned numbers without the planes that are zero throughout.  Whoever packs many
+    hands over a compressor, as a new one takes longer than a small message."""
+    used = [max(1, (int(a.max()).bit_length() + 7) // 8) if a.dtype.kind == "u" and len(a) else a.itemsize for a in arrays]
+    at = 16 * len(arrays)
+    out = np.empty(at + sum(len(a) * k for a, k in zip(arrays, used, strict=True)), np.uint8)
+    out[:at].view(np.int64)[:] = [v for a, k in zip(arrays, used, strict=True) for v in (len(a), k)]
+    for a, k in zip(arrays, used, strict=True):
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize)
+        for j in range(k):
+            out[at : at + len(a)] = planes[:, j]
+            at += len(a)
+    return (by or zstandard.ZstdCompressor(level=1)).compress(out)
 
 
 def _expanded(data: bytes, *types: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     out, at = [], 16 * len(types)
-    for (n, used), t in zip(np.frombuffer(raw, np.int64, 2 * len(types)).reshape(-1, 2).tolist(), types, strict=True):
+    for (n, used), t in zip(raw[:at].view(np.int64).reshape(-1, 2).tolist(), types, strict=True):
         planes = np.zeros((n, np.dtype(t).itemsize), np.uint8)
-        planes[:, :used] = np.frombuffer(raw, np.uint8, n * used, at).reshape(used, n).T
+        for j in range(used):
+            planes[:, j] = raw[at : at + n]
+            at += n
         out.append(planes.view(t).ravel())
-        at += n * used
     return out
 
 
@@ -95,18 +101,53 @@ def _heads(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and the keys in it.
+
+    Sorting numbers is several times faster than sorting their places, so each key is sorted with its place in its lower
+    bits.  Where both need more than 64 bits the key gives up its own lowest; keys that only those tell apart may come
+    out of order, and then the places are sorted.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64), keys
+    low = len(keys).bit_length()
+    drop = max(0, int(keys.max()).bit_length() + low - 64)
+    s = keys >> np.uint64(drop) if drop else keys.copy()
+    s <<= np.uint64(low)
+    s |= np.arange(len(keys), dtype=np.uint64)
+    s.sort()
+    order = (s & np.uint64((1 << low) - 1)).view(np.int64)
+    if not drop:
+        s >>= np.uint64(low)
+        return order, s
+    s = keys[order]
+    if (s[1:] < s[:-1]).any():
+        order = np.argsort(keys)
+        s = keys[order]
+    return order, s
+
+
+def _stretches(many: int, head: np.ndarray) -> np.ndarray:
+    """Number of the stretch that each of many places is in."""
+    step = np.zeros(many, np.int8)
+    step[head[1:]] = 1
+    return np.cumsum(step, dtype=np.int32)
+
+
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and the place among them of each key."""
-    order = np.argsort(keys)
-    s = keys[order]
+    order, s = _sorted(keys)
     head = _heads(s)
-    step = np.zeros(len(s), np.int64)
-    step[head] = 1
-    rank = np.empty(len(s), np.int64)
-    rank[order] = np.cumsum(step) - 1
+    rank = np.empty(len(s), np.int32)
+    rank[order] = _stretches(len(s), head)
     return s[head], rank
 
 
+def _totals(values: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sums of the stretches that begin at head."""
+    return np.add.reduceat(values, head, dtype=np.uint32) if len(head) else np.zeros(0, np.uint32)
+
+
 def _sums(rank: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rank, weights=weights, minlength=n).astype(np.uint32)
 
@@ -145,18 +186,20 @@ class Block:
 
     doc: row of each token; line: stretch of tokens that runs don't leave.  p: P(token | longest retained context so far).
     rare: whether the run of the last length that begins here is known to have less than `least` occurrences; open:
-    whether contexts that end in the one of the last length here can be retained; chain: key of the run of the present length that begins here.
+    whether contexts that end in the one of the last length here can be retained.  name, count: of each word.  place, keys:
+    number of the run of the present length that begins here, and the key of each number, as long as every run has one: words
+    at length 1, the children of words at length 2.  A run of three can be asked about whose first two words were not.
     """
 
+    place = keys = ready = None
+
     def __init__(self, payload: bytes, total: int, vocabulary: int, settings: Settings):
         self.s, self.total, self.vocabulary, self.length = settings, total, vocabulary, 0
         self.ids, held, self.n_tokens, steps, times, place = _expanded(payload, np.int64, np.uint8, np.uint32, np.uint64, np.uint32, np.uint32)
         self.held = held.astype(bool)
         self.doc = self.line = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.n_tokens)
         self.train = ~self.held[self.doc]
-        self.context, self.word = np.cumsum(steps, dtype=np.uint64), _by_number(times)[place]
-        self.rest = _sums(self.word, self.train, len(self.context))
-        self.sizes, self.x, self.n, self.logp = np.zeros(len(self.context), np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.context, self.word = np.cumsum(steps, dtype=np.uint64), _by_number(times).astype(np.uint32)[place]
 
     _ROWS = (("ids", np.int64), ("held", np.uint8), ("n_tokens", np.uint32), ("known", np.int64), ("base", np.float64), ("done", np.float64))
     _TOKENS = (("doc", np.int32), ("line", np.int32), ("train", np.uint8), ("id", np.uint64), ("p", np.float64), ("rare", np.uint8), ("open", np.uint8))
@@ -164,8 +207,8 @@ class Block:
     def carried(self) -> bytes:
         """Sums per row, and the tokens that runs of the present length, or longer ones about them, have."""
         n, k = len(self.ids), self.length
-        self.known = np.bincount(self.doc, weights=self.count > 0, minlength=n).astype(np.int64)
-        self.base = np.bincount(self.doc, weights=np.log10(self.count + self.s.alpha), minlength=n) - self.n_tokens * np.log10(self.total + self.s.alpha * (self.vocabulary + 1))
+        self.known = np.bincount(self.doc, weights=(self.count > 0)[self.word], minlength=n).astype(np.int64)
+        self.base = np.bincount(self.doc, weights=np.log10(self.count + self.s.alpha)[self.word], minlength=n) - self.n_tokens * np.log10(self.total + self.s.alpha * (self.vocabulary + 1))
         wanted = np.zeros(len(self.doc), bool)
         at = self.at if k <= self.s.depth else self.at[:0]
         for j in range(k - self.s.depth, k + 1):
@@ -178,7 +221,8 @@ class Block:
         self.done = np.bincount(self.doc, weights=np.where(done, np.log10(self.p), 0.0), minlength=n)
         self.p[done] = 1.0
         wanted = np.flatnonzero(wanted)
-        tokens = {c: getattr(self, c)[wanted] for c, _ in self._TOKENS if c != "line"}
+        tokens = {c: getattr(self, c)[wanted] for c, _ in self._TOKENS if c not in ("line", "id")}
+        tokens["id"] = self.name[self.word[wanted]]
         cut = np.ones(len(wanted), bool)
         cut[1:] = (wanted[1:] != wanted[:-1] + 1) | (tokens["doc"][1:] != tokens["doc"][:-1])
         tokens["line"] = np.cumsum(cut)
@@ -191,56 +235,57 @@ class Block:
         length, *held = _expanded(payload, np.int64, *(t for _, t in self._ROWS + self._TOKENS))
         for (c, t), v in zip(self._ROWS + self._TOKENS, held, strict=True):
             setattr(self, c, v.astype(bool) if t is np.uint8 else v)
-        self.word = _ranked(self.id)[1]
+        self.name, word = _ranked(self.id)
+        self.word = word.astype(np.uint32)
         self.length = int(length[0])
-        self.chain = mix(self.id * _MULT)
-        for k in range(1, self.length):
-            self._lengthen(k)
         self._find()
-        self._runs()
         return self
 
-    def _lengthen(self, k: int) -> None:
-        run = self.chain[: max(0, len(self.chain) - k)]
-        run[:] = mix(run * _MULT + self.id[k:])
-
     def rows(self, name: int, ranges: int, chunks: int) -> list[dict]:
         """What is asked of each range about the runs of the present length."""
-        if self.length and not hasattr(self, "own_child"):
-            self._runs()
-        cut, child = cuts_of(self.context, ranges), np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        rest, sizes, *children = self._counted()
+        cut, child = cuts_of(self.context, ranges), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         chunk = int(mix(np.array([name], np.int64).view(np.uint64))[0] % np.uint64(chunks))
+        by = zstandard.ZstdCompressor(level=1)
         return [
-            {"part": p, "chunk": chunk, "block": name, "payload": _squeezed(_steps(self.context[a:b]), self.sizes[a:b], self.rest[a:b], *(v[child[a] : child[b]] for v in (self.x, self.n, self.logp)))}
+            {"part": p, "chunk": chunk, "block": name, "payload": _squeezed(_steps(self.context[a:b]), sizes[a:b], rest[a:b], *(v[child[a] : child[b]] for v in children), by=by)}
             for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))
             if b > a
         ]
 
     def take(self, answers: list[dict]) -> None:
         """Answers about the present length, by range; then come the runs of the next length."""
-        if self.length and not hasattr(self, "own_child"):
+        if self.length:
             self._runs()
         told = [_expanded(r["payload"], np.uint64, np.uint64, np.uint8, np.uint32) for r in sorted(answers, key=lambda r: r["part"])]
         whole, rest, flags, n = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8, np.uint32))
         size = len(self.doc)
         if not self.length:  # by word, then by token
-            count, name = whole.astype(np.int64), rest
-            p = (count + self.s.alpha) / (self.total + self.s.alpha * (self.vocabulary + 1))
-            self.count, self.id, self.p, self.rare, self.chain = (v[self.word] for v in (count, name, p, count < self.s.least, mix(name * _MULT)))
+            self.count, self.name = whole.astype(np.int64), rest
+            p = (self.count + self.s.alpha) / (self.total + self.s.alpha * (self.vocabulary + 1))
+            self.p, self.rare = p[self.word], (self.count < self.s.least)[self.word]
             self.open = np.ones(size, bool)
+            self.place, self.keys = self.word, mix(self.name * _MULT)
         else:
-            stored = np.append(n, 0)[self.own_child] >= self.s.least  # the last one stands for no child
-            kept = np.flatnonzero((flags & _KEPT)[self.own])
+            n = np.append(n, 0)  # the last one stands for no child
+            often = n >= self.s.least
+            child = np.empty(len(self.at), np.int32)  # of each run
+            child[self.order] = np.where(self.real, np.cumsum(self.real) - 1, len(n) - 1).astype(np.int32)[_stretches(len(child), self.head)]
+            stored = often[child]
+            kept = np.flatnonzero(((flags & _KEPT) > 0)[self.own])
             own, to = self.own[kept], self.at[kept] + self.length
-            seen = np.where(stored[kept], np.append(n, 0)[self.own_child[kept]], 0)
-            self.p[to] = (seen + (rest[own].astype(float) + self.s.mu) * self.p[to]) / (whole[own].astype(float) + self.s.mu)
+            seen = (n * often)[child[kept]]
+            self.p[to] = (seen + (rest.astype(float) + self.s.mu)[own] * self.p[to]) / (whole.astype(float) + self.s.mu)[own]
             self.rare[:-1] |= self.rare[1:]
             self.rare[self.at[~stored]] = True
             self.open = np.zeros(size, bool)
-            self.open[self.at[(flags & _OPEN)[self.own] > 0]] = True
-            self._lengthen(self.length)
+            self.open[self.at[((flags & _OPEN) > 0)[self.own]]] = True
+            self.place = self.keys = None
+            if self.length == 1:
+                self.place = np.zeros(size, np.int32)
+                self.place[self.at] = child
+                self.keys = mix(self.context[self.pair_own[self.real]] * _MULT + self.name[self.pair_word[self.real]])
         self.length += 1
-        self.__dict__.pop("own_child", None)
         self._find()
 
     def _find(self) -> None:
@@ -253,25 +298,58 @@ class Block:
         self.at = np.flatnonzero(live)
 
     def _runs(self) -> None:
-        """Distinct contexts and children of these runs, in the order that they are asked about."""
-        k = self.length
-        self.context, self.own = _ranked(self.chain[self.at])
-        to = self.at + k
+        """Distinct contexts of these runs, which each run has, and the runs in order of context and next word: where a pair
+        begins, its context and word, and whether it is a child."""
+        if self.ready == self.length:
+            return
+        self.ready = self.length
+        self.context, self.own = self._contexts()
         stored = ~self.rare[self.at + 1]  # a next word seen less than `least` times even after the suffix is no child
-        pair, rank = _ranked((self.own.astype(np.uint64) << np.uint64(32)) | np.where(stored, self.word[to] + 1, 0).astype(np.uint64))
-        real = (pair & np.uint64(0xFFFFFFFF)) > 0
-        context = (pair >> np.uint64(32)).astype(np.int64)
-        counts = _sums(rank, self.train[self.at], len(pair))
-        self.rest = _sums(context[~real], counts[~real], len(self.context))
-        self.sizes = np.bincount(context[real], minlength=len(self.context)).astype(np.uint32)
-        some = np.zeros(len(pair), np.int64)
-        some[rank] = to  # a token of each pair
-        some = some[real]
-        self.x, self.n = self.id[some], counts[real]
-        self.logp = self.count[some].astype(np.uint32) if k == 1 else np.log(self.p[some]).astype(np.float32).view(np.uint32)
-        place = np.full(len(pair), int(real.sum()), np.int64)
-        place[real] = np.arange(int(real.sum()))
-        self.own_child = place[rank]
+        bits = np.uint64(len(self.name).bit_length())
+        pair = self.own.astype(np.uint64)
+        pair <<= bits
+        pair |= np.where(stored, self.word[self.at + self.length] + np.uint32(1), np.uint32(0))
+        self.order, pair = _sorted(pair)
+        self.head = _heads(pair)
+        pair = pair[self.head]
+        word = pair & ((np.uint64(1) << bits) - np.uint64(1))
+        self.real = word > 0
+        self.pair_own, self.pair_word = (pair >> bits).view(np.int64), word.view(np.int64) - 1
+
+    def _counted(self) -> tuple[np.ndarray, ...]:
+        """Of each context the training rows' runs without a child and the number of children; of each child in order the
+        word, how often training rows have it, and what the parent says of it."""
+        if not self.length:
+            none = np.zeros(0, np.uint32)
+            return _sums(self.word, self.train, len(self.context)), np.zeros(len(self.context), np.uint32), none.astype(np.uint64), none, none
+        self._runs()
+        many, real = len(self.context), self.real
+        counts = _totals(self.train[self.at][self.order], self.head)
+        rest = _sums(self.pair_own[~real], counts[~real], many)
+        sizes = np.bincount(self.pair_own[real], minlength=many).astype(np.uint32)
+        word = self.pair_word[real]
+        if self.length == 1:
+            logp = self.count[word].astype(np.uint32)
+        else:
+            some = self.at[self.order[self.head[real]]] + self.length  # a token of each
+            logp = np.log(self.p[some]).astype(np.float32).view(np.uint32)
+        return rest, sizes, self.name[word], counts[real], logp
+
+    def _contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of these runs, sorted, and which each has."""
+        if self.place is None:
+            key = mix(self.name[self.word[self.at]] * _MULT)
+            for k in range(1, self.length):
+                key = mix(key * _MULT + self.name[self.word[self.at + k]])
+            return _ranked(key)
+        place = self.place[self.at]
+        used = np.zeros(len(self.keys), bool)
+        used[place] = True
+        used = np.flatnonzero(used)
+        order, context = _sorted(self.keys[used])
+        own = np.zeros(len(self.keys), np.int32)
+        own[used[order]] = np.arange(len(used), dtype=np.int32)
+        return context, own[place]
 
     def scores(self) -> dict[str, np.ndarray]:
         n = len(self.ids)
@@ -334,8 +412,9 @@ def _asked(payload: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(context, dtype=np.uint64), rest, np.repeat(np.arange(len(sizes)), sizes), x, n, logp
 
 
-def combined(messages: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """What several blocks ask of a range, as _asked gives it: every context and child once, its counts added."""
+def combined(messages: list[tuple[np.ndarray, ...]]) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """What several blocks ask of a range, as _asked gives it: every context and child once, its counts added; and the place
+    there of each message's contexts and children, message after message."""
     context, rest, own, x, n, logp, before = [], [], [], [], [], [], 0
     for got in messages:
         for held, v in zip((context, rest, own, x, n, logp), (*got[:2], got[2] + before, *got[3:]), strict=True):
@@ -345,17 +424,19 @@ def combined(messages: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     context, rank = _ranked(context)
     rest = np.bincount(rank, weights=rest, minlength=len(context)).astype(np.uint32)
     own = rank[own]
-    pair = _paired(own, x)
-    order = np.argsort(pair)
-    head = _heads(pair[order])
-    n = np.add.reduceat(n[order], head) if len(head) else n
+    bits = np.uint64(int(x.max()).bit_length() if len(x) else 0)
+    order, pair = _sorted((own.astype(np.uint64) << bits) | x)
+    head = _heads(pair)
+    child = np.empty(len(x), np.int32)
+    child[order] = _stretches(len(x), head)
+    n = _totals(n[order], head)
     head = order[head]
-    return context, rest, own[head], x[head], n.astype(np.uint32), logp[head]
+    return (context, rest, own[head], x[head], n, logp[head]), rank, child
 
 
 def merged(table: pa.Table) -> pa.Table:
     """What several blocks ask of a range, as one row."""
-    context, rest, own, x, n, logp = combined([_asked(payload.as_py()) for payload in table.column("payload")])
+    (context, rest, own, x, n, logp), _, _ = combined([_asked(payload.as_py()) for payload in table.column("payload")])
     sizes = np.bincount(own, minlength=len(context)).astype(np.uint32)
     row = {"part": table.column("part")[0].as_py(), "chunk": table.column("chunk")[0].as_py() // FAN_IN, "block": 0, "payload": _squeezed(_steps(context), sizes, rest, x, n, logp)}
     return pa.Table.from_pylist([row], schema=_ASKED)
@@ -370,7 +451,7 @@ _merge = tidy(lambda table: merged(table))
 
 
 def judged(asked: tuple[np.ndarray, ...], part: int, length: int, run_: _Run) -> tuple[np.ndarray, ...]:
-    """Of a range's contexts: occurrences, those without a stored child, flags, first child (one more at the end); and the children.
+    """Of a range's contexts: occurrences, those without a stored child, flags.
 
     At length 0 the contexts are words, and in place of the second an identifier of the word, 0 for one that training rows
     don't have; frequent words have small ones.
@@ -382,7 +463,7 @@ def judged(asked: tuple[np.ndarray, ...], part: int, length: int, run_: _Run) ->
         order = seen[np.argsort(-rest[seen].astype(np.int64), kind="stable")]
         name = np.zeros(len(rest), np.uint64)
         name[order] = np.arange(len(order), dtype=np.uint64) * np.uint64(run_.ranges) + np.uint64(part + 1)
-        return context, rest.astype(np.uint64), name, np.zeros(len(rest), np.uint8), np.zeros(len(rest) + 1, np.int64), x, n
+        return rest.astype(np.uint64), name, np.zeros(len(rest), np.uint8)
     many = len(context)
     logp = np.log((logp + s.alpha) / (total + s.alpha * (run_.vocabulary + 1))).astype(np.float32) if length == 1 else logp.view(np.float32)
     stored = n >= s.least
@@ -397,23 +478,23 @@ def judged(asked: tuple[np.ndarray, ...], part: int, length: int, run_: _Run) ->
     kept = (gained > penalty * np.bincount(owner, minlength=many)) & (gained > s.kl_min * whole)
     hope = -k * np.where(kept[owner], here, parent) > penalty
     flags = kept * np.uint8(_KEPT) | (np.bincount(owner, weights=hope, minlength=many) > 0) * np.uint8(_OPEN)
-    return context, whole.astype(np.uint64), rare.astype(np.uint64), flags.astype(np.uint8), np.searchsorted(own, np.arange(many + 1)), x, n
+    return whole.astype(np.uint64), rare.astype(np.uint64), flags.astype(np.uint8)
 
 
-def answered(asked: pa.Table, messages: Iterator[tuple[np.ndarray, ...]], whole_range: tuple[np.ndarray, ...], length: int, run_: _Run) -> pa.Table:
-    """The answers to the message of each block, from all that is asked of its range."""
+def answered(asked: pa.Table, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], whole_range: tuple[np.ndarray, ...], length: int, run_: _Run) -> pa.Table:
+    """The answers to the message of each block, from all that is asked of its range.  found: of each message the context of
+    each child within it, and where its contexts and children are in the range."""
     s, part = run_.settings, asked.column("part")[0].as_py()
-    context, whole, rest, flags, first, x, n = judged(whole_range, part, length, run_)
-    pairs = _paired(np.repeat(np.arange(len(context)), np.diff(first)), x)
+    n = whole_range[4]
+    whole, rest, flags = judged(whole_range, part, length, run_)
     count, kinds = (int(whole.sum()), int((whole > 0).sum())) if not length else (0, 0)
-    out = []
-    for block, (mine, _, own, child, _, _) in zip(asked.column("block").to_pylist(), messages, strict=True):
-        at = np.searchsorted(context, mine)
-        k = n[np.searchsorted(pairs, _paired(at[own], child))] if len(child) else n[:0]
+    out, by = [], zstandard.ZstdCompressor(level=1)
+    for block, (own, at, child) in zip(asked.column("block").to_pylist(), found, strict=True):
+        k = n[child]
         f = flags[at]
         k = np.where((f[own] & _KEPT) > 0, k, np.minimum(k, s.least)) if length else k
         told = (f & _KEPT) > 0 if length else np.ones(len(f), bool)
-        out.append({"block": block, "length": length, "part": part, "total": count, "kinds": kinds, "payload": _squeezed(whole[at] * told, rest[at] * told, f, k.astype(np.uint32))})
+        out.append({"block": block, "length": length, "part": part, "total": count, "kinds": kinds, "payload": _squeezed(whole[at] * told, rest[at] * told, f, k.astype(np.uint32), by=by)})
     return pa.Table.from_pylist(out, schema=_TOLD)
 
 
@@ -422,8 +503,16 @@ def _answer(length: int, run_: _Run):
     def run(asked: pa.Table, row: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return _TOLD.empty_table()
-        messages = (_asked(payload.as_py()) for payload in asked.column("payload"))
-        return answered(asked, messages, _asked(row.column("payload")[0].as_py()), length, run_)
+        whole_range = _asked(row.column("payload")[0].as_py())
+        pairs = _paired(whole_range[2], whole_range[3])
+
+        def found():
+            for payload in asked.column("payload"):
+                context, _, own, x, _, _ = _asked(payload.as_py())
+                at = np.searchsorted(whole_range[0], context)
+                yield own, at, np.searchsorted(pairs, _paired(at[own], x))
+
+        return answered(asked, found(), whole_range, length, run_)
 
     return run
 
@@ -432,7 +521,10 @@ def _merge_and_answer(length: int, run_: _Run):
     @tidy
     def run(asked: pa.Table) -> pa.Table:
         messages = [_asked(payload.as_py()) for payload in asked.column("payload")]
-        return answered(asked, messages, combined(messages), length, run_)
+        whole_range, at, child = combined(messages)
+        a, b = (np.cumsum([0, *(len(got[i]) for got in messages)]) for i in (0, 2))
+        found = ((got[2], at[a[i] : a[i + 1]], child[b[i] : b[i + 1]]) for i, got in enumerate(messages))
+        return answered(asked, found, whole_range, length, run_)
 
     return run
 

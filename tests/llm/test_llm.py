@@ -135,6 +135,29 @@ def test_blocks_of_the_tree_gather_over_batches():
     assert block.ids.tolist() == list(range(150)) and block.n_tokens.tolist() == [n for k in range(50) for n in (3, 1, k + 1)]
 
 
+@pytest.mark.parametrize("bits", [0, 1, 20, 54, 64])
+def test_sorted_keys(bits):
+    r = np.random.default_rng(bits)
+    some = r.integers(0, 1 << bits, 300, dtype=np.uint64) if 0 < bits < 64 else r.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) if bits else np.zeros(300, np.uint64)
+    for keys in (some[r.integers(0, 300, 1000)], some[:1], some[:0], np.uint64(1 << 63) + r.integers(0, 9, 1000, dtype=np.uint64)):  # the last differ in low bits only
+        order, s = suffix_tree_lm._sorted(keys)
+        assert sorted(order.tolist()) == list(range(len(keys))) and s.tolist() == sorted(keys.tolist()) == keys[order].tolist()
+        distinct, rank = suffix_tree_lm._ranked(keys)
+        assert distinct.tolist() == sorted(set(keys.tolist())) and (distinct[rank] == keys).all()
+
+
+def test_a_block_packs_its_messages_with_one_compressor(monkeypatch):
+    batch = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array([" ".join(f"w{k}" for k in range(500)), "w1 w2"]), pa.array([False, True]), pa.array([0, 1], pa.int64())], ["doc_id", "text", "held_out", "rid"])
+    (got,) = suffix_tree_lm._pack_blocks(iter([batch]))
+    block = suffix_tree_lm.Block(got.column("payload")[0].as_py(), 0, 0, suffix_tree_lm.Settings())
+    made, real = [], suffix_tree_lm.zstandard.ZstdCompressor
+    monkeypatch.setattr(suffix_tree_lm.zstandard, "ZstdCompressor", lambda **k: made.append(1) or real(**k))
+    rows = block.rows(0, 50, 1)
+    assert len(rows) == 50 and len(made) == 1
+    words = [suffix_tree_lm._expanded(r["payload"], np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32) for r in rows]
+    assert sum(len(x[0]) for x in words) == 501 and sum(int(x[2].sum()) for x in words) == 501
+
+
 def test_suffix_tree_sums_to_one():
     s = suffix_tree_lm.Settings(kl_min=0.0)
     r = random.Random(9)
