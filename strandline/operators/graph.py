@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +37,82 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Vectors of a block at most; a task holds two blocks.
+BLOCK = 1 << 16
+#: Blocks smaller than this are not made for the sake of more tasks.
+SMALL_BLOCK = 1 << 10
+#: Products that a task holds at a time.
+PRODUCTS = 1 << 22
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 10) -> DataFrame:
     """Pairs id1 < id2 with sim = dot / blocks >= threshold (vectors: id, vec made of `blocks` unit vectors); null vectors pair with nothing.
 
-    The distance of two vectors follows from sim, so partners lie at nearly the same
-    distance from a fixed pivot. Rows go to rings of that distance; one side is
-    copied to the rings its partners may lie in, and an equi-join on the ring finds
-    each pair once. No pair is lost and no side is broadcast.
+    Rows are dealt to equal blocks by hash, and a task takes each pair of blocks (a
+    block with itself too), so every pair of rows is compared in one place. Single
+    precision products pass over what is below the threshold by more than their
+    error; the others are summed place by place in double precision. Work grows with
+    the square of the rows, memory of a task does not grow, and no side is broadcast.
     """
-    reach = (2 * blocks * (1 - threshold)) ** 0.5 + 1e-9
-    wide = max(reach, 1e-6)
-    pivot = F.transform("vec", lambda v: F.lit(0.5 / blocks**0.5))  # any fixed point is right
-    gap = F.sqrt(F.aggregate(F.zip_with("vec", pivot, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    x = vectors.where(F.col("vec").isNotNull()).select("id", "vec", gap.alias("far"))
-    home = x.select(F.col("id").alias("id1"), F.col("vec").alias("v1"), F.floor(F.col("far") / wide).alias("ring"))
-    near = F.sequence(F.floor((F.col("far") - reach) / wide), F.floor((F.col("far") + reach) / wide))
-    away = x.select(F.col("id").alias("id2"), F.col("vec").alias("v2"), F.explode(near).alias("ring"))
-    sim = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v1"), F.col("v2")) / blocks))
-    return home.join(away, "ring").where("id1 < id2").select("id1", "id2", sim.alias("sim")).where(F.col("sim") >= threshold)
+    x = vectors.where(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = x.count()
+    many = max(-(-rows // BLOCK), min(-(-rows // SMALL_BLOCK), math.ceil((6 * cores) ** 0.5)), 1)  # three tasks a core, where rows suffice
+    x = x.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(many)))
+    lesser, larger = (lambda c: F.least(c, F.col("block"))), (lambda c: F.greatest(c, F.col("block")))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")), lambda c: (larger(c) * (larger(c) + 1) / 2).cast("int") + lesser(c).cast("int"))
+    dealt = x.select("id", "vec", "block", F.explode(parts).alias("part")).repartitionById(many * (many + 1) // 2, F.col("part"))
+    kind = dict(vectors.dtypes)["id"]
+    found = dealt.mapInArrow(_block_pairs(threshold, blocks), f"a {kind}, b {kind}, sim double").where("a <> b")
+    return found.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "sim")).alias("sim"))
+
+
+def _block_pairs(threshold: float, blocks: int):
+    """A task over rows id, vec, block, part: a, b, sim of the pairs of rows of each part's two blocks, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if held is None:
+            return
+        part, block = held["part"].to_numpy(), held["block"].to_numpy()
+        length = pc.list_value_length(held["vec"]).to_numpy()
+        for p in np.unique(part):
+            larger = int((math.isqrt(8 * int(p) + 1) - 1) // 2)
+            lesser = int(p) - larger * (larger + 1) // 2
+            for n in np.unique(length[part == p]):  # vectors of other lengths pair with nothing
+                here = (part == p) & (length == n)
+                sides = [held.filter(pa.array(here & (block == k))).select(["id", "vec"]).combine_chunks() for k in dict.fromkeys((larger, lesser))]
+                if all(s.num_rows for s in sides):
+                    yield from _pairs(sides[0], sides[-1], int(n), larger == lesser, threshold, blocks)
+
+    return run
+
+
+def _pairs(left: pa.Table, right: pa.Table, n: int, same: bool, threshold: float, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a row of `left` and one of `right`; same: both are one table, of which each pair is taken once."""
+    x, y = (pc.list_flatten(t["vec"]).to_numpy().reshape(-1, n) for t in (left, right))  # nulls become NaN, which passes no test
+    fine = np.ascontiguousarray(y.T, np.float32)
+    by_place = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    size = float(np.nanmax(np.einsum("ij,ij->i", x, x), initial=0.0)) ** 0.5 * float(np.nanmax(np.einsum("ij,ij->i", y, y), initial=0.0)) ** 0.5
+    least = np.float32(threshold * blocks - (n + 8) * 2.0**-23 * (size + abs(threshold * blocks)))  # twice the rounding of a single precision dot product
+    step = max(1, PRODUCTS // len(y))
+    for i in range(0, len(x), step):
+        first = i if same else 0
+        near = x[i : i + step].astype(np.float32) @ fine[:, first:] >= least
+        a, b = np.divmod(np.flatnonzero(near), near.shape[1])  # faster than nonzero of two dimensions
+        a, b = a + i, b + first
+        if same:
+            a, b = a[b > a], b[b > a]
+        for k in range(0, len(a), PRODUCTS // 16):
+            c, d = a[k : k + PRODUCTS // 16], b[k : k + PRODUCTS // 16]
+            total = np.zeros(len(c))
+            for u, v in zip(*by_place, strict=True):
+                total += u[c] * v[d]
+            sim = total / blocks
+            hit = sim >= threshold
+            if hit.any():
+                out = [left["id"].take(pa.array(c[hit])), right["id"].take(pa.array(d[hit])), pa.array(sim[hit])]
+                yield from pa.table(out, names=["a", "b", "sim"]).to_batches()
 
 
 def oriented(pairs: DataFrame, scores: DataFrame | None = None) -> DataFrame:
