@@ -37,3 +37,15 @@ def test_pairs_at_the_threshold_stay(spark):
     data = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.75**0.5]), (3, [0.5 - 1e-12, 0.75**0.5])], "id long, vec array<double>")
     assert [(r["id1"], r["id2"]) for r in graph.similar_pairs(data, 0.5, 1).orderBy("id1", "id2").collect()] == [(1, 2), (2, 3)]
     assert graph.similar_pairs(data.limit(0), 0.5, 1).count() == 0
+
+
+def test_orientation_of_many_pairs(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 2, 4))
+    v = (v / np.linalg.norm(v, axis=2, keepdims=True)).reshape(400, 8)
+    data = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "id long, vec array<double>, score int")
+    found = graph.oriented(graph.similar_pairs(data, 0.4, 2), data)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()  # no product row by row
+    want = {(i, j) for i in range(400) for j in range(400) if i != j and i % 3 >= j % 3 and sim_of(v[min(i, j)].tolist(), v[max(i, j)].tolist(), 2) >= 0.4}
+    rows = found.collect()
+    assert {(r["index1"], r["index2"]) for r in rows} == want and len(rows) == len(want)
