@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.lineage import checkpointed
@@ -125,32 +126,73 @@ def oriented(pairs: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     return x.select(F.explode(F.array_compact(ends)).alias("e"), "sim").select("e.index1", "e.index2", "sim")
 
 
+#: Rows of a task, about, in the steps of components.
+TASK_ROWS = 1 << 20
+#: A key with more than this share of the rows isn't shuffled, so there are 2 * SHARES such keys at most.
+SHARES = 1024
+
+
+@contextmanager
+def _dealt(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of plans that run meanwhile have parts of about TASK_ROWS of so many rows, and one a core where rows suffice."""
+    cores = spark.sparkContext.defaultParallelism
+    now = {"spark.sql.shuffle.partitions": str(max(-(-rows // TASK_ROWS), min(cores, -(-rows // 10_000)), 1)), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _with_least(x: DataFrame, key: str, other: str, rows: int) -> DataFrame:
+    """x with m, the least of `key` and every `other` of it, for the key of each row.
+
+    Keys with many of the `rows` get theirs from a broadcast of 2 * SHARES rows at most; only rows of the others are dealt by key.
+    """
+    spark = x.sparkSession
+    least = lambda y: y.groupBy(key).agg(F.least(F.min(other), F.col(key)).alias("m"), F.count(F.lit(1)).alias("many"))
+    found = least(x).where(F.col("many") > rows // SHARES + 1)
+    hubs = found.select(key, "m").collect()
+    if not hubs:
+        return x.join(least(x).drop("many"), key)
+    hubs = F.broadcast(spark.createDataFrame(hubs, found.select(key, "m").schema))
+    rest = x.join(hubs.select(key), key, "left_anti")
+    return rest.join(least(rest).drop("many"), key).unionByName(x.join(hubs, key))
+
+
 def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """id, root of every end of a pair (id1, id2); root: the smallest id reachable.
 
     Stars alternate: each node's larger neighbours, then its smaller ones, are hung
-    on its smallest neighbour, until nothing moves; every round is checkpointed.
+    on its smallest neighbour, until nothing moves; every round is checkpointed. The
+    pairs are read twice. Tasks take about TASK_ROWS rows, also those of a hub with
+    most of the pairs, as every root of a large component becomes one.
     """
-    edge = pairs.select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v")).where("u <> v").distinct()
-    edge = checkpointed(edge)
-    for _ in range(rounds):
-        both = edge.select("u", "v").union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
-        new = checkpointed(small.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        moved = new.exceptAll(edge).limit(1).count() or edge.exceptAll(new).limit(1).count()
-        edge = new
-        if not moved:
+    spark = pairs.sparkSession
+    edge = pairs.select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v")).where("id1 is not null and id2 is not null and u <> v")
+    rows, seen = edge.count(), None
+    with _dealt(spark, rows):
+        edge = checkpointed(edge.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "u", "v").distinct())
+    for _ in range(rounds + 1):
+        mark = tuple(edge.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        if mark == seen:
             leaves = edge.select(F.col("v").alias("id"), F.col("u").alias("root"))
             return leaves.union(edge.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
+        rows, seen = mark[0], mark
+        with _dealt(spark, 2 * rows):
+            both = edge.select("u", "v").union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = checkpointed(_with_least(both, "u", "v", rows).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct())
+            small = _with_least(large, "v", "u", rows).select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b")
+            edge = checkpointed(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     raise RuntimeError(f"components still move after {rounds} rounds")
 
 
 def numbered_components(pairs: DataFrame, least: int = 2) -> DataFrame:
     """id, component_id, size: components of at least `least` members, numbered from 1 by size, then by smallest id."""
-    found = components(pairs)
+    found = components(checkpointed(pairs))
     size = found.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
     rank = size.withColumn("component_id", F.row_number().over(Window.orderBy(F.desc("size"), "root")).cast("long"))  # a row per component
     return found.join(rank, "root").select("id", "component_id", "size")
