@@ -67,7 +67,10 @@ def site_stats(cells: DataFrame) -> DataFrame:
 
 
 def region_stats(members: DataFrame) -> DataFrame:
-    """Per region: median |delta| with the sign of the majority; null if a member has none (members: region, delta_beta)."""
+    """Per region: median |delta| with the sign of the majority; null if a member has none (members: region, delta_beta).
+
+    A delta below 1e-12 has no vote: it is what is left of a sum that is 0, and its sign depends on the order of the terms.
+    """
     d = F.col("delta_beta")
-    agg = members.groupBy("region").agg(F.median(F.abs(d)).alias("size"), F.sum(F.signum(d)).alias("vote"), F.count(F.lit(1)).alias("sites_num"), F.count(d).alias("known"), F.min(d).alias("min_delta"), F.max(d).alias("max_delta"))
+    agg = members.groupBy("region").agg(F.median(F.abs(d)).alias("size"), F.sum(F.when(F.abs(d) < 1e-12, 0.0).otherwise(F.signum(d))).alias("vote"), F.count(F.lit(1)).alias("sites_num"), F.count(d).alias("known"), F.min(d).alias("min_delta"), F.max(d).alias("max_delta"))
     return agg.select("region", F.when(F.col("known") == F.col("sites_num"), F.col("size") * F.signum("vote")).alias("delta_beta"), "sites_num", "min_delta", "max_delta")
